@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tidewire.llm import bpe, decontaminate, token_files
+from tidewire.llm import bpe, decontaminate, language, token_files, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_token_files": token_files.op5_token_files,
         "op7_bpe": bpe.op7_bpe,
+        "op8_topk": topk.op8_topk,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_language": language.op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_topk": topk.OP8_SQL}
