@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewire.llm import bpe, decontaminate, language, substring_dedup, suffix_dedup, token_files, topk, toxicity
+from tidewire.llm import bpe, decontaminate, language, minhash, substring_dedup, suffix_dedup, token_files, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_minhash": minhash.op3_minhash,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_token_files": token_files.op5_token_files,
         "op7_bpe": bpe.op7_bpe,
