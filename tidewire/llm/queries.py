@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import bpe, decontaminate, language, minhash, substring_dedup, suffix_dedup, token_files, topk, toxicity
+from tidewire.llm import bpe, decontaminate, language, minhash, pii, substring_dedup, suffix_dedup, token_files, topk, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_minhash": minhash.op3_minhash,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_token_files": token_files.op5_token_files,
+        "op6_surrogates": pii.op6_surrogates,
         "op7_bpe": bpe.op7_bpe,
         "op8_topk": topk.op8_topk,
         "op9_decontaminate": decontaminate.op9_decontaminate,
