@@ -1,6 +1,68 @@
-STAGES = []
+"""Corpus preparation: toxicity, near-duplicate, contamination and personal-data stages, then token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of the documents table. ``run`` writes what each stage kept to
+the shared folder and gives it to the next. No SQL can express the stages; the
+tests hold them against plain versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.llm import bpe, decontaminate, minhash, pii, toxicity
+from tidewire.llm.shared import written
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.range(0)
+def _counted(docs: DataFrame) -> DataFrame:
+    """With ``n_chars`` as the texts now have it."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents whose toxicity score is at least one half."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out("doc_id"))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels))
+    return scored.where("_tw_toxicity < 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return minhash.deduplicate(docs).select(*docs.columns)
+
+
+def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of benchmark items out of the texts; documents of which nothing remains go."""
+    return _counted(decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and secrets by surrogates."""
+    return _counted(pii.replace_entities(docs, "surrogate-key")).select(*docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the token ids of every text."""
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", cut_benchmark_passages),
+    ("personal_data", replace_personal_data),
+    ("bpe", encode_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
