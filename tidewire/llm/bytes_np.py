@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _S = np.uint64(32)
@@ -114,6 +114,15 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def list_fields(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """Offsets, and the named fields, of a column of lists of structs; null lists are empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    inner = column.flatten()
+    return np.concatenate([[0], np.cumsum(sizes)]), *(inner.field(n).to_numpy(zero_copy_only=False) for n in names)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenated integer ranges start..start+length."""
     total = int(lengths.sum())

@@ -34,7 +34,7 @@ from tidewire.llm import bytes_np as B
 #: window starts in a run at most; longer runs (periodic texts) are cut
 RUN = 1024
 #: text bytes that are searched for repeats at once, in whole buckets
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 3 << 17
 
 #: (segments, number of occurrences of each) -> (segment index, first element, elements) of repeats
 Finder = Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -112,11 +112,13 @@ def _segments(elements: Elements, places_only: bool):
         spans = elements.spans(data, offsets)
         first = offsets if spans is None else spans[2]
         raw = data.tobytes()
+        at, grams, places, hots = plans
         for k, row in enumerate(rows):
             base, end = int(first[k]), int(first[k + 1])
-            for plan in plans[row]:
-                start, size = plan["place"] >> 12, (plan["place"] & 4095) >> 1
-                for a, n in ((start + x, 1) for x in range(size)) if plan["hot"] else ((start, size),):
+            own = slice(at[row], at[row + 1])
+            for gram, place, hot in zip(grams[own].tolist(), places[own].tolist(), hots[own].tolist(), strict=True):
+                start, size = place >> 12, (place & 4095) >> 1
+                for a, n in ((start + x, 1) for x in range(size)) if hot else ((start, size),):
                     lo, hi = base + a, base + a + n + extra
                     if hi > end:
                         continue
@@ -124,7 +126,7 @@ def _segments(elements: Elements, places_only: bool):
                         segment = raw[lo:hi]
                     else:
                         segment = b" ".join([raw[x:y] for x, y in zip(spans[0][lo:hi].tolist(), spans[1][lo:hi].tolist(), strict=True)])
-                    yield plan["gram"], segment, row, a, plan["hot"]
+                    yield gram, segment, row, a, hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,10 +134,10 @@ def _segments(elements: Elements, places_only: bool):
             if not rows:
                 continue
             picked = batch.take(pa.array(rows))
-            plans = picked.column("runs").to_pylist()
-            keys = picked.column("key").to_pylist()
+            plans = B.list_fields(picked.column("runs"), "gram", "place", "hot")
+            keys = picked.column("key").to_numpy().tolist()
             data, offsets = B.text_buffer(picked.column("text"))
-            for i, j, part, at in B.groups(data, offsets, 8 << 20):
+            for i, j, part, at in B.groups(data, offsets, 4 << 20):
                 kept: dict[tuple[int, bytes], list] = {}
                 out: list[tuple[int, int, int, int]] = []
                 for gram, segment, row, a, hot in cut(part, at, range(i, j), plans):
@@ -188,15 +190,25 @@ def _find(finder: Finder):
     return run
 
 
-def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs covered by (begin, end) spans."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def united(begins: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs that spans cover."""
+    if not len(begins):
+        return []
+    order = np.argsort(begins)
+    begins, ends = begins[order], np.maximum.accumulate((begins + sizes)[order])
+    first = np.flatnonzero(np.concatenate([[True], begins[1:] > ends[:-1]]))
+    return list(zip(begins[first].tolist(), ends[np.append(first[1:], len(ends)) - 1].tolist(), strict=True))
+
+
+def joined_spans(edges: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs that spans cover in a row of segments, as (segment, first element, elements); no span crosses an edge."""
+    order = np.argsort(begins, kind="stable")
+    begins = begins[order]
+    ends = np.maximum.accumulate(begins + sizes[order])
+    of = np.searchsorted(edges, begins, "right") - 1
+    first = np.flatnonzero(np.concatenate([[True], (begins[1:] > ends[:-1]) | (of[1:] != of[:-1])])) if len(begins) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(ends))[: len(first)] - 1
+    return of[first], begins[first] - edges[of[first]], ends[last] - begins[first]
 
 
 def _remove(elements: Elements, digest: bool):
@@ -205,17 +217,17 @@ def _remove(elements: Elements, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, runs, kept = [], [], [], []
-            found = batch.column("spans").to_pylist()
+            edge, begins, lengths = B.list_fields(batch.column("spans"), "begin", "size")
             copied = batch.column("copied").to_pylist()
             column = batch.column("text")
             data, offsets = B.text_buffer(column)
-            for i, j, part, at in B.groups(data, offsets, 8 << 20):
+            for i, j, part, at in B.groups(data, offsets, 4 << 20):
                 raw = part.tobytes()
                 spans = elements.spans(part, at)
                 first = at if spans is None else spans[2]
                 for k in range(j - i):
                     base, n = int(first[k]), int(first[k + 1] - first[k])
-                    cover = united([(s["begin"], s["begin"] + s["size"]) for s in found[i + k] or ()])
+                    cover = united(begins[edge[i + k] : edge[i + k + 1]], lengths[edge[i + k] : edge[i + k + 1]])
                     if copied[i + k] and n >= elements.length:
                         cover = [(0, n)]
                     edges = [0, *[x for pair in cover for x in pair], n]

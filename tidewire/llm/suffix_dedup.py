@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import bytes_np as B
-from tidewire.llm.repeats import Elements, RepeatJob
+from tidewire.llm.repeats import Elements, RepeatJob, joined_spans
 
 _STEP = 7
 
@@ -29,7 +29,7 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     """Dense ranks from 1, in the order of the keys."""
     order = np.argsort(keys)
     ordered = keys[order]
-    new = np.empty(len(keys), np.int64)
+    new = np.empty(len(keys), np.int32)
     new[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
     return new
 
@@ -47,7 +47,7 @@ def enhanced_suffix_array(data: np.ndarray, ends: np.ndarray, starts: np.ndarray
         rank = levels[-1][1]
         later = np.zeros(n, np.int64)
         later[: n - size] = np.where(at[: n - size] + size < ends[: n - size], rank[size:], 0)
-        levels.append((size * 2, _ranks((rank << 32) | later)))
+        levels.append((size * 2, _ranks((rank.astype(np.int64) << 32) | later)))
         size *= 2
     final = levels[-1][1]
     order = starts[np.argsort(final[starts], kind="stable")]
@@ -115,15 +115,14 @@ def find_repeats(length: int):
         left = np.where(order > 0, data[np.maximum(order - 1, 0)].astype(np.int64), -1)
         of = np.searchsorted(edges, order, "right") - 1
         left[order == edges[of]] = -1
+        found = sorted(maximal_intervals(lcp, left, length))
+        deepest = np.zeros(len(order), np.int64)
+        for depth, first, last in found:  # deeper ones are inside and come later
+            deepest[first : last + 1] = depth
+        member = np.flatnonzero(deepest)
         whole = np.flatnonzero(counts > 1)
-        found = maximal_intervals(lcp, left, length)
-        depth, first, last = np.array(found, np.int64).reshape(-1, 3).T
-        members = B.ranges(first, last - first + 1)
-        return (
-            np.concatenate([whole, of[members]]),
-            np.concatenate([np.zeros(len(whole), np.int64), order[members] - edges[of[members]]]),
-            np.concatenate([sizes[whole], np.repeat(depth, last - first + 1)]),
-        )
+        begins = np.concatenate([edges[whole], order[member]])
+        return joined_spans(edges, begins, np.concatenate([sizes[whole], deepest[member]]))
 
     return find
 
