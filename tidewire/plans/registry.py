@@ -1,11 +1,22 @@
-"""Names of the registered queries."""
+"""Names of the registered queries and their DuckDB texts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewire.plans import reports
+from tidewire.sources.newsroom import Newsroom, with_views
+
+
+def _report(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: Newsroom(spark, folder).sql(sql)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _report(sql) for name, sql in reports.all_reports().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: with_views(sql) for name, sql in reports.all_reports().items()}
