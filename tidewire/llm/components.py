@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.shared import checkpointed
+from tidewire.llm.shared import written
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     are gathered. It ends when a round changes no link.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
+    edges = written(edges, "links")
+    before = _state(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -23,8 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         joined = edges.join(least, "u").select("u", "v", "m")
         edges = joined.select("u", F.col("m").alias("v")).union(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = checkpointed(edges)
-        state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        edges = written(edges, "links")
+        state = _state(edges)
         if state == before:
             break
         before = state

@@ -5,8 +5,8 @@ smallest. Documents with equal sets are one class from here on. Inverted lists o
 the retained values generate candidates: two similar documents share so many of
 their sketch values that they share one among their rarest few, so only those lists
 are opened. Candidates are filtered by the Jaccard estimate of the sketch of the
-union and verified on full sets. In a list every member is first compared with one
-leader (two rounds with different leaders); lists of three or more that still hold
+union and verified on full sets. In a list every member is first compared with two
+leaders; lists of three or more that still hold
 several components are then compared in whole, in blocks of bounded size, on full
 sets. No list is cut.
 
@@ -22,7 +22,6 @@ alone has a null component and is kept; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import types as T
 
 from tidewire.llm import bytes_np as B
 from tidewire.llm.components import components
-from tidewire.llm.shared import checkpointed, shared_folder
+from tidewire.llm.shared import written
 
 SKETCH = 32
 BLOCK = 256
@@ -150,8 +149,8 @@ class NearDuplicates:
         self.id = rows.schema["id"].dataType
         fields = [T.StructField("id", self.id), *(T.StructField(n, T.LongType()) for n in ("n", "high", "low")), T.StructField("sketch", T.ArrayType(T.LongType()))]
         self.texts = rows
-        self.sketches = checkpointed(rows.mapInArrow(_sketch(words, sketch), T.StructType(fields)))
-        self.classes = checkpointed(self.sketches.where("n > 0").groupBy("high", "low").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+        self.sketches = written(rows.mapInArrow(_sketch(words, sketch), T.StructType(fields)), "sketches")
+        self.classes = written(self.sketches.where("n > 0").groupBy("high", "low").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")
 
     def lists(self) -> DataFrame:
         """(value, id): the inverted lists that are opened, of two or more members."""
@@ -180,20 +179,12 @@ class NearDuplicates:
 
     def links(self) -> DataFrame:
         """(id, component) of the classes that are linked with another."""
-        lists = checkpointed(self.lists())
-        folder = f"{shared_folder(self.spark)}/near-texts-{uuid.uuid4().hex}"
-        self.texts.where("id is not null").join(lists.select("id").distinct(), "id", "left_semi").write.parquet(folder)
-        texts = self.spark.read.parquet(folder)
-        found, edges = None, None
-        for order in (F.col("id"), F.xxhash64("id")):
-            placed = lists.withColumn("component", F.col("id")) if found is None else lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            leader = placed.groupBy("value").agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("first"))
-            near = placed.join(leader, "value").where("first.component <> component")
-            pairs = near.select(F.least("id", "first.id").alias("a"), F.greatest("id", "first.id").alias("b")).distinct()
-            links = self._verified(self._estimated(pairs), texts)
-            edges = links if edges is None else edges.select(F.col("component").alias("a"), F.col("id").alias("b")).union(links)
-            found = components(edges)
-            edges = found
+        lists = written(self.lists(), "lists")
+        texts = written(self.texts.where("id is not null").join(lists.select("id").distinct(), "id", "left_semi"), "near-texts")
+        leaders = lists.groupBy("value").agg(F.array(F.min("id"), F.min(F.struct(F.xxhash64("id"), "id"))["id"]).alias("leaders"))
+        met = lists.join(leaders, "value").select("id", F.explode("leaders").alias("leader")).where("id <> leader")
+        pairs = met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        found = components(self._verified(self._estimated(pairs), texts))
         placed = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         signature = F.struct(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.min("id").alias("m"))
         open_ = placed.groupBy("value").agg(signature.alias("same"), F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("c > 2 and lo < hi")

@@ -15,12 +15,10 @@ without entities is returned unchanged; other columns pass through.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.shared import checkpointed, shared_folder
+from tidewire.llm.shared import written
 
 # Forms of address with the gender they tell.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "г-н", "господин"]
@@ -201,7 +199,7 @@ def surrogate_table(entities: DataFrame, secret: str, *, rounds: int = 60, stric
     known = entities.select("kind", F.col("value").alias("core"), F.lit(1).alias("taken"))
     table = entities.withColumn("attempt", F.lit(0))
     for number in range(rounds):
-        table = checkpointed(table.withColumn("core", _core(F.col("kind"), F.col("value"), F.col("attempt"), secret)).select("kind", "value", "attempt", "core"))
+        table = written(table.withColumn("core", _core(F.col("kind"), F.col("value"), F.col("attempt"), secret)).select("kind", "value", "attempt", "core"), "surrogates")
         first = table.groupBy("kind", "core").agg(F.min(F.struct("attempt", "value")).alias("first"))
         judged = table.join(first, ["kind", "core"]).withColumn("ok", F.col("first.value") == F.col("value"))
         if number < strict_rounds:
@@ -218,16 +216,13 @@ def replace_entities(documents: DataFrame, secret: str, *, doc_id: str = "doc_id
 
     Texts with entities are written to the shared folder once; only they are shuffled.
     """
-    spark = documents.sparkSession
     names = [c for c in documents.columns if c != count]
     marked = documents.select(*names).withColumn("_tw_found", found_entities(F.col(text)))
-    folder = f"{shared_folder(spark)}/entities-{uuid.uuid4().hex}"
     some = F.size("_tw_found") > 0
-    marked.where(some).withColumn("_tw_key", F.xxhash64(F.col(doc_id), F.col(text))).write.parquet(folder)
-    hits = spark.read.parquet(folder)
+    hits = written(marked.where(some).withColumn("_tw_key", F.xxhash64(F.col(doc_id), F.col(text))), "entities")
     spelled = hits.select("_tw_key", F.explode(F.array_distinct("_tw_found")).alias("e")).distinct().withColumn("kind", entity_kind(F.col("e")))
     spelled = spelled.withColumn("value", canonical(F.col("e"), F.col("kind")))
-    table = surrogate_table(checkpointed(spelled.select("kind", "value").distinct()), secret)
+    table = surrogate_table(written(spelled.select("kind", "value").distinct(), "entity-values"), secret)
     replaced = spelled.join(table, ["kind", "value"]).select("_tw_key", "e", _laid_out(F.col("e"), F.col("kind"), F.col("core")).alias("r"))
     maps = replaced.groupBy("_tw_key").agg(F.map_from_entries(F.collect_list(F.struct("e", "r"))).alias("_tw_map"))
     joined = hits.join(maps, "_tw_key", "left").withColumn("_tw_gaps", F.split(F.col(text), PATTERN, -1))

@@ -1,8 +1,9 @@
-"""The shared folder of a session."""
+"""The shared folder of a session, and tables written there to cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,12 +14,20 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame with its lineage cut by files in the shared folder."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name for a new table in the shared folder, removed when the application ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return folder
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame, computed once and read back from a table in the shared folder."""
+    spark = frame.sparkSession
+    folder = new_folder(spark, name)
+    frame.write.parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)
