@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.plans import reports
+from tidewire.plans import derived, reports
 from tidewire.sources.newsroom import Newsroom, with_views
 
 
@@ -15,8 +15,8 @@ def _report(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _report(sql) for name, sql in reports.all_reports().items()}
+    return {name: _report(sql) for name, sql in reports.all_reports().items()} | derived.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, sql in reports.all_reports().items()}
+    return {name: with_views(sql) for name, sql in reports.all_reports().items()} | derived.oracle_sql()
