@@ -20,6 +20,7 @@ each window then being a segment. Rows are told apart by a 64-bit hash of id and
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -160,14 +161,35 @@ def _segments(elements: Elements, places_only: bool):
     return run
 
 
-def _find(finder: Finder):
+def _joined(finder: Finder):
+    """A finder's spans as one batch."""
+
+    def search(names: np.ndarray, segments: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, begin, size = finder(segments, counts)
+        columns = [names[at, 0], names[at, 1], begin.astype(np.int64), size.astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["high", "low", "begin", "size"])
+
+    return search
+
+
+def _listed(finder: Callable[[list[bytes], np.ndarray], Iterator[tuple[int, int, int, int]]], rows: int = 20_000):
+    """Group members as batches of a bounded number of rows."""
+
+    def search(names: np.ndarray, segments: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        members = finder(segments, counts)
+        while part := list(itertools.islice(members, rows)):
+            at, begin, size, group = np.array(part, np.int64).T
+            columns = [names[at, 0], names[at, 1], begin, size, group]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["high", "low", "begin", "size", "group"])
+
+    return search
+
+
+def _find(search):
     """Finds repeats in whole buckets (rows come ordered by bucket), a bounded number of bytes at a time."""
 
-    def search(held: dict[tuple[int, int], list]) -> pa.RecordBatch:
-        names = list(held)
-        at, begin, size = finder([v[1] for v in held.values()], np.array([v[0] for v in held.values()]))
-        high, low = np.array([n[0] for n in names], np.int64), np.array([n[1] for n in names], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(high[at]), pa.array(low[at]), pa.array(begin.astype(np.int64)), pa.array(size.astype(np.int64))], names=["high", "low", "begin", "size"])
+    def emit(held: dict[tuple[int, int], list]) -> Iterator[pa.RecordBatch]:
+        yield from search(np.array(list(held), np.int64).reshape(-1, 2), [v[1] for v in held.values()], np.array([v[0] for v in held.values()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -176,7 +198,7 @@ def _find(finder: Finder):
             columns = [batch.column(n).to_pylist() for n in ("bucket", "high", "low", "n", "segment")]
             for bucket, high, low, n, segment in zip(*columns, strict=True):
                 if bucket != last and amount >= BUCKET_BYTES:
-                    yield search(held)
+                    yield from emit(held)
                     held, amount = {}, 0
                 last = bucket
                 if (high, low) in held:
@@ -185,7 +207,7 @@ def _find(finder: Finder):
                     held[high, low] = [n, segment]
                     amount += len(segment)
         if held:
-            yield search(held)
+            yield from emit(held)
 
     return run
 
@@ -271,13 +293,17 @@ class RepeatJob:
         self.placed = rows.select("key", "text").repartition(parts, "key")
         with_plan = self.placed.join(plan.hint("shuffle_hash"), "key", "left").select("key", "text", "chosen", "runs")
         segments = with_plan.mapInArrow(_segments(elements, False), "bucket long, high long, low long, n long, segment binary")
-        dealt = segments.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        self.dealt = segments.repartition(parts, "bucket").sortWithinPartitions("bucket")
         #: repeats by segment: (high, low) is the segment's hash
-        self.repeats = dealt.mapInArrow(_find(finder), "high long, low long, begin long, size long")
+        self.repeats = self.dealt.mapInArrow(_find(_joined(finder)), "high long, low long, begin long, size long")
         #: places of the segments
         self.places = with_plan.mapInArrow(_segments(elements, True), "high long, low long, key long, start long")
         self.state = state
 
+    def find_all(self, finder: Callable[[list[bytes], np.ndarray], Iterator[tuple[int, int, int, int]]]) -> DataFrame:
+        """What a finder of group members finds: (high, low, begin, size, group)."""
+        return self.dealt.mapInArrow(_find(_listed(finder)), "high long, low long, begin long, size long, group long")
+
     def occurrences(self) -> DataFrame:
         """(key, begin, size): every occurrence of a repeat, in elements of its text."""
         return self.places.join(self.repeats, ["high", "low"]).select("key", (F.col("start") + F.col("begin")).alias("begin"), "size")

@@ -15,7 +15,10 @@ gives no rows. Kept text of the general form drops bytes of a character cut in t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,20 +105,44 @@ def maximal_intervals(lcp: np.ndarray, left: np.ndarray, length: int) -> list[tu
     return out
 
 
+def _intervals(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(edges of the segments, suffix array, maximal intervals) of a row of segments."""
+    sizes = np.array([len(s) for s in segments], np.int64)
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    starts = B.ranges(edges[:-1], np.maximum(0, sizes - length + 1))
+    order, lcp = enhanced_suffix_array(data, np.repeat(edges[1:], sizes), starts)
+    left = np.where(order > 0, data[np.maximum(order - 1, 0)].astype(np.int64), -1)
+    left[order == edges[np.searchsorted(edges, order, "right") - 1]] = -1
+    return edges, order, maximal_intervals(lcp, left, length)
+
+
+def find_groups(length: int):
+    """Yields (segment, first byte, bytes, group) of all members of the maximal repeat groups."""
+
+    def find(segments: list[bytes], counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        edges, order, intervals = _intervals(segments, length)
+        for segment, (text, n) in enumerate(zip(segments, counts, strict=True)):
+            if n > 1:
+                yield segment, 0, len(text), xxhash.xxh3_64_intdigest(text) - (1 << 63)
+        for depth, first, last in intervals:
+            members = order[first : last + 1]
+            of = np.searchsorted(edges, members, "right") - 1
+            begins = (members - edges[of]).tolist()
+            group = xxhash.xxh3_64_intdigest(segments[of[0]][begins[0] : begins[0] + depth]) - (1 << 63)
+            for segment, begin in zip(of.tolist(), begins, strict=True):
+                yield segment, begin, depth, group
+
+    return find
+
+
 def find_repeats(length: int):
     """The finder of maximal repeats of at least ``length`` bytes."""
 
     def find(segments: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([len(s) for s in segments], np.int64)
-        data = np.frombuffer(b"".join(segments), np.uint8)
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        ends = np.repeat(edges[1:], sizes)
-        starts = B.ranges(edges[:-1], np.maximum(0, sizes - length + 1))
-        order, lcp = enhanced_suffix_array(data, ends, starts)
-        left = np.where(order > 0, data[np.maximum(order - 1, 0)].astype(np.int64), -1)
-        of = np.searchsorted(edges, order, "right") - 1
-        left[order == edges[of]] = -1
-        found = sorted(maximal_intervals(lcp, left, length))
+        edges, order, intervals = _intervals(segments, length)
+        sizes = np.diff(edges)
+        found = sorted(intervals)
         deepest = np.zeros(len(order), np.int64)
         for depth, first, last in found:  # deeper ones are inside and come later
             deepest[first : last + 1] = depth
@@ -132,6 +159,19 @@ def repeat_job(documents: DataFrame, *, length: int = 200, gram: int | None = No
     return RepeatJob(documents, Elements(length, gram or max(1, min(32, length // 4)), None), find_repeats(length), **options)
 
 
+def repeat_groups(documents: DataFrame, *, length: int = 200, **options) -> DataFrame:
+    """(group, size, doc_id, begin): the maximal repeat groups with all their occurrences, in bytes.
+
+    A group is one repeated string, named by its hash. Repeats that run over several
+    sampled grams come as one group for each gram's segments; of texts that are equal
+    as a whole, one stands for all.
+    """
+    job = repeat_job(documents, length=length, **options)
+    members = job.find_all(find_groups(length))
+    found = job.places.join(members, ["high", "low"]).select("group", "size", "key", (F.col("start") + F.col("begin")).alias("begin"))
+    return found.join(job.state.select("key", "doc_id"), "key").select("group", "size", "doc_id", "begin").distinct()
+
+
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Removal digest of every document for repeated 200-byte strings."""
     found = repeat_job(spark.read.parquet(f"{sf_dir}/documents.parquet")).removed(digest=True)
