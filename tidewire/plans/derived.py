@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as fn
-from tidewire.operators import documents, jobs, merge, similarity
+from tidewire.operators import documents, glossary, jobs, merge, similarity, source_rules
 from tidewire.plans.reports import AS_OF
 from tidewire.sources import pages as page_source
 from tidewire.sources.newsroom import Newsroom, with_views
@@ -168,10 +168,50 @@ def star_assignment(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.assign_stars(nodes, inside.select(F.col("ca").alias("component"), "a", "b"))
 
 
+def source_regularity(spark: SparkSession, folder: str) -> DataFrame:
+    """Regularity of sources (DOM-15)."""
+    return source_rules.regularity(Newsroom(spark, folder).table("articles"), F.lit("1998-08-02 00:00:00").cast("timestamp"))
+
+
+def source_health_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Health score, action and verdict of tested candidates (DOM-16)."""
+    rows = Newsroom(spark, folder).table("source_candidates")
+    rows = rows.withColumn("label", F.element_at(F.array(*map(F.lit, ("regular", "active_but_sparse", "stale", "unknown", "archive"))), (F.col("id") % 5 + 1).cast("int")))
+    quality = F.coalesce("avg_score", F.lit(0.0))
+    availability = source_rules.availability_score(F.when(F.col("id") % 3 == 0, 200).when(F.col("id") % 3 == 1, 503), F.lit(None))
+    rows = rows.withColumn("health_score", source_rules.health_score(quality, F.col("label"), availability, F.col("tested_articles")))
+    rows = rows.withColumn("action", source_rules.health_action(F.col("health_score"), F.col("label"), F.col("tested_articles"), F.col("relevant_articles"), F.col("recommended_action")))
+    return rows.select("id", "health_score", "action", source_rules.health_verdict(F.col("action"), F.col("label"), F.col("health_score"), F.lit(0)).alias("verdict"))
+
+
+def candidate_memory(spark: SparkSession, folder: str) -> DataFrame:
+    """Memory score and status of candidates (DOM-20)."""
+    return source_rules.candidate_memory(Newsroom(spark, folder).table("source_candidates"))
+
+
+def topic_feedback(spark: SparkSession, folder: str) -> DataFrame:
+    """Feedback and boost by topic (AGG-35)."""
+    return source_rules.topic_feedback(Newsroom(spark, folder).table("source_candidates"))
+
+
+def content_themes(spark: SparkSession, folder: str) -> DataFrame:
+    """Themes of articles by their words (DOM-27)."""
+    a = Newsroom(spark, folder).table("articles")
+    return a.select("id", source_rules.content_theme(F.col("raw_text"), F.lit("abuse"), THEMES).alias("theme"))
+
+
+def glossary_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    """Forbidden forms in titles of articles that call for a term (FN-36)."""
+    rows = Newsroom(spark, folder).table("articles").select("id", "title", "raw_text")
+    return glossary.warnings(rows, "title", "raw_text", [glossary.Term(("the", "der"), "ГРП", ("tion", "schaft|keit")), glossary.Term(("worthless",), "КРС", ("th",))])
+
+
+THEMES = {"abuse": ["worthless", "idiot", "clown"], "science": ["tion", "retitioning", "thing"], "german": ["schaft", "keit", "lich"]}
+
 QUERIES = {f.__name__: f for f in (
     url_key_dedupe, shared_body_hash, jaccard_pairs, cluster_titles, round_robin_topics, offline_score, page_addresses, text_flags, title_matches_body, prefilter,
     keyword_scores, digest_summary, scan_density, chunk_documents, verify_facts, parsed_pages, page_links, upsert_sources, insert_articles, queue_claim, requeue_sweep,
-    star_assignment,
+    star_assignment, source_regularity, source_health_score, candidate_memory, topic_feedback, content_themes, glossary_warnings,
 )}
 
 _URL_KEY = r"NULLIF(CASE WHEN contains(lower(trim(url)), '://') THEN regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://(www\.)?', ''), '[?#].*$', ''), '/+$', '') ELSE lower(trim(url)) END, '')"
@@ -184,7 +224,16 @@ _MARKED = " OR ".join(f"contains(lower(right(t, 60)), '{m}')" for m in fn.CUT_MA
 _FP = "array_to_string(list_slice(list_filter(regexp_extract_all(lower(title), '[a-zа-яё0-9]{3,}'), lambda w: w NOT IN ('the', 'and', 'for', 'with', 'from')), 1, 10), '-')"
 _LOW = "lower(COALESCE(title, ''))"
 
+_HITS = {name: "(" + " + ".join(f"CAST(contains(lower(COALESCE(raw_text, '')), '{k}') AS INT)" for k in words) + ")" for name, words in THEMES.items()}
+_NAMED = lambda words: "(" + " OR ".join(f"contains(concat(' ', regexp_replace(lower(COALESCE(raw_text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' {w} ')" for w in words) + ")"
+
 ORACLES = {
+    "source_regularity": "WITH d AS (SELECT source_id, published_at, CAST(floor(epoch(TIMESTAMP '1998-08-02 00:00:00' - published_at) / 86400) AS BIGINT) AS d FROM articles), g AS (SELECT source_id, COUNT(published_at) AS dated, MIN(d) AS age, COUNT(*) FILTER (WHERE d BETWEEN 0 AND 30) AS last_30, COUNT(*) FILTER (WHERE d BETWEEN 0 AND 90) AS last_90 FROM d GROUP BY source_id) SELECT source_id, dated, last_30, last_90, CASE WHEN dated = 0 THEN 'unknown' WHEN age > 180 THEN 'stale' WHEN last_30 >= 3 OR (last_30 >= 1 AND last_90 >= 4) THEN 'regular' WHEN last_90 >= 2 OR last_30 >= 1 THEN 'active_but_sparse' ELSE 'stale' END AS regularity_label FROM g",
+    "source_health_score": "WITH x AS (SELECT *, ['regular', 'active_but_sparse', 'stale', 'unknown', 'archive'][id % 5 + 1] AS label, [90, 60, 15, 35, 5][id % 5 + 1] AS reg, CASE id % 3 WHEN 0 THEN 90 WHEN 1 THEN 25 ELSE 55 END AS avail FROM source_candidates), h AS (SELECT *, CAST(round(CAST(greatest(0.0, least(100.0, COALESCE(avg_score, 0) * 0.55 + reg * 0.3 + avail * 0.15 - CASE WHEN tested_articles < 5 THEN 15 ELSE 0 END)) AS DECIMAL(38,10)), 2) AS DOUBLE) AS health_score FROM x), a AS (SELECT *, CASE WHEN tested_articles >= 3 AND relevant_articles = 0 THEN 'reject' WHEN label IN ('archive', 'stale') AND relevant_articles < 3 THEN 'reject' WHEN health_score <= 25 THEN 'reject' WHEN health_score >= 70 AND tested_articles >= 5 AND relevant_articles >= 3 THEN 'add' WHEN health_score >= 45 OR label IN ('unknown', 'active_but_sparse') THEN CASE WHEN COALESCE(recommended_action, '') <> 'reject' THEN 'test_more' ELSE 'human_review' END ELSE COALESCE(recommended_action, 'human_review') END AS action FROM h) SELECT id, health_score, action, CASE WHEN label = 'archive' THEN 'archive' WHEN label = 'stale' THEN 'stale' WHEN action = 'add' THEN 'strong_source' WHEN action = 'test_more' THEN 'promising_needs_more_data' WHEN action = 'reject' THEN 'weak_source' WHEN health_score >= 50 THEN 'needs_review' ELSE 'risky_needs_review' END AS verdict FROM a",
+    "candidate_memory": "SELECT id, CAST(round(CAST(greatest(0.0, least(100.0, relevant_articles / CAST(greatest(tested_articles, 1) AS DOUBLE) * 55 + COALESCE(avg_score, 0) / 100 * 35 - noise_count / CAST(greatest(tested_articles, 1) AS DOUBLE) * 10 + CASE WHEN status = 'approved' THEN 25 WHEN status = 'rejected' THEN -45 WHEN status = 'paused' THEN -12 WHEN status = 'needs_human_review' AND recommended_action = 'add' THEN 8 WHEN recommended_action = 'reject' THEN -25 WHEN recommended_action = 'test_more' THEN -5 ELSE 0 END)) AS DECIMAL(38,10)), 2) AS DOUBLE) AS memory_score, CASE status WHEN 'rejected' THEN 'rejected' WHEN 'paused' THEN 'muted' ELSE 'active' END AS memory_status FROM source_candidates",
+    "topic_feedback": "WITH d AS (SELECT lower(trim(topic)) AS topic, CASE WHEN status = 'approved' THEN 'approved' WHEN status = 'rejected' OR recommended_action = 'reject' THEN 'rejected' WHEN status = 'paused' THEN 'paused' WHEN recommended_action = 'test_more' THEN 'test_more' END AS d FROM source_candidates WHERE trim(topic) <> ''), g AS (SELECT topic, COUNT(*) FILTER (WHERE d = 'approved') AS approved, COUNT(*) FILTER (WHERE d = 'rejected') AS rejected, COUNT(*) FILTER (WHERE d = 'paused') AS paused, COUNT(*) FILTER (WHERE d = 'test_more') AS test_more FROM d GROUP BY topic) SELECT *, approved * 4 + test_more * 1.5 - rejected * 6 - paused * 2 AS boost FROM g",
+    "content_themes": f"WITH h AS (SELECT id, {_HITS['abuse']} AS a, {_HITS['science']} AS s, {_HITS['german']} AS g FROM articles) SELECT id, CASE WHEN greatest(a, s, g) >= 2 AND greatest(a, s, g) > a THEN CASE WHEN s = greatest(a, s, g) THEN 'science' ELSE 'german' END ELSE 'abuse' END AS theme FROM h",
+    "glossary_warnings": f"SELECT id, 'ГРП' AS preferred, 'tion' AS pattern FROM articles WHERE {_NAMED(['the', 'der'])} AND regexp_matches(title, '(?i)tion') UNION ALL SELECT id, 'ГРП', 'schaft|keit' FROM articles WHERE {_NAMED(['the', 'der'])} AND regexp_matches(title, '(?i)schaft|keit') UNION ALL SELECT id, 'КРС', 'th' FROM articles WHERE {_NAMED(['worthless'])} AND regexp_matches(title, '(?i)th')",
     "url_key_dedupe": f"SELECT id, url_key, row_number() OVER (PARTITION BY url_key ORDER BY n DESC, id) = 1 AS kept FROM (SELECT id, {_URL_KEY} AS url_key, length(COALESCE(raw_text, '')) AS n FROM articles) k WHERE url_key IS NOT NULL",
     "shared_body_hash": f"SELECT id, source_id, body_hash, copies FROM (SELECT id, source_id, body_hash, COUNT(*) OVER (PARTITION BY source_id, body_hash) AS copies FROM (SELECT id, source_id, sha256({_BODY}) AS body_hash FROM articles) h WHERE body_hash IS NOT NULL) g WHERE copies > 1",
     "jaccard_pairs": f"WITH s AS (SELECT id, {_STEMS} AS stems FROM articles WHERE language = 'fr'), p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.stems, b.stems)) / CAST(len(list_distinct(list_concat(a.stems, b.stems))) AS DOUBLE) AS overlap FROM s a JOIN s b ON a.id < b.id AND len(a.stems) > 0 AND len(b.stems) > 0) SELECT id_a, id_b, round(overlap, 6) AS overlap FROM p WHERE overlap >= 0.5",
