@@ -51,7 +51,7 @@ class PieceSplitter:
 
     def words(self, pieces: list[str]) -> list[list[str]]:
         """Normalised words of each piece."""
-        usual = [p for p in pieces if not _RARE.search(p)]
+        usual = [p for p in pieces if not _RARE.search(p)] if _RARE.search("".join(pieces)) else pieces
         whole = unicodedata.normalize("NFC", "\n".join(usual)).replace("Σ", "σ").lower()
         found: list[list[str]] = [[]]
         for word in self.pattern.findall(whole):
@@ -59,24 +59,26 @@ class PieceSplitter:
                 found.append([])
             else:
                 found[-1].append(word)
+        if len(usual) == len(pieces):
+            return found[: len(pieces)]
         by = dict(zip(usual, found, strict=False))
         return [by[p] if p in by else self._by_library(p) for p in pieces]
 
     def _by_library(self, piece: str) -> list[str]:
-        normal = self.library.normalizer.normalize_str(piece)
-        raw = normal.encode()
-        out, at = [], 0
-        for symbols, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):  # a symbol for each byte
-            out.append(raw[at : at + len(symbols)].decode())
-            at += len(symbols)
+        out = []
+        for part in _BLANK.split(self.library.normalizer.normalize_str(piece)):
+            raw, at = part.encode(), 0
+            for symbols, _ in self.library.pre_tokenizer.pre_tokenize_str(part):  # a symbol for each byte
+                out.append(raw[at : at + len(symbols)].decode())
+                at += len(symbols)
         return out
 
 
 class PieceCache:
     """Encoded pieces: ``encode`` gives the ids (as bytes) of words, ``entries`` what is kept of encoded pieces."""
 
-    def __init__(self, splitter: PieceSplitter, encode: Callable[[list[str]], list[bytes]], entries: Callable[[list[bytes]], list], width: int = 4):
-        self.splitter, self.encode, self.entries, self.width = splitter, encode, entries, width
+    def __init__(self, splitter: PieceSplitter, encode: Callable[[list[str]], list[bytes]], entries: Callable[[list[bytes]], list], width: int = 4, generation: int = GENERATION):
+        self.splitter, self.encode, self.entries, self.width, self.generation = splitter, encode, entries, width, generation
         self.new: dict = {}
         self.old: dict = {}
         self.words: dict[str, bytes] = {}
@@ -88,13 +90,10 @@ class PieceCache:
         spelled = self.splitter.words(plain)
         if len(self.words) > GENERATION:
             self.words, self.old_words = {}, self.words
-        lacking = []
-        for word in {w for words in spelled for w in words}:
-            if word not in self.words:
-                if word in self.old_words:
-                    self.words[word] = self.old_words[word]
-                else:
-                    lacking.append(word)
+        lacking = set().union(*spelled) - self.words.keys()
+        again = lacking & self.old_words.keys()
+        self.words.update(zip(again, map(self.old_words.__getitem__, again), strict=True))
+        lacking = list(lacking - again)
         self.words.update(zip(lacking, self.encode(lacking), strict=True))
         get = self.words.__getitem__
         encoded = [b"".join(map(get, words)) for words in spelled]
@@ -110,17 +109,13 @@ class PieceCache:
             while j < len(texts) and (j == i or chars + len(texts[j] or "") <= GROUP_CHARS):
                 chars += len(texts[j] or "")
                 j += 1
-            if len(self.new) > GENERATION:
+            if len(self.new) > self.generation:
                 self.new, self.old = {}, self.new
             split = [self.splitter.pieces(t) if t else [] for t in texts[i:j]]
-            lacking = []
-            for piece in set().union(*split):
-                if piece not in self.new:
-                    if piece in self.old:
-                        self.new[piece] = self.old[piece]
-                    else:
-                        lacking.append(piece)
-            if lacking:
+            lacking = set().union(*split) - self.new.keys()
+            again = lacking & self.old.keys()
+            self.new.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            if lacking := list(lacking - again):
                 self._learn(lacking)
             for pieces in split:
                 yield list(map(self.new.__getitem__, pieces))

@@ -52,7 +52,7 @@ PATTERN = "|".join([
     r"(?<!\p{L})(?:" + _TITLES + r")\.? " + _NAME + "(?: " + _NAME + ")?",
 ])
 #: every entity holds a digit, an at sign, or one of these
-_HINT = r"[0-9@]|PRIVATE KEY|(?i:password|passwd|pwd|secret|token|api[_-]?key)|(?:" + _TITLES + r")\.? \p{Lu}"
+_HINT = r"[0-9@]|-----BEGIN|[pP](?i:assword|asswd|wd)|[sS](?i:ecret)|[tT](?i:oken)|[aA](?i:pi[_-]?key)|(?=[MHSFDPг])(?:" + _TITLES + r")\.? \p{Lu}"
 
 
 def found_entities(text: Column) -> Column:

@@ -17,22 +17,27 @@ keeps none.
 from __future__ import annotations
 
 import functools
-import uuid
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.pieces import PieceCache, PieceSplitter
-from tidewire.llm.shared import shared_folder
+from tidewire.llm import bytes_np as B
+from tidewire.llm.pieces import PieceSplitter
+from tidewire.llm.shared import new_folder
 
 SAMPLE = 64
 BLOCK_IDS = 1 << 20
+#: words that a worker remembers in each of two generations, and bytes of texts that it encodes at once
+GENERATION = 400_000
+SLICE_BYTES = 6 << 20
 
 
 class EliasFano:
@@ -82,21 +87,87 @@ class EliasFano:
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, which is given each word that a worker's cache lacks."""
+    """Ids by the tokenizers library, which is given each word that a worker does not remember.
+
+    White-space pieces of a slice of texts are numbered by Arrow, so that each distinct
+    one is looked at once; one of plain letters is a word and at most one stop.
+    """
 
     def __init__(self, path: str):
         self.splitter = PieceSplitter(path)
         self.library = self.splitter.library
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.cache = PieceCache(self.splitter, self._encode, lambda encoded: encoded, self.width)
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(words, add_special_tokens=False)
-        return [b"".join([i.to_bytes(self.width, "little") for i in e.ids]) for e in found]
-
-    def texts(self, texts: list[str | None]) -> Iterator[bytes]:
-        for entries in self.cache.texts(texts):
-            yield b"".join(entries)
+        self.kind = np.dtype(f"<u{self.width}")
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of normalised words, remembered in two generations of bounded size."""
+        if len(self.new) > GENERATION:
+            self.new, self.old = {}, self.new
+        lacking = set(words) - self.new.keys()
+        again = lacking & self.old.keys()
+        self.new.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        if lacking := list(lacking - again):
+            found = self.library.encode_batch_fast(lacking, add_special_tokens=False)
+            lists = [e.ids for e in found]
+            raw = np.fromiter(itertools.chain.from_iterable(lists), self.kind).tobytes()
+            ends = list(itertools.accumulate(map(len, lists), initial=0))
+            w = self.width
+            self.new.update((word, raw[a * w : b * w]) for word, a, b in zip(lacking, ends, ends[1:], strict=False))
+        return list(map(self.new.__getitem__, words))
+
+    def _unusual(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of any form."""
+        parts = [self.splitter.pieces(p) for p in pieces]
+        names = list(dict.fromkeys(x for p in parts for x in p if x not in self.splitter.special))
+        words = self.splitter.words(names)
+        spelled = dict(zip(names, words, strict=True))
+        flat = list({w for ws in words for w in ws})
+        by = dict(zip(flat, self.word_ids(flat), strict=True))
+        special = {t: i.to_bytes(self.width, "little") for t, i in self.splitter.special.items()}
+        return [b"".join(special[x] if x in special else b"".join([by[w] for w in spelled[x]]) for x in p) for p in parts]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, edges of each text) of a string column."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        numbered = lists.flatten().dictionary_encode()
+        pieces, index = numbered.dictionary, numbered.indices.to_numpy()
+        plain = pc.match_substring_regex(pieces, "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$").to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(pieces.filter(pa.array(plain)))
+        words = pc.utf8_rtrim(low, ".,").dictionary_encode()
+        stops = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(low, -1), pa.array([".", ","])), -1).to_numpy()
+        known = words.dictionary.to_pylist()
+        entries = self.word_ids([".", ",", *known]) + self._unusual(pieces.filter(pa.array(~plain)).to_pylist())
+        # each piece is one entry, or two with a stop
+        first, second = np.empty(len(pieces), np.int64), np.full(len(pieces), -1, np.int64)
+        first[plain] = words.indices.to_numpy() + 2
+        first[~plain] = np.arange(int((~plain).sum())) + 2 + len(known)
+        second[plain] = stops
+        flat = np.frombuffer(b"".join(entries), self.kind)
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // self.width
+        begins = np.cumsum(sizes) - sizes
+        taken = np.stack([first, second], 1).ravel()
+        used = taken[taken >= 0]
+        flat = flat[B.ranges(begins[used], sizes[used])]  # now the ids of each distinct piece
+        sizes = sizes[first] + np.where(second >= 0, sizes[second], 0)
+        begins = np.cumsum(sizes) - sizes
+        each = sizes[index]
+        ids = flat[B.ranges(begins[index], each)]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        return ids, ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, a bounded slice of texts at a time."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + SLICE_BYTES, "right")) - 1)
+            ids, edges = self.column(texts.slice(i, j - i))
+            raw, edges = ids.tobytes(), (edges * self.width).tolist()
+            yield from (raw[a:b] for a, b in zip(edges, edges[1:], strict=False))
+            i = j
 
 
 @functools.lru_cache(2)
@@ -132,7 +203,7 @@ def _write_blocks(path: str, end_id: int, block_ids: int):
         for batch in batches:
             kind = batch.column("_tw_id").type
             ids = batch.column("_tw_id").to_pylist()
-            for name, encoded in zip(ids, encoder.texts(batch.column("_tw_text").to_pylist()), strict=True):
+            for name, encoded in zip(ids, encoder.texts(batch.column("_tw_text")), strict=True):
                 names.append(name)
                 parts += [encoded, end]
                 sizes.append(len(encoded) // encoder.width + 1)
@@ -200,6 +271,6 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the token-id files of all documents and reads their boundaries back."""
     import public_tokenizers
 
-    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "token-files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), folder)
     return read_boundaries(spark, folder)

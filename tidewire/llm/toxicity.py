@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.llm.shared import written
+
 MAX_ROWS = 20_000
 MAX_VOTERS = 256
 PATTERN_LETTERS = 5
@@ -121,7 +123,8 @@ def learn(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
         return plain
     if total > max_rows:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
-    rows = known.join(documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id").select("text", "y")
+    # at most about max_rows ids are broadcast, so that no text is shuffled for the sample
+    rows = written(documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id").select("text", "y"), "labelled")
     counted = rows.mapInArrow(_features, "kind int, name string, y int").groupBy("kind", "name").agg(F.sum("y").alias("on"), F.count("*").alias("n"))
     odds = F.log((F.col("on") + 0.1) / (F.col("n") - F.col("on") + 0.1)) - F.lit(plain.bias)
     ranked = counted.where(f"n >= {min_texts} and on >= 2").withColumn("odds", odds).where("odds > 1.5").withColumn("rank", F.col("odds") * F.sqrt("on"))
