@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.llm import bytes_np as B
 from tidewire.llm.pieces import PieceCache, PieceSplitter
 
 _KEY = np.int64(1 << 24)
@@ -136,10 +137,17 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows whose texts have a bounded number of bytes, so that ids and decoded texts of few rows are held at once."""
+    data, offsets = B.text_buffer(batch.column("_tw_text"))
+    for i, j, _, _ in B.groups(data, offsets):
+        yield batch.slice(i, j - i)
+
+
 def _encode(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             count, ids, decoded = [], [], []
             for entries in bpe.encode_texts(batch.column("_tw_text").to_pylist()):
                 count.append(sum(e[0] for e in entries))
