@@ -69,46 +69,59 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.string()), pa.array(labels, pa.int32())], names=["kind", "name", "y"])
 
 
-def label_model(fires: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """(posterior of each row, prior, firing rates [2, voters], weight of each voter).
+def _correlations(fires: np.ndarray, post: np.ndarray, rates: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Correlations of the voters given the class, from residuals of a thousand rows at a time."""
+    m = fires.shape[1]
+    products = np.zeros((m, m))
+    for at in range(0, len(fires), 1024):
+        p = post[at : at + 1024]
+        residual = (fires[at : at + 1024] - np.outer(1 - p, rates[0]) - np.outer(p, rates[1])) * np.sqrt(counts[at : at + 1024])[:, None]
+        products += residual.T @ residual
+    scale = np.sqrt(np.diag(products)) + 1e-9
+    return products / np.outer(scale, scale)
+
+
+def label_model(fires: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None, rounds: int = 30) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """(posterior of each row, prior, firing rates [2, voters], weight of each voter); a row stands for ``counts`` equal texts (one each by default).
 
     The given labels enter as one more voter whose accuracy is estimated like the others'.
     """
-    n, m = fires.shape
+    counts = np.ones(len(fires)) if counts is None else counts
+    n, m = counts.sum(), fires.shape[1]
     post = labels.astype(float) * 0.96 + 0.02
     discount = np.ones(m)
-    prior, rates = float(post.mean()), np.zeros((2, m))
+    prior, rates = float(post @ counts / n), np.zeros((2, m))
     for step in range(rounds):
-        on, off = post.sum(), (1 - post).sum()
+        toxic, clean = post * counts, (1 - post) * counts
+        on, off = toxic.sum(), clean.sum()
         prior = float((on + 1) / (n + 2))
-        rates = np.stack([((1 - post) @ fires + 0.05) / (off + 1), (post @ fires + 0.05) / (on + 1)])
-        right1, right0 = (post @ labels + 2) / (on + 2.1), ((1 - post) @ (1 - labels) + 2) / (off + 2.1)
-        if step % 10 == 9:  # correlations given the class
-            expected = np.outer(1 - post, rates[0]) + np.outer(post, rates[1])
-            residual = fires - expected
-            scale = np.sqrt((residual**2).mean(0)) + 1e-9
-            related = np.clip((residual / scale).T @ (residual / scale) / n, 0, 1)
+        rates = np.stack([(side.astype(np.float32) @ fires + 0.05) / (total + 1) for side, total in ((clean, off), (toxic, on))]).astype(float)
+        right1, right0 = (toxic @ labels + 2) / (on + 2.1), (clean @ (1 - labels) + 2) / (off + 2.1)
+        if step % 10 == 9:
+            related = np.clip(_correlations(fires, post, rates, counts), 0, 1)
             np.fill_diagonal(related, 0)
             discount = 1 / (1 + np.where(related > 0.1, related, 0).sum(1))
         ratio = np.log(rates[1] / rates[0])
         silent = np.log((1 - rates[1]) / (1 - rates[0]))
-        logit = np.log(prior / (1 - prior)) + fires @ (discount * ratio) + (1 - fires) @ (discount * silent)
-        logit += np.where(labels == 1, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
+        logit = np.log(prior / (1 - prior)) + (discount * silent).sum() + fires @ (discount * (ratio - silent)).astype(np.float32)
+        logit = logit + np.where(labels == 1, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
         post = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
     return post, prior, rates, discount
 
 
-def linear_classifier(fires: np.ndarray, target: np.ndarray, steps: int = 300, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by accelerated gradient steps."""
-    n, m = fires.shape
-    x = np.hstack([fires, np.ones((n, 1), fires.dtype)])
-    rate = 4 / (float(np.linalg.norm(x.T @ x / n, 2)) + 1e-6)
+def linear_classifier(fires: np.ndarray, target: np.ndarray, counts: np.ndarray, steps: int = 300, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by accelerated gradient steps; a row stands for ``counts`` equal texts."""
+    m = fires.shape[1]
+    share = counts / counts.sum()
+    x = np.hstack([fires, np.ones((len(fires), 1), np.float32)])
+    products = sum(x[at : at + 1024].T @ (x[at : at + 1024] * share[at : at + 1024, None]) for at in range(0, len(x), 1024))
+    rate = 4 / (float(np.linalg.norm(products, 2)) + 1e-6)
     w, v = np.zeros(m + 1), np.zeros(m + 1)
     reg = np.full(m + 1, penalty)
     reg[-1] = 0
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -40, 40)))
-        new = v - rate * (x.T @ (p - target) / n + reg * v)
+        p = 1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32), -40, 40).astype(float)))
+        new = v - rate * (((p - target) * share).astype(np.float32) @ x + reg * v)
         v, w = new + k / (k + 3) * (new - w), new
     return w[:-1], float(w[-1])
 
@@ -143,13 +156,13 @@ def learn(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array(fired, pa.list_(pa.int32())), batch.column("y")], names=["fired", "y"])
 
     sample = rows.mapInArrow(votes, "fired array<int>, y int").groupBy("fired", "y").agg(F.count("*").alias("n")).collect()  # at most max_rows rows, of voter numbers
-    fires, y = np.zeros((sum(r["n"] for r in sample), m), np.float32), []
-    for r in sorted(sample, key=lambda r: (r["fired"], r["y"])):
-        for _ in range(r["n"]):
-            fires[len(y), r["fired"]] = 1
-            y.append(r["y"])
-    post, model.prior, model.rates, model.discount = label_model(fires, np.array(y))
-    model.weights, model.bias = linear_classifier(fires, post)
+    sample.sort(key=lambda r: (r["fired"], r["y"]))
+    fires = np.zeros((len(sample), m), np.float32)
+    for i, r in enumerate(sample):
+        fires[i, r["fired"]] = 1
+    y, counts = (np.array([r[name] for r in sample], float) for name in ("y", "n"))
+    post, model.prior, model.rates, model.discount = label_model(fires, y, counts)
+    model.weights, model.bias = linear_classifier(fires, post, counts)
     return model
 
 
