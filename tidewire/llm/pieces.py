@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import regex
 
-GENERATION = 200_000
+GENERATION = 1 << 16
 GROUP_CHARS = 1 << 21
 #: characters that Python takes for white space and the Unicode property does not
 _NOT_BLANK = regex.compile("[\x1c-\x1f]")
