@@ -4,8 +4,7 @@ The symbols of many words lie in one flat array. In each round the pairs of
 neighbours are looked up by binary search over the sorted pair keys, each word's
 lowest rank is taken, and all its occurrences are merged, until no word has a
 pair left. Words come from white-space pieces of the text, whose encodings are
-kept in a bounded cache in each task (a cache that is full is emptied; nothing is
-left out).
+kept in a bounded cache in each task; nothing is left out.
 
 Defined results: a null text is an empty text and has no ids; strings of special
 tokens in a text become their ids, as the tokenizers library does it; texts of any
@@ -137,17 +136,10 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of whole rows whose texts have a bounded number of bytes, so that ids and decoded texts of few rows are held at once."""
-    data, offsets = B.text_buffer(batch.column("_tw_text"))
-    for i, j, _, _ in B.groups(data, offsets):
-        yield batch.slice(i, j - i)
-
-
 def _encode(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in (part for whole in batches for part in _slices(whole)):
+        for batch in B.slices(batches, "_tw_text"):
             count, ids, decoded = [], [], []
             for entries in bpe.encode_texts(batch.column("_tw_text").to_pylist()):
                 count.append(sum(e[0] for e in entries))
@@ -162,6 +154,7 @@ def _encode(path: str, digest: bool):
                 [*(batch.column(n) for n in keep), pa.array(count, pa.int64()), pa.array(ids, pa.string() if digest else pa.list_(pa.int32())), pa.array(decoded, pa.string())],
                 names=[*keep, "_tw_count", "_tw_ids", "_tw_decoded"],
             )
+        bpe.cache.clear()  # the process stays for tasks of other stages
 
     return run
 

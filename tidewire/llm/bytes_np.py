@@ -6,7 +6,7 @@ bounded number of bytes (a single longer text is a group of its own).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +77,14 @@ def groups(data: np.ndarray, offsets: np.ndarray, limit: int = GROUP_BYTES) -> I
         i = j
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of whole rows whose texts have a bounded number of bytes, so that what is made of few rows is held at once."""
+    for batch in batches:
+        data, offsets = text_buffer(batch.column(column))
+        for i, j, _, _ in groups(data, offsets):
+            yield batch.slice(i, j - i)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words in bytes, and for each text the index of its first word (one more at the end)."""
     inside = table[data]

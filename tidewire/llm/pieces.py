@@ -84,6 +84,9 @@ class PieceCache:
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        self.new, self.old, self.words, self.old_words = {}, {}, {}, {}
+
     def _learn(self, pieces: list[str]) -> None:
         special = self.splitter.special
         plain = [p for p in pieces if p not in special]

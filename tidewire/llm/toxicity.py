@@ -19,6 +19,7 @@ score is the share of toxic labels (0 where there is none); other columns pass t
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.llm import bytes_np as B
 from tidewire.llm.shared import written
 
 MAX_ROWS = 20_000
@@ -58,15 +60,18 @@ class ToxicityModel:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kinds, names, labels = [], [], []
+    """Words and word beginnings with the number of texts and of toxic texts that have them, for runs of rows."""
+    for batch in B.slices(batches, "text"):
+        texts, toxic = Counter(), Counter()
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
             words = set(_WORD.findall(text.lower())) if text else set()
-            stems = {w[:PATTERN_LETTERS] for w in words if len(w) > PATTERN_LETTERS}
-            kinds += [0] * len(words) + [1] * len(stems)
-            names += [*words, *stems]
-            labels += [y] * (len(words) + len(stems))
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.string()), pa.array(labels, pa.int32())], names=["kind", "name", "y"])
+            found = [*((0, w) for w in words), *((1, s) for s in {w[:PATTERN_LETTERS] for w in words if len(w) > PATTERN_LETTERS})]
+            texts.update(found)
+            if y:
+                toxic.update(found)
+        kinds, names = zip(*texts, strict=True) if texts else ((), ())
+        counts = [pa.array([by[k] for k in texts], pa.int64()) for by in (toxic, texts)]
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.string()), *counts], names=["kind", "name", "on", "n"])
 
 
 def _correlations(fires: np.ndarray, post: np.ndarray, rates: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -138,7 +143,7 @@ def learn(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
     # at most about max_rows ids are broadcast, so that no text is shuffled for the sample
     rows = written(documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id").select("text", "y"), "labelled")
-    counted = rows.mapInArrow(_features, "kind int, name string, y int").groupBy("kind", "name").agg(F.sum("y").alias("on"), F.count("*").alias("n"))
+    counted = rows.mapInArrow(_features, "kind int, name string, on long, n long").groupBy("kind", "name").agg(F.sum("on").alias("on"), F.sum("n").alias("n"))
     odds = F.log((F.col("on") + 0.1) / (F.col("n") - F.col("on") + 0.1)) - F.lit(plain.bias)
     ranked = counted.where(f"n >= {min_texts} and on >= 2").withColumn("odds", odds).where("odds > 1.5").withColumn("rank", F.col("odds") * F.sqrt("on"))
     terms, patterns = (
@@ -151,7 +156,7 @@ def learn(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     voting = documents.sparkSession.sparkContext.broadcast(model)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in B.slices(batches, "text"):
             fired = [voting.value.voters(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(fired, pa.list_(pa.int32())), batch.column("y")], names=["fired", "y"])
 
@@ -169,7 +174,7 @@ def learn(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in B.slices(batches, "_tw_text"):
             scores = [model.score(t) for t in batch.column("_tw_text").to_pylist()]
             keep = [n for n in batch.schema.names if n != "_tw_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(scores, pa.float64())], names=[*keep, "_tw_toxicity"])
