@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from tidewire.llm import bytes_np as B
 from tidewire.llm.pieces import PieceCache, PieceSplitter
+from tidewire.llm.shared import mapped
 
 _KEY = np.int64(1 << 24)
 _FAR = np.int64(1 << 40)
@@ -168,7 +169,7 @@ def encode(documents: DataFrame, path: str, *, text: str = "text", digest: bool
     given = kept.withColumn("_tw_text", F.col(text))
     kind = T.StringType() if digest else T.ArrayType(T.IntegerType())
     schema = T.StructType([*kept.schema.fields, T.StructField("_tw_count", T.LongType()), T.StructField("_tw_ids", kind), T.StructField("_tw_decoded", T.StringType())])
-    out = given.mapInArrow(_encode(path, digest), schema)
+    out = mapped(given, _encode(path, digest), schema)
     return out.withColumnsRenamed({"_tw_count": "n_tokens", "_tw_ids": "ids", "_tw_decoded": "decoded"})
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm import bytes_np as B
+from tidewire.llm.shared import mapped
 
 #: bytes outside words; A-Z are lower-cased first and so belong to words
 SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
@@ -231,7 +232,7 @@ def find_hits(documents: DataFrame, items: DataFrame, *, text: str = "text", ite
     def apply(frame: DataFrame, block: list[tuple[str, list[bytes]]]) -> DataFrame:
         auto = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
         plain = frame.select(*[c for c in frame.columns if c not in ("_tw_words", "_tw_spans", "_tw_items")], "_tw_words", "_tw_spans", "_tw_items")
-        return plain.mapInArrow(_scan(auto, values, table), T.StructType([schema[c] for c in plain.columns]))
+        return mapped(plain, _scan(auto, values, table), T.StructType([schema[c] for c in plain.columns]))
 
     block: list[tuple[str, list[bytes]]] = []
     size, applied = 0, False
@@ -273,7 +274,7 @@ def decontaminate(documents: DataFrame, items: DataFrame, *, text: str = "text",
     found = find_hits(documents, items, text=text, **options)
     hit = F.aggregate("_tw_spans", F.lit(0), lambda a, x: a + x["end"] - x["begin"])
     kept = found.where((F.col("_tw_words") == 0) | (hit < F.col("_tw_words") * F.lit(max_coverage))).withColumn("_tw_text", F.col(text))
-    cleaned = kept.mapInArrow(_clean, kept.schema)
+    cleaned = mapped(kept, _clean, kept.schema)
     return cleaned.withColumn(text, F.col("_tw_text")).select(*documents.columns)
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from tidewire.llm import bytes_np as B
 from tidewire.llm.components import components
-from tidewire.llm.shared import written
+from tidewire.llm.shared import mapped, written
 
 SKETCH = 32
 BLOCK = 256
@@ -149,7 +149,7 @@ class NearDuplicates:
         self.id = rows.schema["id"].dataType
         fields = [T.StructField("id", self.id), *(T.StructField(n, T.LongType()) for n in ("n", "high", "low")), T.StructField("sketch", T.ArrayType(T.LongType()))]
         self.texts = rows
-        self.sketches = written(rows.mapInArrow(_sketch(words, sketch), T.StructType(fields)), "sketches")
+        self.sketches = written(mapped(rows, _sketch(words, sketch), T.StructType(fields)), "sketches")
         self.classes = written(self.sketches.where("n > 0").groupBy("high", "low").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")
 
     def lists(self) -> DataFrame:
@@ -175,7 +175,7 @@ class NearDuplicates:
     def _verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
         joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return joined.mapInArrow(_verify(self.words, self.percent), T.StructType([T.StructField("a", self.id), T.StructField("b", self.id)]))
+        return mapped(joined, _verify(self.words, self.percent), T.StructType([T.StructField("a", self.id), T.StructField("b", self.id)]))
 
     def links(self) -> DataFrame:
         """(id, component) of the classes that are linked with another."""
@@ -196,7 +196,7 @@ class NearDuplicates:
         left = sides.where("block = x")
         right = sides.where("block = y").select("value", "x", "y", F.col("one").alias("two"))
         compared = left.join(right, ["value", "x", "y"]).select("one", "two", (F.col("x") == F.col("y")).alias("same"))
-        more = compared.mapInArrow(_compare_blocks(self.words, self.percent), T.StructType([T.StructField("a", self.id), T.StructField("b", self.id)]))
+        more = mapped(compared, _compare_blocks(self.words, self.percent), T.StructType([T.StructField("a", self.id), T.StructField("b", self.id)]))
         return components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more))
 
     def result(self) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm import bytes_np as B
-from tidewire.llm.shared import written
+from tidewire.llm.shared import mapped, written
 
 MAX_ROWS = 20_000
 MAX_VOTERS = 256
@@ -143,7 +143,7 @@ def learn(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
     # at most about max_rows ids are broadcast, so that no text is shuffled for the sample
     rows = written(documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id").select("text", "y"), "labelled")
-    counted = rows.mapInArrow(_features, "kind int, name string, on long, n long").groupBy("kind", "name").agg(F.sum("on").alias("on"), F.sum("n").alias("n"))
+    counted = mapped(rows, _features, "kind int, name string, on long, n long").groupBy("kind", "name").agg(F.sum("on").alias("on"), F.sum("n").alias("n"))
     odds = F.log((F.col("on") + 0.1) / (F.col("n") - F.col("on") + 0.1)) - F.lit(plain.bias)
     ranked = counted.where(f"n >= {min_texts} and on >= 2").withColumn("odds", odds).where("odds > 1.5").withColumn("rank", F.col("odds") * F.sqrt("on"))
     terms, patterns = (
@@ -160,7 +160,7 @@ def learn(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
             fired = [voting.value.voters(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(fired, pa.list_(pa.int32())), batch.column("y")], names=["fired", "y"])
 
-    sample = rows.mapInArrow(votes, "fired array<int>, y int").groupBy("fired", "y").agg(F.count("*").alias("n")).collect()  # at most max_rows rows, of voter numbers
+    sample = mapped(rows, votes, "fired array<int>, y int").groupBy("fired", "y").agg(F.count("*").alias("n")).collect()  # at most max_rows rows, of voter numbers
     sample.sort(key=lambda r: (r["fired"], r["y"]))
     fires = np.zeros((len(sample), m), np.float32)
     for i, r in enumerate(sample):
@@ -186,7 +186,7 @@ def score(documents: DataFrame, model: ToxicityModel, *, text: str = "text", out
     """Adds the toxicity score of every text as column ``out``."""
     given = documents.withColumn("_tw_text", F.col(text))
     schema = T.StructType([*documents.schema.fields, T.StructField("_tw_toxicity", T.DoubleType())])
-    return given.mapInArrow(_score(documents.sparkSession.sparkContext.broadcast(model)), schema).withColumnRenamed("_tw_toxicity", out)
+    return mapped(given, _score(documents.sparkSession.sparkContext.broadcast(model)), schema).withColumnRenamed("_tw_toxicity", out)
 
 
 def held_out(doc_id: str):
