@@ -1,12 +1,17 @@
 """Operators on hand-made rows, with null and empty inputs."""
 
 import datetime as dt
+import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as fn
 from tidewire.operators import documents, jobs, merge, similarity
+from tidewire.plans import derived
 from tidewire.sources import pages
+from tidewire.sources.newsroom import Newsroom
 from tidewire.streaming import ingest
 
 
@@ -89,6 +94,35 @@ def test_star_not_chain(spark):
     assert {(r.id, r.duplicate_of) for r in similarity.assign_stars(nodes, edges).collect()} == {(1, 4), (3, 2)}
 
 
+def made_titles():
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdeжё1") for _ in range(r.randrange(3, 7))) for _ in range(40)]
+    titles = [None, "", "the and for", *(" ".join(r.choice(words) for _ in range(r.randrange(1, 9))) for _ in range(80))]
+    return titles + titles[-12:] + [titles[-1]] * 8
+
+
+def stem_set(title):
+    return {w[:4] for w in re.findall("[a-zа-яё0-9]{4,}", (title or "").lower()) if w not in similarity.STOP_STEMS and not w.isdigit()}
+
+
+@pytest.mark.parametrize("threshold", [0.25, 0.5, 1.0])
+@pytest.mark.parametrize("spread", [1000, 3])
+def test_similar_pairs_match_all_pairs(spark, monkeypatch, threshold, spread):
+    monkeypatch.setattr(similarity, "SPREAD", spread)
+    rows = list(enumerate(made_titles(), 1))
+    found = similarity.similar_pairs(spark.createDataFrame(rows, "id long, title string"), threshold=threshold).collect()
+    stems = {i: stem_set(t) for i, t in rows}
+    want = {(i, j): len(stems[i] & stems[j]) / len(stems[i] | stems[j]) for i in stems for j in stems if i < j and stems[i] and stems[j]}
+    assert sorted((r.id_a, r.id_b, r.overlap) for r in found) == sorted((*k, v) for k, v in want.items() if v >= threshold)
+
+
+def test_jaccard_pairs_reads_all_articles(spark):
+    room = Newsroom(spark, "/root/testdata/sf0.001")
+    stems = {r.id: stem_set(r.title) for r in room.table("articles").select("id", "title").collect()}
+    want = {(i, j) for i in stems for j in stems if i < j and stems[i] and stems[j] and len(stems[i] & stems[j]) / len(stems[i] | stems[j]) >= 0.25}
+    assert {(r.id_a, r.id_b) for r in derived.jaccard_pairs(spark, room.folder).collect()} == want
+
+
 def test_pages_and_feeds(spark):
     page = pages.parse_page('<html><head><title>T</title><meta property="og:title" content="OG"></head><body><nav>menu</nav><p>Hello <a href="/n/1">link</a></p></body></html>')
     assert page["title"] == "OG" and page["links"] == [{"href": "/n/1", "text": "link"}] and "menu" not in page["body"]

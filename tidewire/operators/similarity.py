@@ -34,25 +34,49 @@ def shared_bodies(articles: DataFrame) -> DataFrame:
     return hashed.join(groups, ["source_id", "body_hash"]).select("id", "source_id", "body_hash", "copies")
 
 
+#: copies or sharers of a stem that one task of a join takes at a time
+SPREAD = 1000
+
+
+def _stem_codes(stems: Column) -> Column:
+    """Four-letter stems as numbers, sixteen bits a letter."""
+    letters = lambda s: [F.shiftleft(F.ascii(F.substring(s, i + 1, 1)).cast("long"), 16 * (3 - i)) for i in range(4)]
+    return F.transform(stems, lambda s: sum(letters(s), F.lit(0).cast("long")))
+
+
 def similar_pairs(cards: DataFrame, *, id_col: str = "id", title: str = "title", threshold: float = 0.25) -> DataFrame:
     """Pairs of cards with Jaccard similarity of title stems of at least ``threshold``.
 
-    Prefix filtering: with a card's stems in order of rarity, two similar cards share
-    one among the first size - ceil(threshold * size) + 1, so only those rare stems
-    make candidates, and frequent stems make none.
+    Equal sets of stems are one class. Prefix filtering: with a class's stems in order
+    of rarity, two similar classes share one among the first
+    size - ceil(threshold * size) + 1, and are compared where the first shared one is,
+    if the stems after it can suffice. Frequent stems and large classes are spread.
     """
-    stems = cards.select(F.col(id_col).alias("id"), title_stems(F.col(title)).alias("stems")).where(F.size("stems") > 0)
-    single = stems.select("id", F.size("stems").alias("n"), F.explode("stems").alias("stem"))
+    stems = cards.select(F.col(id_col).alias("id"), F.array_sort(_stem_codes(title_stems(F.col(title)))).alias("stems")).where(F.size("stems") > 0)
+    classes = stems.groupBy("stems").agg(F.min("id").alias("of"), F.count("*").alias("copies")).withColumn("spread", F.expr(f"copies div {SPREAD} + 1"))
+    members = stems.join(classes, "stems").select("of", F.expr("pmod(xxhash64(id), spread)").alias("salt"), "id")
+
+    single = classes.select("of", "spread", F.explode("stems").alias("stem"))
     rarity = single.groupBy("stem").agg(F.count("*").alias("df"))
-    ranked = single.join(rarity, "stem").withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("df", "stem")))
-    prefix = ranked.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "stem", "n")
-    a, b = (prefix.select(F.col("id").alias(f"id_{x}"), "stem", F.col("n").alias(f"n_{x}")) for x in "ab")
+    ranked = single.join(rarity, "stem").groupBy("of", "spread").agg(F.array_sort(F.collect_list(F.struct("df", "stem"))).alias("ranked")).withColumn("n", F.size("ranked"))
+    first = F.slice("ranked", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
+    prefix = ranked.select("of", "spread", "n", F.col("ranked.stem").alias("stems"), F.posexplode(first).alias("pos", "at")).select("of", "spread", "n", "stems", "pos", "at.stem", F.expr(f"at.df div {SPREAD} + 1").alias("parts"))
+    a = prefix.select("stem", F.expr("pmod(xxhash64(of), parts)").alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("of", "spread", "n", "stems", "pos")))
+    b = prefix.select("stem", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), *(F.col(c).alias(f"{c}_b") for c in ("of", "spread", "n", "stems", "pos")))
     sizes_fit = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
-    pairs = a.join(b, "stem").where((F.col("id_a") < F.col("id_b")) & sizes_fit).select("id_a", "id_b").distinct()
-    left, right = (stems.select(F.col("id").alias(f"id_{x}"), F.col("stems").alias(f"stems_{x}")) for x in "ab")
-    joined = pairs.join(left, "id_a").join(right, "id_b")
-    overlap = F.size(F.array_intersect("stems_a", "stems_b")) / F.size(F.array_union("stems_a", "stems_b"))
-    return joined.select("id_a", "id_b", overlap.alias("overlap")).where(F.col("overlap") >= threshold)
+    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    can_suffice = most * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6
+    shared = F.array_intersect("stems_a", "stems_b")
+    overlap = F.size(shared) / (F.col("n_a") + F.col("n_b") - F.size(shared))
+    near = a.join(b, ["stem", "part"]).where((F.col("of_a") < F.col("of_b")) & sizes_fit & can_suffice & (F.get(shared, F.lit(0)) == F.col("stem")) & (overlap >= threshold))
+    near = near.select("of_a", "spread_a", "of_b", "spread_b", overlap.alias("overlap"))
+    equal = classes.where((F.col("copies") > 1) & F.lit(threshold <= 1)).select(F.col("of").alias("of_a"), F.col("spread").alias("spread_a"), F.col("of").alias("of_b"), F.col("spread").alias("spread_b"), F.lit(1.0).alias("overlap"))
+    pairs = near.union(equal)
+    for x in "ab":
+        dealt = pairs.withColumn("salt", F.explode(F.expr(f"sequence(0L, spread_{x} - 1)")))
+        pairs = dealt.join(members.select(F.col("of").alias(f"of_{x}"), "salt", F.col("id").alias(f"id_{x}")), [f"of_{x}", "salt"]).drop("salt", f"spread_{x}")
+    pairs = pairs.where((F.col("of_a") < F.col("of_b")) | (F.col("id_a") < F.col("id_b")))
+    return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "overlap")
 
 
 def cluster_key(text: Column, families: dict[str, str] | None = None) -> Column:

@@ -31,7 +31,7 @@ def shared_body_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Similar article titles (SIM-1, SIM-4, SIM-6)."""
-    pairs = similarity.similar_pairs(Newsroom(spark, folder).table("articles").where("language = 'fr'"), threshold=0.5)
+    pairs = similarity.similar_pairs(Newsroom(spark, folder).table("articles"))
     return pairs.withColumn("overlap", F.round("overlap", 6))
 
 
@@ -236,7 +236,7 @@ ORACLES = {
     "glossary_warnings": f"SELECT id, 'ГРП' AS preferred, 'tion' AS pattern FROM articles WHERE {_NAMED(['the', 'der'])} AND regexp_matches(title, '(?i)tion') UNION ALL SELECT id, 'ГРП', 'schaft|keit' FROM articles WHERE {_NAMED(['the', 'der'])} AND regexp_matches(title, '(?i)schaft|keit') UNION ALL SELECT id, 'КРС', 'th' FROM articles WHERE {_NAMED(['worthless'])} AND regexp_matches(title, '(?i)th')",
     "url_key_dedupe": f"SELECT id, url_key, row_number() OVER (PARTITION BY url_key ORDER BY n DESC, id) = 1 AS kept FROM (SELECT id, {_URL_KEY} AS url_key, length(COALESCE(raw_text, '')) AS n FROM articles) k WHERE url_key IS NOT NULL",
     "shared_body_hash": f"SELECT id, source_id, body_hash, copies FROM (SELECT id, source_id, body_hash, COUNT(*) OVER (PARTITION BY source_id, body_hash) AS copies FROM (SELECT id, source_id, sha256({_BODY}) AS body_hash FROM articles) h WHERE body_hash IS NOT NULL) g WHERE copies > 1",
-    "jaccard_pairs": f"WITH s AS (SELECT id, {_STEMS} AS stems FROM articles WHERE language = 'fr'), p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.stems, b.stems)) / CAST(len(list_distinct(list_concat(a.stems, b.stems))) AS DOUBLE) AS overlap FROM s a JOIN s b ON a.id < b.id AND len(a.stems) > 0 AND len(b.stems) > 0) SELECT id_a, id_b, round(overlap, 6) AS overlap FROM p WHERE overlap >= 0.5",
+    "jaccard_pairs": f"WITH s AS (SELECT id, {_STEMS} AS stems FROM articles), p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.stems, b.stems)) / CAST(len(list_distinct(list_concat(a.stems, b.stems))) AS DOUBLE) AS overlap FROM s a JOIN s b ON a.id < b.id AND len(a.stems) > 0 AND len(b.stems) > 0) SELECT id_a, id_b, round(overlap, 6) AS overlap FROM p WHERE overlap >= 0.25",
     "cluster_titles": f"SELECT cluster_key, COUNT(*) AS n, SUM(CAST(id % 7 AS DOUBLE)) AS strength FROM (SELECT id, CASE WHEN regexp_matches({_LOW}, 'robot|robotic|autonomous|physical ai|drill floor|inspection') THEN concat('physical-ai-robotics-', {_FP}) WHEN regexp_matches({_LOW}, 'predict|preventive|condition|corrosion|maintenance|anomaly') THEN concat('predictive-hse-', {_FP}) WHEN regexp_matches({_LOW}, 'permit|ptw|control of work|loto|isolation|simops|handover') THEN concat('digital-ptw-', {_FP}) WHEN regexp_matches({_LOW}, 'fleet|telematics|fatigue|collision|driver|vehicle|proximity') THEN concat('transport-safety-', {_FP}) WHEN regexp_matches({_LOW}, 'computer vision|video|camera|ppe|danger zone|unsafe') THEN concat('computer-vision-', {_FP}) ELSE array_to_string(list_slice(list_filter(regexp_extract_all({_LOW}, '[a-zа-яё0-9]{{4,}}'), lambda w: w NOT IN ('with', 'from')), 1, 3), '-') END AS cluster_key FROM articles) k GROUP BY cluster_key",
     "round_robin_topics": "SELECT id, theme, score, turn FROM (SELECT id, theme, score, row_number() OVER (PARTITION BY theme ORDER BY score DESC, id) AS turn, MAX(score) OVER (PARTITION BY theme) AS best FROM signals) r ORDER BY turn, best DESC, theme LIMIT 60",
     "offline_score": "WITH e AS (SELECT signal_id, COUNT(*) AS n, MAX(strength) AS best FROM signal_evidence GROUP BY signal_id), x AS (SELECT s.id, e.n, CAST(greatest(0, least(100, 35 + least(20, 5 * e.n) + least(30, 4 * (" + " + ".join(f"CAST(contains(lower(concat(s.title, ' deploy 5% contract')), '{m}') AS INT)" for m in ["deploy", "deployment", "implemented", "supplier", "contract", "partnership", "autonomous", "predictive", "hazard", "safety", "robot", "permit", "loto"]) + ")) + 8 + CASE WHEN e.best >= 0.75 THEN 7 ELSE 0 END)) AS DOUBLE) AS rule_score FROM signals s JOIN e ON e.signal_id = s.id) SELECT id, rule_score, CASE WHEN rule_score >= 88 AND n >= 3 THEN 'proven' WHEN rule_score >= 82 AND n >= 2 THEN 'shortlist' WHEN rule_score >= 62 THEN 'watch' ELSE 'reject' END AS rule_maturity FROM x",
