@@ -94,6 +94,43 @@ def test_star_not_chain(spark):
     assert {(r.id, r.duplicate_of) for r in similarity.assign_stars(nodes, edges).collect()} == {(1, 4), (3, 2)}
 
 
+def greedy_stars(nodes, edges):
+    """nodes: (id, tier, score, evidence); edges: pairs of ids."""
+    near = {n[0]: set() for n in nodes}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    order = sorted(nodes, key=lambda n: (n[1], -n[2], -n[3], n[0]))
+    place, tier, into = {n[0]: k for k, n in enumerate(order)}, {n[0]: n[1] for n in nodes}, {}
+    for node, *_ in order:
+        if node not in into:
+            into |= {o: node for o in near[node] if o not in into and place[o] > place[node] and tier[o] >= 2}
+    return into
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_stars_match_greedy(spark, seed):
+    r = random.Random(seed)
+    nodes = [(i, r.randrange(4), float(r.randrange(3)), r.randrange(2)) for i in range(40)]
+    edges = [(r.randrange(40), r.randrange(40)) for _ in range(70)]
+    edges = [e for e in edges if e[0] != e[1]]
+    chain = [(100 + i, 3, float(-i), 1) for i in range(7)]
+    # 203 is taken by 202 in the first round; 200 ranks higher and is found a centre only later
+    late = [(199, 2, 9.0, 1), (198, 2, 8.0, 1), (200, 2, 7.0, 1), (202, 2, 6.0, 1), (203, 2, 5.0, 1)]
+    nodes, edges = nodes + chain + late, edges + [(100 + i, 101 + i) for i in range(6)] + [(199, 198), (198, 200), (200, 203), (202, 203)]
+    found = similarity.assign_stars(spark.createDataFrame(nodes, "id long, tier int, score double, evidence int"), spark.createDataFrame(edges, "a long, b long"))
+    got = {x.id: x.duplicate_of for x in found.collect()}
+    assert got == greedy_stars(nodes, edges) and got[203] == 200 and got[103] == 102
+
+
+def test_star_assignment_takes_all_articles(spark):
+    room = Newsroom(spark, "/root/testdata/sf0.001")
+    nodes = [(r.id, r.id % 3 + 1, float(r.id % 100), 1) for r in room.table("articles").select("id").collect()]
+    stems = {r.id: stem_set(r.title) for r in room.table("articles").select("id", "title").collect()}
+    edges = [(i, j) for i in stems for j in stems if i < j and stems[i] and stems[j] and len(stems[i] & stems[j]) / len(stems[i] | stems[j]) >= 0.25]
+    assert {x.id: x.duplicate_of for x in derived.star_assignment(spark, room.folder).collect()} == greedy_stars(nodes, edges)
+
+
 def made_titles():
     r = random.Random(5)
     words = ["".join(r.choice("abcdeжё1") for _ in range(r.randrange(3, 7))) for _ in range(40)]

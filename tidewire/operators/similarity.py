@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators.tables import written
+
 # Stems that say nothing about a signal.
 STOP_STEMS = ["для", "как", "или", "что", "это", "при", "над", "под", "после", "the", "and", "for", "with", "from", "нефтегаз", "нефтегазов", "нефтегазовой", "нефтегаза", "систем", "системы", "решени", "технолог", "мониторинг"]
 
@@ -113,35 +114,34 @@ def round_robin(clusters: DataFrame, *, family: str, key: str, score: str, limit
     return ranked.orderBy("turn", F.desc("_best"), family).limit(limit).drop("_best")
 
 
-def assign_stars(nodes: DataFrame, edges: DataFrame, group: str = "component") -> DataFrame:
-    """Greedy star assignment within connected groups.
+def assign_stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Greedy star assignment.
 
-    Nodes (``component, id, tier, score, evidence``) are taken by (tier, -score,
-    -evidence, id). A node that is not yet taken becomes a centre, and its free
-    neighbours of a lower rank its duplicates; reviewed cards (tier below 2) are never
-    duplicates. Groups are what the similarity threshold connects; edges
-    (``component, a, b``) are given both ways or one.
-    """
+    Nodes (``id, tier, score, evidence``) are taken by (tier, -score, -evidence, id). A
+    node that is not yet taken becomes a centre, and its free neighbours of a lower
+    rank its duplicates; reviewed cards (tier below 2) are never duplicates. Edges
+    (``a, b``) are given both ways or one.
 
-    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in zip(e["a"], e["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        order = sorted(zip(n["tier"], -n["score"], -n["evidence"], n["id"], strict=True))
-        into: dict[int, int] = {}
-        centres = set()
-        for tier, _, _, node in order:
-            if node in into:
-                continue
-            centres.add(node)
-            for other in near.get(node, ()):
-                if other not in into and other not in centres and int(n.loc[n["id"] == other, "tier"].iloc[0]) >= 2:
-                    into[other] = node
-        rows = sorted(into.items())
-        return pd.DataFrame({"id": [i for i, _ in rows], "duplicate_of": [c for _, c in rows]})
-
-    return nodes.groupBy(group).cogroup(edges.groupBy(group)).applyInPandas(run, "id long, duplicate_of long")
+    In rounds on tables: open nodes with no open neighbour of a higher rank are
+    centres, their neighbours are taken. A taken node belongs to its first centre by
+    rank, which a later round may find, so it is chosen at the end: nodes that are never
+    taken are centres. There are as many rounds as the longest chain of nodes that wait for one another.
+    """
+    ranked = nodes.select(F.col("id").cast("long").alias("id"), "tier", F.struct("tier", (-F.col("score")).alias("score"), (-F.col("evidence")).alias("evidence"), F.col("id").cast("long").alias("id")).alias("rank"))
+    x, y = (ranked.select(F.col("id").alias(e), F.col("tier").alias(f"tier_{e}"), F.col("rank").alias(f"rank_{e}")) for e in "ab")
+    both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).join(x, "a").join(y, "b")
+    down = F.col("rank_a") < F.col("rank_b")
+    ends = lambda c: F.when(down, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")), lambda c: F.when(down, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
+    directed = both.where("a <> b").select(ends[0]("rank").alias("rank"), F.when(down, F.col("a")).otherwise(F.col("b")).alias("high"), F.when(down, F.col("b")).otherwise(F.col("a")).alias("low"), ends[1]("tier").alias("tier"))
+    all_edges = written(directed.where("tier >= 2").select("rank", "high", "low"), "stars")
+    taken, left = all_edges.where("false").select(F.col("low").alias("id")), all_edges.select("high", "low")
+    while not left.isEmpty():
+        centres = left.select("high").distinct().join(left.select(F.col("low").alias("high")).distinct(), "high", "left_anti")
+        new = written(left.join(centres, "high", "left_semi").select(F.col("low").alias("id")).distinct(), "taken")
+        taken = taken.union(new)
+        left = written(left.join(new.withColumnRenamed("id", "low"), "low", "left_anti").join(new.withColumnRenamed("id", "high"), "high", "left_anti").select("high", "low"), "open")
+    led = all_edges.join(taken.withColumnRenamed("id", "high"), "high", "left_anti")
+    return led.groupBy(F.col("low").alias("id")).agg(F.min("rank").alias("rank")).select("id", F.col("rank.id").alias("duplicate_of"))
 
 
 def offline_signal_score(n: Column, text: Column, best_strength: Column) -> Column:

@@ -158,14 +158,10 @@ def requeue_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def star_assignment(spark: SparkSession, folder: str) -> DataFrame:
-    """Greedy star assignment of similar titles within groups (SIM-7)."""
-    room = Newsroom(spark, folder)
-    pairs = similarity.similar_pairs(room.table("articles").where("language = 'fr'"), threshold=0.5)
-    edges = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    ends = edges.select(F.col("a").alias("id"), "b").union(edges.select("b", "a")).groupBy("id").agg(F.least(F.col("id"), F.min("b")).alias("component"))
-    inside = edges.join(ends.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(ends.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").where("ca = cb")
-    nodes = ends.select("component", "id", (F.col("id") % 3 + 1).cast("int").alias("tier"), (F.col("id") % 100).cast("double").alias("score"), F.lit(1).alias("evidence"))
-    return similarity.assign_stars(nodes, inside.select(F.col("ca").alias("component"), "a", "b"))
+    """Greedy star assignment of similar titles (SIM-7)."""
+    articles = Newsroom(spark, folder).table("articles")
+    nodes = articles.select("id", (F.col("id") % 3 + 1).cast("int").alias("tier"), (F.col("id") % 100).cast("double").alias("score"), F.lit(1).alias("evidence"))
+    return similarity.assign_stars(nodes, similarity.similar_pairs(articles).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
 
 
 def source_regularity(spark: SparkSession, folder: str) -> DataFrame:
