@@ -1,6 +1,7 @@
 """Operators on hand-made rows, with null and empty inputs."""
 
 import datetime as dt
+import math
 import random
 import re
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as fn
 from tidewire.operators import documents, jobs, merge, similarity
-from tidewire.plans import derived
+from tidewire.plans import derived, reports
 from tidewire.sources import pages
 from tidewire.sources.newsroom import Newsroom
 from tidewire.streaming import ingest
@@ -94,6 +95,23 @@ def test_star_not_chain(spark):
     assert {(r.id, r.duplicate_of) for r in similarity.assign_stars(nodes, edges).collect()} == {(1, 4), (3, 2)}
 
 
+def test_signals_for_dedup_keeps_reviewed_cards_and_ten_urls(spark):
+    room = Newsroom(spark, "/root/testdata/sf0.001")
+    evidence, reviewed = {}, {r.signal_id for r in room.table("signal_feedback").where("verdict <> '' or event_type = 'comment_added'").collect()}
+    for r in sorted(room.table("signal_evidence").collect(), key=lambda r: (-r.strength, r.id)):
+        evidence.setdefault(r.signal_id, []).append(r)
+    oldest = dt.datetime.fromisoformat(reports.AS_OF) - dt.timedelta(days=30)
+    wanted = []
+    for s in room.table("signals").where("merged_into_signal_id is null").collect():
+        last = max((e.published_at for e in evidence.get(s.id, []) if e.published_at), default=None)
+        if s.id in reviewed or (last and last >= oldest):
+            wanted.append((s.id not in reviewed, -last.timestamp() if last else math.inf, -s.id))
+    rows = room.sql(reports.signals_for_dedup()).collect()
+    assert [r.id for r in rows] == [-x[2] for x in sorted(wanted)[:300]]
+    assert all(r.urls.split() == [e.source_url for e in evidence.get(r.id, [])[:10]] for r in rows)
+    assert any(len(r.urls.split()) == 10 for r in rows)
+
+
 def greedy_stars(nodes, edges):
     """nodes: (id, tier, score, evidence); edges: pairs of ids."""
     near = {n[0]: set() for n in nodes}

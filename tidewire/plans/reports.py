@@ -427,16 +427,24 @@ def best_evidence() -> str:
           SELECT e.*, row_number() OVER (PARTITION BY signal_id ORDER BY strength DESC, published_at DESC NULLS LAST, id DESC) AS rn FROM signal_evidence e) x WHERE rn = 1"""
 
 
-def signals_for_dedup(*, limit: int = 300) -> str:
-    """Cards for deduplication: latest verdict, ten best URLs, reviewed flag (JN-20, WIN-2, WIN-3)."""
+def signals_for_dedup(*, window_days: int = 30, fresh_days: int = 3, limit: int = 300, as_of: str = AS_OF) -> str:
+    """Cards for deduplication: latest verdict, ten best URLs in order, reviewed and fresh flags (JN-20, WIN-2, WIN-3).
+
+    Reviewed cards of any age come first, then those seen within the window. A card is
+    first and last seen with its earliest and latest dated evidence.
+    """
+    urls = ", ".join(f"MAX(CASE WHEN rn = {k} THEN source_url END)" for k in range(1, 11))
     return f"""
         WITH verdicts AS (SELECT signal_id, verdict FROM (SELECT signal_id, verdict, row_number() OVER (PARTITION BY signal_id ORDER BY created_at DESC, id DESC) AS rn FROM signal_feedback WHERE verdict <> '') v WHERE rn = 1),
         urls AS (SELECT signal_id, source_url, row_number() OVER (PARTITION BY signal_id ORDER BY strength DESC, id) AS rn FROM signal_evidence),
-        best AS (SELECT signal_id, MAX(CASE WHEN rn = 1 THEN source_url END) AS url_1, MAX(CASE WHEN rn = 2 THEN source_url END) AS url_2, MAX(CASE WHEN rn = 10 THEN source_url END) AS url_10, COUNT(*) AS n_urls FROM urls WHERE rn <= 10 GROUP BY signal_id),
+        best AS (SELECT signal_id, concat_ws(' ', {urls}) AS urls, COUNT(*) AS n_urls FROM urls WHERE rn <= 10 GROUP BY signal_id),
+        dated AS (SELECT signal_id, MIN(published_at) AS first_seen_at, MAX(published_at) AS last_seen_at FROM signal_evidence GROUP BY signal_id),
         seen AS (SELECT DISTINCT signal_id FROM signal_feedback WHERE verdict <> '' OR event_type = 'comment_added')
-        SELECT s.id, s.title, s.score, v.verdict, b.url_1, b.url_2, b.url_10, COALESCE(b.n_urls, 0) AS n_urls, (r.signal_id IS NOT NULL) AS reviewed
-        FROM signals s LEFT JOIN verdicts v ON v.signal_id = s.id LEFT JOIN best b ON b.signal_id = s.id LEFT JOIN seen r ON r.signal_id = s.id
-        WHERE s.merged_into_signal_id IS NULL ORDER BY s.score DESC, s.id LIMIT {int(limit)}"""
+        SELECT s.id, s.title, s.score, v.verdict, COALESCE(b.urls, '') AS urls, COALESCE(b.n_urls, 0) AS n_urls, (r.signal_id IS NOT NULL) AS reviewed,
+               COALESCE(d.first_seen_at >= {_ts(as_of)} - INTERVAL '{int(fresh_days)}' DAY, FALSE) AS fresh, d.last_seen_at
+        FROM signals s LEFT JOIN verdicts v ON v.signal_id = s.id LEFT JOIN best b ON b.signal_id = s.id LEFT JOIN dated d ON d.signal_id = s.id LEFT JOIN seen r ON r.signal_id = s.id
+        WHERE s.merged_into_signal_id IS NULL AND (r.signal_id IS NOT NULL OR d.last_seen_at >= {_ts(as_of)} - INTERVAL '{int(window_days)}' DAY)
+        ORDER BY CASE WHEN r.signal_id IS NOT NULL THEN 0 ELSE 1 END, d.last_seen_at DESC NULLS LAST, s.id DESC LIMIT {int(limit)}"""
 
 
 def reviewed_urls() -> str:
