@@ -81,6 +81,21 @@ def test_groups_have_all_occurrences(spark):
     assert set(by_group.values()) == {5}
 
 
+def test_groups_list_copies(spark):
+    passage, alone = "a passage that copies and a partial sharer have", "copied as a whole and shared with no other text"
+    texts = [f"12 {passage} 34"] * 3 + [f"<{passage}>", alone, alone, "too short", "too short", None, None]
+    groups = suffix_dedup.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=20).collect()
+    covered, by_group = collections.defaultdict(set), collections.defaultdict(set)
+    for r in groups:
+        by_group[r.group].add((r.doc_id, r.begin, texts[r.doc_id].encode()[r.begin : r.begin + r.size]))
+        covered[r.doc_id] |= set(range(r.begin, r.begin + r.size))
+    assert all(len({text for *_, text in g}) == 1 for g in by_group.values())
+    assert {d: len(c) for d, c in covered.items()} == {**dict.fromkeys(range(3), len(texts[0])), 3: len(passage), 4: len(alone), 5: len(alone)}
+    shared = [g for g in by_group.values() if any(d == 3 for d, *_ in g)]
+    assert shared and all({d for d, *_ in g} == {0, 1, 2, 3} for g in shared)
+    assert {(4, 0, alone.encode()), (5, 0, alone.encode())} in by_group.values()
+
+
 def test_suffix_array_is_sorted():
     r = random.Random(1)
     segments = [bytes(r.choice(b"ab") for _ in range(r.randrange(1, 60))) for _ in range(20)]

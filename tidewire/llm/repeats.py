@@ -288,7 +288,7 @@ class RepeatJob:
         runs = sampled.join(grams, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "place", "hot")).alias("runs"))
         marked = rows.select("key", "doc_id", F.md5("text").alias("copy"))
         copies = marked.groupBy("copy").agg(F.count("*").alias("n"), F.min("key").alias("chosen"))
-        state = marked.distinct().join(copies, "copy").select("key", "doc_id", (F.col("n") > 1).alias("copied"), (F.col("chosen") == F.col("key")).alias("is_chosen"))
+        state = marked.distinct().join(copies, "copy").select("key", "doc_id", "copy", (F.col("n") > 1).alias("copied"), (F.col("chosen") == F.col("key")).alias("is_chosen"))
         plan = state.join(runs, "key", "left").select("key", "copied", (F.col("is_chosen") & F.col("runs").isNotNull()).alias("chosen"), F.when(F.col("is_chosen"), F.col("runs")).alias("runs"))
         self.placed = rows.select("key", "text").repartition(parts, "key")
         with_plan = self.placed.join(plan.hint("shuffle_hash"), "key", "left").select("key", "text", "chosen", "runs")

@@ -18,12 +18,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import bytes_np as B
 from tidewire.llm.repeats import Elements, RepeatJob, joined_spans
+from tidewire.llm.shared import mapped
 
 _STEP = 7
 
@@ -159,17 +161,29 @@ def repeat_job(documents: DataFrame, *, length: int = 200, gram: int | None = No
     return RepeatJob(documents, Elements(length, gram or max(1, min(32, length // 4)), None), find_repeats(length), **options)
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts as members of the groups named by their hashes."""
+    for batch in batches:
+        texts = [t.encode() for t in batch.column("text").to_pylist()]
+        groups, sizes = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts], [len(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(sizes, pa.int64()), batch.column("copy"), pa.array([0] * len(texts), pa.int64())], names=["group", "size", "copy", "begin"])
+
+
 def repeat_groups(documents: DataFrame, *, length: int = 200, **options) -> DataFrame:
     """(group, size, doc_id, begin): the maximal repeat groups with all their occurrences, in bytes.
 
     A group is one repeated string, named by its hash. Repeats that run over several
-    sampled grams come as one group for each gram's segments; of texts that are equal
-    as a whole, one stands for all.
+    sampled grams come as one group for each gram's segments. Texts that are equal as a
+    whole are searched once; each has what is found, and they are a group themselves.
     """
     job = repeat_job(documents, length=length, **options)
     members = job.find_all(find_groups(length))
     found = job.places.join(members, ["high", "low"]).select("group", "size", "key", (F.col("start") + F.col("begin")).alias("begin"))
-    return found.join(job.state.select("key", "doc_id"), "key").select("group", "size", "doc_id", "begin").distinct()
+    found = found.join(job.state.where("is_chosen").select("key", "copy").distinct(), "key").select("group", "size", "copy", "begin").distinct()
+    copied = job.state.where("copied and is_chosen").select("key", "copy").distinct()
+    texts = job.placed.where(F.octet_length("text") >= length).join(copied, "key").dropDuplicates(["key"]).select("text", "copy")
+    whole = mapped(texts, _whole, "group long, size long, copy string, begin long")
+    return found.union(whole).join(job.state.select("copy", "doc_id"), "copy").select("group", "size", "doc_id", "begin").distinct()
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
