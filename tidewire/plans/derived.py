@@ -30,7 +30,7 @@ def shared_body_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Similar article titles (SIM-1, SIM-4, SIM-6)."""
+    """Similar article titles (SIM-1, SIM-4; of SIM-6 only the Jaccard part)."""
     pairs = similarity.similar_pairs(Newsroom(spark, folder).table("articles"))
     return pairs.withColumn("overlap", F.round("overlap", 6))
 
