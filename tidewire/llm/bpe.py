@@ -51,10 +51,6 @@ class WordBpe:
         self.splitter = PieceSplitter(path)
         named = vocab | self.splitter.special
         self.tokens = {i: t.encode() for t, i in named.items()}
-        self.decimal = {i: b"%d" % i for i in self.tokens}
-        self.token_size, self.decimal_size = (np.zeros(max(named.values()) + 1, np.int64) for _ in range(2))
-        for i, t in self.tokens.items():
-            self.token_size[i], self.decimal_size[i] = len(t) + 1, len(self.decimal[i]) + 1
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.final = np.array([vocab[s + end] for s in symbols], np.int64)
@@ -63,7 +59,21 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        #: of each piece with its decoded text, and of each piece with its ids alone
         self.cache = PieceCache(self.splitter, self.encode_all, self.entries)
+        self.ids_cache = PieceCache(self.splitter, self.encode_all, list)
+
+    @functools.cached_property
+    def decimal(self) -> dict[int, bytes]:
+        return {i: b"%d" % i for i in self.tokens}
+
+    @functools.cached_property
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Length of the decimal number and of the token of each id, and one for the space."""
+        out = np.zeros((2, max(self.tokens) + 1), np.int64)
+        for i, t in self.tokens.items():
+            out[:, i] = len(self.decimal[i]) + 1, len(t) + 1
+        return out[0], out[1]
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, offsets of each word)."""
@@ -115,7 +125,7 @@ class WordBpe:
         at = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])]).astype(np.int64)
         numbers = ids.tolist()
         written, decoded = b" ".join(map(self.decimal.__getitem__, numbers)), self.decode(numbers)
-        edges = [np.concatenate([[0], np.cumsum(size[ids])])[at].tolist() for size in (self.decimal_size, self.token_size)]
+        edges = [np.concatenate([[0], np.cumsum(size[ids])])[at].tolist() for size in self.sizes]
         return [
             (len(e) // 4, e, written[a : b - 1] if e else b"", decoded[c : d - 1] if e else b"")
             for e, a, b, c, d in zip(encoded, edges[0], edges[0][1:], edges[1], edges[1][1:], strict=False)
@@ -137,6 +147,22 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _encode_ids(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for batch in B.slices(batches, "_tw_text"):
+            raw = [b"".join(found) for found in bpe.ids_cache.texts(batch.column("_tw_text").to_pylist())]
+            count = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))])
+            keep = [n for n in batch.schema.names if n != "_tw_text"]
+            columns = [*(batch.column(n) for n in keep), pa.array(count), pa.ListArray.from_arrays(pa.array(ends), flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_tw_count", "_tw_ids"])
+        bpe.ids_cache.clear()  # the process stays for tasks of other stages
+
+    return run
+
+
 def _encode(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
@@ -160,17 +186,21 @@ def _encode(path: str, digest: bool):
     return run
 
 
-def encode(documents: DataFrame, path: str, *, text: str = "text", digest: bool = False) -> DataFrame:
-    """Adds ``n_tokens``, ``ids`` and ``decoded`` (with digest: sha256 of the decimal ids and of the decoded text).
+def encode(documents: DataFrame, path: str, *, text: str = "text", decoded: bool = True, digest: bool = False) -> DataFrame:
+    """Adds ``n_tokens``, ``ids`` and, if ``decoded``, their decoded text (with digest: sha256 of the decimal ids and of the decoded text).
 
     Columns of these names in the input are replaced; others pass through.
     """
-    kept = documents.drop("n_tokens", "ids", "decoded") if text not in ("n_tokens", "ids", "decoded") else documents
+    names = ("n_tokens", "ids", "decoded") if decoded or digest else ("n_tokens", "ids")
+    kept = documents.drop(*names) if text not in names else documents
     given = kept.withColumn("_tw_text", F.col(text))
     kind = T.StringType() if digest else T.ArrayType(T.IntegerType())
-    schema = T.StructType([*kept.schema.fields, T.StructField("_tw_count", T.LongType()), T.StructField("_tw_ids", kind), T.StructField("_tw_decoded", T.StringType())])
-    out = mapped(given, _encode(path, digest), schema)
-    return out.withColumnsRenamed({"_tw_count": "n_tokens", "_tw_ids": "ids", "_tw_decoded": "decoded"})
+    fields = [*kept.schema.fields, T.StructField("_tw_count", T.LongType()), T.StructField("_tw_ids", kind)]
+    if len(names) == 3:
+        out = mapped(given, _encode(path, digest), T.StructType([*fields, T.StructField("_tw_decoded", T.StringType())]))
+    else:
+        out = mapped(given, _encode_ids(path), T.StructType(fields))
+    return out.drop(*(n for n in names if n in kept.columns)).withColumnsRenamed({"_tw_count": "n_tokens", "_tw_ids": "ids", "_tw_decoded": "decoded"})
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ forgotten is encoded again; nothing is left out.
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from collections.abc import Callable, Iterator
 import regex
 
 GENERATION = 1 << 16
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 20
 #: characters that Python takes for white space and the Unicode property does not
 _NOT_BLANK = regex.compile("[\x1c-\x1f]")
 _BLANK = regex.compile(r"\p{White_Space}+")
@@ -27,16 +28,24 @@ class PieceSplitter:
     """Pieces and words of texts as a vocabulary file of the tokenizers library has them (NFC, lower case, split pattern)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}") + "|\n")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
 
+    @functools.cached_property
+    def library(self):
+        """The tokenizers library's own object, truncation and padding unused; it is loaded where rare letters need it."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.path)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
     def pieces(self, text: str) -> list[str]:
         """White-space pieces, with special tokens' strings as pieces of their own."""
         if "<|" in text and self.special_pattern.search(text):

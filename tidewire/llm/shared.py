@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,8 +40,16 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+def give_back() -> None:
+    """Returns freed memory of this worker process to the system: it stays for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mapped(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` for texts of any length: batches are bounded in bytes, and Arrow's unused memory is given back after a task.
+    """``mapInArrow`` for texts of any length: batches are bounded in bytes, and unused memory is given back after a task.
 
     The session's ``spark.sql.execution.arrow.maxBytesPerBatch`` is set where it is unset.
     """
@@ -50,6 +59,6 @@ def mapped(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()  # the process stays for tasks of other stages
+        give_back()
 
     return frame.mapInArrow(whole, schema)
