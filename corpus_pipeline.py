@@ -48,7 +48,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Adds the token ids of every text."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).drop("decoded")
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=False)
 
 
 STAGES = [
