@@ -44,29 +44,69 @@ def test_prefilter_keeps_short_words_whole(spark):
     assert one(spark, keep, t=None, s=None)
 
 
-def test_numbers():
-    assert documents.normalize_number("1 234 567") == documents.normalize_number("1.234.567") == "1234567"
-    assert documents.normalize_number("1.234,50") == "1234.5"
-    assert documents.normalize_number("1,5") == "1.5"
-    assert documents.normalize_number("") is None and documents.normalize_number(None) is None
-    assert documents.verify_value("1,5", "млн тонн", "добыто 1 500 000 тонн нефти")
-    assert not documents.verify_value("1,5", "млн", "выделено 1,5 млрд")
-    assert not documents.verify_value("15", "", "в 2015 году")
-    assert documents.verify_value("высокий", None, "Риск Высокий")
-
-
-def test_chunks_cover_the_stream():
-    anchors = [(1, "a" * 30), (2, " "), (3, "".join(f"{i:04d}" for i in range(125))), (4, "c" * 10), (5, "d" * 60)]
-    chunks = documents.chunk_text(anchors, 120, 20)
-    stream = "\n".join(t for _, t in anchors if t.strip())
-    assert all(len(t) <= 120 for _, t, _, _ in chunks)
-    at = 0
-    for _, text, _, _ in chunks:
-        place = stream.find(text, max(0, at - 200))
-        assert 0 <= place <= at
-        at = place + len(text)
-    assert at == len(stream)
-    assert documents.chunk_text([], 100, 10) == []
+def test_numbers(spark):
+    cases = {
+        "1 234 567": "1234567", "1.234.567": "1234567", "1 234 567": "1234567", "1’234": "1234", "1.234,50": "1234.5", "1,5": "1.5", "1,500": "1500", "–5": "5", "+007,10": "7.1", "0,0": "0",
+        "1,234.567.8": None, "": None, None: None, "x5": None, "..": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", documents.normalized_number(F.col("raw")).alias("n")).collect()
+    assert {r.raw: r.n for r in rows} == cases
+
+
+def test_verified_values(spark):
+    cases = [
+        ("1,5", "млн тонн", "добыто 1 500 000 тонн нефти", True), ("1,5", "млн", "выделено 1,5 млрд", False), ("15", "", "в 2015 году", False), ("высокий", None, "Риск  Высокий", True),
+        ("5", "м2", "площадь 5 кв.м", True), ("5", "этажей", "дом 5 этаж", True), ("1,2", "тыс. барр/сут", "дебит 1,2 тыс. барр/сут в среднем", True), ("1200", "барр/сут", "дебит 1,2 тыс. барр/сут", True),
+        ("1200", "т/сут", "дебит 1,2 тыс. барр/сут", False), ("более 10", "скважин", "пробурено 10 скважин", True), ("Итого: 7", None, "всего 7 штук", True), ("100", "usd", "цена $ 100.", True),
+        ("100", "руб", "цена $ 100.", False), ("10", "кВ", "линия 10 кВ", True), ("3", "мес", "срок 3 месяца", True), ("", "т", "1 т", False), (None, None, None, False), ("4", None, "", False), ("5", "т", None, False),
+    ]
+    frame = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, v string, u string, a string")
+    got = {r.i: r.ok for r in frame.select("i", documents.value_verified(F.col("v"), F.col("u"), F.col("a")).alias("ok")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[3] for c in cases]
+
+
+@pytest.mark.parametrize(("limit", "overlap"), [(120, 20), (120, 0), (60, 59)])
+def test_chunks(spark, limit, overlap):
+    r = random.Random(7)
+    anchors = [(1, "a" * 30), (2, " \n"), (3, "".join(f"{i:04d}" for i in range(75))), (4, "c" * 20), (5, None)] + [(6 + i, "".join(r.choices("defghijk", k=r.randrange(1, 90)))) for i in range(40)]
+    frame = spark.createDataFrame([(1, anchors), (2, []), (3, None), (4, [(9, "one")])], "doc_id int, anchors array<struct<number:int,text:string>>")
+    found = documents.chunk_documents(frame, max_chars=limit, overlap=overlap).orderBy("doc_id", "chunk").collect()
+    assert [tuple(x) for x in found if x.doc_id != 1] == [(4, 0, "one", 9, 9)]
+    chunks = [x for x in found if x.doc_id == 1]
+    lines = [(n, t) for n, t in anchors if t and t.strip()]
+    stream, places, at = "\n".join(t for _, t in lines), {}, 0
+    for n, t in lines:
+        places[n] = (at, at + len(t))
+        at += len(t) + 1
+    lead, done, whole = max(overlap, 1), 0, []
+    for x in chunks:
+        assert len(x.text) <= limit and x.chunk == len(whole)
+        begin = stream.find(x.text, max(0, done - limit))
+        end = begin + len(x.text)
+        assert 0 <= begin <= done <= end  # nothing is left out
+        long = [n for n, (b, e) in places.items() if e - b > limit - min(lead, b) and n == x.anchor_from == x.anchor_to]
+        if not long:
+            inside = [n for n, (b, e) in places.items() if e > begin and b < end]
+            assert (inside[0], inside[-1]) == (x.anchor_from, x.anchor_to) and end == places[x.anchor_to][1]
+            after = [e for b, e in places.values() if b >= end]
+            content = begin + min(lead, done + 1) if begin else 0
+            assert not after or after[0] - content > limit - lead  # the next anchor would not fit
+        done, whole = end, [*whole, x]
+    assert done == len(stream)
+    with pytest.raises(ValueError, match="overlap"):
+        documents.chunk_documents(frame, max_chars=10, overlap=10)
+
+
+def test_long_anchor_pieces_keep_its_number(spark):
+    frame = spark.createDataFrame([(1, [(1, "a" * 30), (2, "b" * 300), (3, "c" * 20)])], "doc_id int, anchors array<struct<number:int,text:string>>")
+    found = documents.chunk_documents(frame, max_chars=120, overlap=20).orderBy("chunk").collect()
+    assert [(x.anchor_from, x.anchor_to, len(x.text)) for x in found] == [(1, 1, 30), (2, 2, 120), (2, 2, 120), (2, 2, 120), (2, 3, 40)]
+
+
+def test_marked_chunks(spark):
+    frame = spark.createDataFrame([(1, [(1, " aa "), (2, None), (3, "b" * 50), (4, "c")]), (2, None)], "doc_id int, anchors array<struct<number:int,text:string>>")
+    found = documents.marked_chunks(frame, max_chars=40).orderBy("chunk").collect()
+    assert [tuple(x)[1:] for x in found] == [(0, "[[unit 1]]\naa", 1, 1), (1, "[[unit 3]]\n" + "b" * 40, 3, 3), (2, "[[unit 3]]\n" + "b" * 10 + "\n[[unit 4]]\nc", 3, 4)]
 
 
 def test_upsert_policies(spark):
