@@ -56,6 +56,62 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert len(set(found.values())) == 4 and not set(found.values()) & set(found)
 
 
+def test_used_up_forms_get_longer(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_SAME_SIZE", 0)
+    entities = spark.createDataFrame([("national_id", f"{i}") for i in range(10)], "kind string, value string")
+    found = {r.value: r.core for r in pii.surrogate_table(entities, "k").collect()}
+    assert len(set(found.values())) == 10 and not set(found.values()) & set(found) and all(len(c) > 1 for c in found.values())
+
+
+def test_persons_keep_their_coreference_script_and_gender(spark):
+    (one, two, greek, hyphen, both) = replaced(spark, [
+        "Mr. John Smith, Mr Smith, Dr. Smith and Dr John Smith met. Later Smith and John Smith left; John stayed, smith too.",
+        "Mrs Smith came. Smithson did not.",
+        "Κύριος Παπαδόπουλος και Κυρία Μαρία Παππά",
+        "Frau Anna-Lena Meyer-Landrut",
+        "Mrs John Smith",
+    ])
+    given, last = re.match(r"Mr\. (\S+) (\w+),", one).groups()
+    assert one == f"Mr. {given} {last}, Mr {last}, Dr. {last} and Dr {given} {last} met. Later {last} and {given} {last} left; John stayed, smith too."
+    assert given in pii.GIVEN["lm"] and two == f"Mrs {last} came. Smithson did not."
+    assert re.fullmatch(r"Κύριος [Α-Ωα-ωίό]+ίδης και Κυρία [Ά-ώ]+ [Α-Ωα-ωίό]+ίδης", greek) and "Παπ" not in greek
+    assert re.fullmatch(r"Frau [A-Z][a-z]+ [A-Z][a-z]+-[A-Z][a-z]+", hyphen)
+    assert both.split()[1] in pii.GIVEN["lf"] and both.split()[1] != given
+
+
+def test_forms(spark):
+    iban, card, french, v6, key, jwt, edge = replaced(spark, [
+        "IBAN DE89 3704 0044 0532 0130 00.", "amex 3782 822463 10005 end", "+33 1 23 45 67 89 et +33 6 12 34 56 78", "host 2001:db8:0:1:1:1:1:1 and 2001:db8::1 at 12:30:45",
+        "-----BEGIN RSA PRIVATE KEY-----\nDEK-Info: AES-128-CBC,1\n\nMIIabc\n-----END RSA PRIVATE KEY-----", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF", "to a@x.org, b@y.org. And c@z.co-op d@w.net-1!",
+    ])
+    number = re.sub(r"[^A-Z0-9]", "", iban[5:])
+    assert re.fullmatch(r"IBAN DE\d\d( \d{4}){4} \d\d\.", iban) and int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1 and "0532" not in iban
+    assert re.fullmatch(r"amex 3\d{3} \d{6} \d{5} end", card) and luhn(card) and "822463" not in card
+    assert re.fullmatch(r"\+3\d \d( \d\d){4} et \+3\d \d( \d\d){4}", french) and "23 45 67" not in french and "12 34 56" not in french
+    assert "2001:" not in v6 and re.search(r"host fd[0-9a-f]{2}:.* and fd.* at 12:30:45$", v6)
+    assert "MIIabc" not in key and key.endswith("-----END RSA PRIVATE KEY-----")
+    assert jwt.startswith("eyJ") and len(jwt) == len("eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF") and "zdWIi" not in jwt
+    assert not re.search(r"@[xyzw]\.", edge) and edge.endswith("!")
+
+
+HOSTILE = [
+    "mail a@x" + ".a" * 200_000, "a@" + "x" * 500_000, "password=" + "q1" * 100_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "-----BEGIN PRIVATE KEY-----" + "a-" * 200_000,
+    "DE89" + " AB12" * 20_000, "Mr A" + "a-" * 200_000, "Dr " * 20_000, "+1" + " 2" * 200_000, "1." * 200_000, "a:" * 200_000, "eyJ" + "a" * 200_000 + "." * 200_000, "12 " * 200_000,
+]
+
+
+def test_hostile_texts(spark):
+    for text, out in zip(HOSTILE, replaced(spark, HOSTILE), strict=True):
+        assert len(out) > 1000 and "q1q1q1" not in out
+
+
+def test_rows_without_entities_are_not_touched_and_repeats_are_equal(spark):
+    rows = [(None, None, 1), (1, "", 2), (2, "call +1 304 555 3522", 3), (2, "call +1 304 555 3522", 3), (3, "plain", 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _tw_count int")
+    out = sorted((r.doc_id or 0, r.text) for r in pii.replace_entities(frame.drop("_tw_count"), "k").collect())
+    assert out[0] == (0, None) and out[1] == (1, "") and out[2] == out[3] != (2, "call +1 304 555 3522") and out[4] == (3, "plain")
+
+
 def test_odd_and_empty(spark, odd, empty):
     out = pii.replace_entities(odd, "k")
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
