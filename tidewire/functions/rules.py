@@ -32,7 +32,7 @@ def decimal_round(c: Column, digits: int) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), c))
+    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
 
 
 def is_future(ts: Column, as_of: Column, tolerance_days: int = 2) -> Column:
@@ -227,3 +227,9 @@ def signal_key(title: Column, urls: Column, fingerprint: Column) -> Column:
     keys = F.array_distinct(F.transform(F.filter(urls, lambda u: u.isNotNull() & (u != "")), address_key))
     seed = F.when(F.size(keys) == 1, F.concat(F.lit("url:"), F.get(keys, F.lit(0)))).otherwise(F.concat(F.lit("fact:"), fingerprint))
     return F.substring(F.sha2(seed, 256), 1, 24)
+
+
+def extraction_status(extracted: Column, current: Column, owned: Column, *, least: int, gain: float = 2.0) -> Column:
+    """What becomes of an extracted text by its length and the present one's, and whether it belongs to the title."""
+    better = (current < least) | (extracted >= current * gain)
+    return F.when(extracted < least, "too_short").when(~better, "no_gain").when(owned, "ok").otherwise("mismatch")

@@ -51,3 +51,39 @@ def batches(ids: DataFrame, size: int, id_col: str = "id") -> DataFrame:
     order = Window.partitionBy("_part").orderBy("id")
     numbered = ordered.withColumn("_job", F.floor((F.row_number().over(order) - 1) / size))
     return numbered.groupBy("_part", "_job").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("first_id"), "ids")
+
+
+def _held(jobs: DataFrame, rows: DataFrame, extra: list[str]) -> DataFrame:
+    """Jobs with the token, and further columns, that a worker brings for them."""
+    brought = rows.dropDuplicates(["id"]).select("id", F.col("lease_token").alias("_token"), *[F.col(c).alias(f"_{c}") for c in extra])
+    return jobs.join(brought, "id", "left")
+
+
+def begin_finalize(jobs: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Running jobs whose worker still holds the lease become ``finalizing``: from then on no sweep gives them to another."""
+    mine = (F.col("status") == "running") & (F.col("lease_token") == F.col("_token")) & (F.col("lease_expires_at") > now)
+    return _held(jobs, results, []).withColumn("status", F.when(F.coalesce(mine, F.lit(False)), "finalizing").otherwise(F.col("status"))).select(*jobs.columns)
+
+
+def end_finalize(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """Finalizing jobs become ``ok`` where ``applied`` is true, else they are running again."""
+    mine = F.coalesce((F.col("status") == "finalizing") & (F.col("lease_token") == F.col("_token")), F.lit(False))
+    return _held(jobs, results, ["applied"]).withColumn("status", F.when(mine & F.col("_applied"), "ok").when(mine, "running").otherwise(F.col("status"))).select(*jobs.columns)
+
+
+def fail(jobs: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
+    """Jobs of ``failures`` (id, retry_seconds): queued again after the delay while attempts are left, else failed."""
+    joined = jobs.join(failures.dropDuplicates(["id"]).select("id", F.lit(True).alias("_failed"), F.col("retry_seconds").alias("_delay")), "id", "left")
+    hit = F.coalesce("_failed", F.lit(False))
+    again = hit & F.col("_delay").isNotNull() & (F.col("attempts") < F.col("max_attempts"))
+    return joined.withColumns({
+        "status": F.when(again, "queued").when(hit, "failed").otherwise(F.col("status")),
+        "run_after": F.when(again, now + F.make_dt_interval(secs=F.col("_delay").cast("double"))).otherwise(F.col("run_after")),
+    }).select(*jobs.columns)
+
+
+def claim_by_capability(jobs: DataFrame, have: list[str], now: Column, *, limit: int = 1) -> DataFrame:
+    """Ids of the oldest ready jobs whose needs a worker has; jobs without needs fit every worker."""
+    ready = (F.col("status") == "queued") & (F.col("run_after").isNull() | (F.col("run_after") <= now))
+    fits = (F.size(F.coalesce("capabilities", F.array().cast("array<string>"))) == 0) | F.arrays_overlap("capabilities", F.array(*map(F.lit, have)))
+    return jobs.where(ready & fits).orderBy("created_at", "id").limit(limit).select("id")

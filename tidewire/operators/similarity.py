@@ -10,6 +10,9 @@ from tidewire.operators.tables import written
 # Stems that say nothing about a signal.
 STOP_STEMS = ["для", "как", "или", "что", "это", "при", "над", "под", "после", "the", "and", "for", "with", "from", "нефтегаз", "нефтегазов", "нефтегазовой", "нефтегаза", "систем", "системы", "решени", "технолог", "мониторинг"]
 
+# Words of a field that names no company.
+PLACEHOLDERS = "не указ|упомин|источник|публикатор|publisher|публикует|публицист"
+
 
 def title_stems(title: Column) -> Column:
     """Distinct four-letter beginnings of words of four letters or more."""
@@ -158,3 +161,49 @@ def offline_signal_score(n: Column, text: Column, best_strength: Column) -> Colu
 
 def maturity(score: Column, n: Column) -> Column:
     return F.when((score >= 88) & (n >= 3), "proven").when((score >= 82) & (n >= 2), "shortlist").when(score >= 62, "watch").otherwise("reject")
+
+
+def company_keys(companies: Column) -> Column:
+    """Distinct names in a list of companies: lower case, without what brackets hold and quotes, parts of a joint name apart."""
+    given = F.filter(F.transform(companies, lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))), lambda c: (c != "") & ~c.rlike(PLACEHOLDERS))
+    plain = F.transform(given, lambda c: F.regexp_replace(F.regexp_replace(c, r"\(.*?\)", ""), "[«»\"'?]", ""))
+    parts = F.flatten(F.transform(plain, lambda c: F.split(c, r"\s*[/;]\s*", -1)))
+    named = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+    return F.array_distinct(F.filter(named, lambda p: F.length(F.regexp_replace(p, "[^a-zа-яё]", "")) >= 2))
+
+
+def key_pairs(cards: DataFrame, keys: str) -> DataFrame:
+    """(id_a, id_b): cards that share a key (a company or an address), each pair once."""
+    held = cards.select("id", F.explode(keys).alias("_key")).distinct()
+    shared = held.join(held.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"), "_key")
+    a, b = shared.select(F.col("id").alias("id_a"), "_key"), shared.select(F.col("id").alias("id_b"), "_key")
+    return a.join(b, "_key").where("id_a < id_b").select("id_a", "id_b").distinct()
+
+
+def eligible_pairs(cards: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs in which something is to be decided: a new card, or a fresh one that no one has reviewed."""
+    open_ = F.col("is_new") | (F.col("fresh") & ~F.col("reviewed"))
+    state = cards.select("id", open_.alias("_open"))
+    joined = pairs.join(state.toDF("id_a", "_a"), "id_a").join(state.toDF("id_b", "_b"), "id_b")
+    return joined.where("_a OR _b").select("id_a", "id_b")
+
+
+def duplicate_roots(targets: DataFrame, kept: DataFrame) -> DataFrame:
+    """(id, root): the kept card where the pointers of a duplicate end; ``cycle`` for a circle, null where a chain ends elsewhere.
+
+    Pointers are doubled in rounds over written tables until none can move.
+    """
+    ends = kept.select(F.col("id").alias("target"), F.lit(True).alias("_kept"))
+    open_ = targets.select("id", "target").dropDuplicates(["id"])
+    step, done, hops, most = open_, None, 1, open_.count()
+    while True:
+        judged = step.join(ends, "target", "left")
+        found = judged.where("_kept").select("id", "target")
+        done = written(found if done is None else done.unionByName(found), "roots")
+        moving = judged.where("_kept IS NULL").select("id", "target")
+        known = moving.unionByName(done).select(F.col("id").alias("target"), F.col("target").alias("_next"))
+        step, hops = written(moving.join(known, "target").select("id", F.col("_next").alias("target")), "pointers"), hops * 2
+        if step.isEmpty() or hops > 2 * most:  # no chain is longer than there are pointers
+            break
+    found = done.select("id", F.col("target").cast("string").alias("root"))
+    return open_.select("id").join(found.unionByName(step.select("id", F.lit("cycle").alias("root"))), "id", "left")

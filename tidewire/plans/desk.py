@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules
-from tidewire.functions import text as fn
 from tidewire.operators import selection
+from tidewire.plans.register import Register
 from tidewire.plans.reports import AS_OF
-from tidewire.sources.newsroom import Newsroom, with_views
+from tidewire.sources.newsroom import Newsroom
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str):
-    """Registers a query with its DuckDB text."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, folder: f(Newsroom(spark, folder))
-        ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = Register()
+QUERIES, oracle_sql = query.queries, query.oracle_sql
 
 
 def _as_of():
@@ -465,7 +455,3 @@ def attached_feedback(room: Newsroom) -> DataFrame:
     """The latest two examples of each group are attached (WIN-5, 2.1.35)."""
     latest = Window.partitionBy(F.col("signal_id") % 20).orderBy(F.desc("created_at"), F.desc("id"))
     return room.table("signal_feedback").select("id", F.when(F.row_number().over(latest) <= 2, "attached").otherwise("open").alias("state"))
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, sql in ORACLES.items()}
