@@ -251,3 +251,39 @@ def test_lease_states(spark, tmp_path):
     out = ingest.lease_states(spark.readStream.schema(rows.schema).parquet(source))
     out.writeStream.outputMode("update").format("memory").queryName("leases").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert {(r.job_id, r.status, r.attempts) for r in spark.table("leases").collect()} == {(1, "ok", 1), (2, "queued", 0)}
+
+
+def test_listing_candidates(spark):
+    html = """<a href='/news/2024/05/06/one'>A long enough title of one article</a><a href="/news/2024/05/06/one#x">bad fragment of an article</a>
+    <A class=x HREF="two/story-two?utm_source=q&amp;id=3">Second story with its &amp; title <b>in bold</b></A><a href="/about/us">About the company and its people</a>
+    <a href="https://else.org/news/1">A title that is long enough too</a><a href="/a.jpg">A picture that is shown in full size</a><a href="/">The front page of this very site</a><a href="/news/3">short</a>
+    <a href="//my.org/press/4">Protocol-relative press release four</a><a href="?p=5">A page that only differs by its query</a><a href="/news/2024/05/06/one">A later title of the same address</a><a>no address at all in this one</a>"""
+    rows = spark.createDataFrame([(1, "https://my.org/list/all.html?x=1", html), (2, "https://my.org", None), (3, None, html)], "id int, url string, html string")
+    found = [tuple(r) for r in pages.listing_candidates(rows, key="id").orderBy("id", "rank").collect()]
+    assert found == [
+        (1, 1, "https://my.org/news/2024/05/06/one", "A long enough title of one article", 8),
+        (1, 2, "https://my.org/list/two/story-two?amp;id=3", "Second story with its & title in bold", 5),
+        (1, 3, "https://my.org/press/4", "Protocol-relative press release four", 5),
+        (1, 4, "https://my.org/list/all.html?p=5", "A page that only differs by its query", 1),
+    ]
+
+
+def test_page_articles(spark):
+    long = "A sentence of an article that goes on. " * 5
+    rows = spark.createDataFrame([
+        (1, f'<meta property="og:title" content="The &amp; title"><script type="application/ld+json">{{"articleBody": "{long}\\"x\\""}}</script><h1>Head</h1><meta name="pubdate" content="2001-02-03T04:05:06Z">'),
+        (2, f"<title>Page</title><h1>A <b>head</b></h1><nav><p>menu</p></nav><p>{long}</p><p>{long}</p><time datetime='2999-01-01'>on 2000/5/6</time>"),
+        (3, "<title>Only</title><p>short</p>"), (4, None), (5, '"text": "' + "a" * 300_000),
+    ], "id int, html string")
+    found = {r.id: r for r in pages.page_articles(rows, as_of=F.lit("2001-08-02").cast("timestamp")).collect()}
+    assert found[1].title == "The & title" and found[1].text.startswith("A sentence") and found[1].published_at.year == 2001
+    assert found[2].title == "A head" and found[2].text == long.strip() and str(found[2].published_at)[:10] == "2000-05-06"
+    assert found[3].title == "Only" and found[3].text == "short" and found[4].title is None and found[4].text == "" and found[5].title is None
+
+
+def test_channel_posts(spark):
+    post = lambda n, text, at: f'<div class="tgme_widget_message" data-post="chan/{n}"><div class="tgme_widget_message_text js">{text}</div><time datetime="{at}"></time></div>'
+    html = post(1, "First post. It has two sentences, and more.", "2024-01-01T10:00:00+00:00") + post(2, "", "2024-01-03T10:00:00+00:00") + post(3, "A sentence that is long enough. Then more", "2024-01-02T10:00:00+00:00") + post("x", "no number", "")
+    rows = spark.createDataFrame([("s", html), ("t", None), ("u", "<p>none</p>")], "source string, html string")
+    found = [tuple(r)[:4] for r in pages.channel_posts(rows).collect()]
+    assert found == [("s", "https://t.me/chan/3", "A sentence that is long enough.", "A sentence that is long enough. Then more"), ("s", "https://t.me/chan/1", "First post. It has two sentences, and more.", "First post. It has two sentences, and more.")]

@@ -122,11 +122,32 @@ def parsed_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Link addresses of pages by pattern (SRC-4)."""
+    """Link addresses of pages by pattern."""
     pages = Newsroom(spark, folder).table("pages")
     return pages.select("page_id", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
+def listing_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The best links to articles of the own host, of listing pages made of each language's articles (SRC-4, SRC-6, SRC-7, SRC-10)."""
+    a = Newsroom(spark, folder).table("articles")
+    number, host = F.col("id").cast("string"), F.concat(F.lit("https://www."), "language", F.lit(".example.com"))
+    href = (
+        F.when(F.col("id") % 4 == 0, F.concat(F.lit("/news/x"), number, F.lit("?utm_source=a"))).when(F.col("id") % 4 == 1, F.concat(host, F.lit("/a/b/"), number, F.lit("#top")))
+        .when(F.col("id") % 4 == 2, F.concat(F.lit("https://other.example.com/news/"), number)).otherwise(F.concat(F.lit("/files/"), number, F.lit(".pdf")))
+    )
+    shown = F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    anchor = F.concat(F.lit('<li><a class="x" href="'), F.regexp_replace(href, "#top$", ""), F.lit('"><b>'), shown, F.lit("</b></a></li>"))
+    pages = a.select("language", host.alias("host"), "id", anchor.alias("anchor")).groupBy("language", F.concat("host", F.lit("/list?page=1")).alias("url"))
+    whole = pages.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "anchor"))), lambda x: x["anchor"]), "\n").alias("html"))
+    return page_source.listing_candidates(whole, key="language", limit=12)
+
+
+def page_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Title, date and size of the text of pages, with JSON-LD before markup (SRC-8, FN-25, FN-28 to FN-31)."""
+    found = page_source.page_articles(Newsroom(spark, folder).table("pages"), as_of=F.lit(AS_OF).cast("timestamp"))
+    return found.select("page_id", "title", "image", F.length("text").alias("n_text"), F.date_format("published_at", "yyyy-MM-dd").alias("published"))
+
+
 def _new_sources(room: Newsroom) -> DataFrame:
     return room.sql("SELECT id, concat(name, '-x') AS name, CASE WHEN id % 2 = 0 THEN 'Blog' END AS source_type, FALSE AS enabled FROM sources WHERE id % 3 = 0 UNION ALL SELECT id + 1000, name, 'News', TRUE FROM sources WHERE id % 5 = 0")
 
@@ -206,7 +227,7 @@ THEMES = {"abuse": ["worthless", "idiot", "clown"], "science": ["tion", "retitio
 
 QUERIES = {f.__name__: f for f in (
     url_key_dedupe, shared_body_hash, jaccard_pairs, cluster_titles, round_robin_topics, offline_score, page_addresses, text_flags, title_matches_body, prefilter,
-    keyword_scores, digest_summary, scan_density, chunk_documents, verify_facts, parsed_pages, page_links, upsert_sources, insert_articles, queue_claim, requeue_sweep,
+    keyword_scores, digest_summary, scan_density, chunk_documents, verify_facts, parsed_pages, page_links, listing_candidates, page_articles, upsert_sources, insert_articles, queue_claim, requeue_sweep,
     star_assignment, source_regularity, source_health_score, candidate_memory, topic_feedback, content_themes, glossary_warnings,
 )}
 
@@ -232,7 +253,9 @@ ORACLES = {
     "glossary_warnings": f"SELECT id, 'ГРП' AS preferred, 'tion' AS pattern FROM articles WHERE {_NAMED(['the', 'der'])} AND regexp_matches(title, '(?i)tion') UNION ALL SELECT id, 'ГРП', 'schaft|keit' FROM articles WHERE {_NAMED(['the', 'der'])} AND regexp_matches(title, '(?i)schaft|keit') UNION ALL SELECT id, 'КРС', 'th' FROM articles WHERE {_NAMED(['worthless'])} AND regexp_matches(title, '(?i)th')",
     "url_key_dedupe": f"SELECT id, url_key, row_number() OVER (PARTITION BY url_key ORDER BY n DESC, id) = 1 AS kept FROM (SELECT id, {_URL_KEY} AS url_key, length(COALESCE(raw_text, '')) AS n FROM articles) k WHERE url_key IS NOT NULL",
     "shared_body_hash": f"SELECT id, source_id, body_hash, copies FROM (SELECT id, source_id, body_hash, COUNT(*) OVER (PARTITION BY source_id, body_hash) AS copies FROM (SELECT id, source_id, sha256({_BODY}) AS body_hash FROM articles) h WHERE body_hash IS NOT NULL) g WHERE copies > 1",
-    "jaccard_pairs": f"WITH s AS (SELECT id, {_STEMS} AS stems FROM articles), p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.stems, b.stems)) / CAST(len(list_distinct(list_concat(a.stems, b.stems))) AS DOUBLE) AS overlap FROM s a JOIN s b ON a.id < b.id AND len(a.stems) > 0 AND len(b.stems) > 0) SELECT id_a, id_b, round(overlap, 6) AS overlap FROM p WHERE overlap >= 0.25",
+    "jaccard_pairs": f"WITH s AS (SELECT id, {_STEMS} AS stems FROM articles), e AS (SELECT id, unnest(stems) AS t, len(stems) AS n FROM s), p AS (SELECT a.id AS id_a, b.id AS id_b, COUNT(*) AS c, a.n AS na, b.n AS nb FROM e a JOIN e b ON a.t = b.t AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n) SELECT id_a, id_b, round(c / CAST(na + nb - c AS DOUBLE), 6) AS overlap FROM p WHERE c / CAST(na + nb - c AS DOUBLE) >= 0.25",
+    "verify_facts": "SELECT o_orderkey, regexp_replace(CAST(CAST(CAST(round(CAST(o_totalprice AS DECIMAL(18,4)), 2) AS DECIMAL(18,2)) AS DOUBLE) AS VARCHAR), '\\.0$', '') AS number, o_orderkey % 3 <> 0 AS verified FROM orders",
+    "digest_summary": f"WITH x AS (SELECT a.id, a.title, trim(regexp_replace(replace(c.summary, chr(160), ' '), '\\s+', ' ', 'g')) AS t, concat(trim(regexp_replace(replace(a.title, chr(160), ' '), '\\s+', ' ', 'g')), ':') AS h FROM articles a JOIN article_cards c ON c.article_id = a.id WHERE c.summary IS NOT NULL), r AS (SELECT id, title, CASE WHEN length(h) > 1 AND starts_with(lower(t), lower(h)) THEN trim(substr(t, length(h) + 1)) ELSE t END AS r FROM x), f AS (SELECT id, title, CASE WHEN regexp_matches(r, '[.!?…]\\s') THEN regexp_extract(r, '^(.*?[.!?…])\\s', 1) ELSE r END AS f FROM r) SELECT id, CASE WHEN length(f) <= 170 THEN f ELSE concat(regexp_replace(substr(f, 1, 169), '\\s+\\S*$', ''), '…') END AS short, {_FP} AS fingerprint FROM f",
     "cluster_titles": f"SELECT cluster_key, COUNT(*) AS n, SUM(CAST(id % 7 AS DOUBLE)) AS strength FROM (SELECT id, CASE WHEN regexp_matches({_LOW}, 'robot|robotic|autonomous|physical ai|drill floor|inspection') THEN concat('physical-ai-robotics-', {_FP}) WHEN regexp_matches({_LOW}, 'predict|preventive|condition|corrosion|maintenance|anomaly') THEN concat('predictive-hse-', {_FP}) WHEN regexp_matches({_LOW}, 'permit|ptw|control of work|loto|isolation|simops|handover') THEN concat('digital-ptw-', {_FP}) WHEN regexp_matches({_LOW}, 'fleet|telematics|fatigue|collision|driver|vehicle|proximity') THEN concat('transport-safety-', {_FP}) WHEN regexp_matches({_LOW}, 'computer vision|video|camera|ppe|danger zone|unsafe') THEN concat('computer-vision-', {_FP}) ELSE array_to_string(list_slice(list_filter(regexp_extract_all({_LOW}, '[a-zа-яё0-9]{{4,}}'), lambda w: w NOT IN ('with', 'from')), 1, 3), '-') END AS cluster_key FROM articles) k GROUP BY cluster_key",
     "round_robin_topics": "SELECT id, theme, score, turn FROM (SELECT id, theme, score, row_number() OVER (PARTITION BY theme ORDER BY score DESC, id) AS turn, MAX(score) OVER (PARTITION BY theme) AS best FROM signals) r ORDER BY turn, best DESC, theme LIMIT 60",
     "offline_score": "WITH e AS (SELECT signal_id, COUNT(*) AS n, MAX(strength) AS best FROM signal_evidence GROUP BY signal_id), x AS (SELECT s.id, e.n, CAST(greatest(0, least(100, 35 + least(20, 5 * e.n) + least(30, 4 * (" + " + ".join(f"CAST(contains(lower(concat(s.title, ' deploy 5% contract')), '{m}') AS INT)" for m in ["deploy", "deployment", "implemented", "supplier", "contract", "partnership", "autonomous", "predictive", "hazard", "safety", "robot", "permit", "loto"]) + ")) + 8 + CASE WHEN e.best >= 0.75 THEN 7 ELSE 0 END)) AS DOUBLE) AS rule_score FROM signals s JOIN e ON e.signal_id = s.id) SELECT id, rule_score, CASE WHEN rule_score >= 88 AND n >= 3 THEN 'proven' WHEN rule_score >= 82 AND n >= 2 THEN 'shortlist' WHEN rule_score >= 62 THEN 'watch' ELSE 'reject' END AS rule_maturity FROM x",
@@ -241,6 +264,7 @@ ORACLES = {
     "prefilter": f"SELECT id, NOT ({_ANY(NOISE)} AND NOT {_ANY(POSITIVE)}) AS keep FROM articles",
     "keyword_scores": "SELECT id, CAST(round(least(100.0, (" + " + ".join(f"CAST(contains(lower(COALESCE(raw_text, '')), '{k}') AS INT)" for k in TRIED) + ") / 3.0 * 100), 2) AS DOUBLE) AS keyword_score FROM articles",
     "scan_density": "WITH a AS (SELECT doc_id, length(trim(l.line)) AS n FROM (SELECT doc_id, unnest(string_split(COALESCE(text, ''), chr(10))) AS line FROM documents) l) SELECT doc_id, COUNT(*) AS anchors, COUNT(*) FILTER (WHERE n >= 20) AS meaningful, (COUNT(*) FILTER (WHERE n >= 20) = 0 OR SUM(n) / CAST(COUNT(*) AS DOUBLE) < 50) AS scanned FROM a GROUP BY doc_id",
+    "listing_candidates": r"WITH x AS (SELECT language, id, trim(regexp_replace(replace(title, chr(160), ' '), '\s+', ' ', 'g')) AS title, concat('https://www.', language, '.example.com', CASE WHEN id % 4 = 0 THEN '/news/x' ELSE '/a/b/' END, id) AS url FROM articles WHERE id % 4 IN (0, 1) AND language IS NOT NULL), y AS (SELECT *, CASE WHEN id % 4 = 0 THEN 5 ELSE 1 END + CASE WHEN length(title) >= 40 THEN 2 ELSE 0 END + CASE WHEN length(title) >= 80 THEN 1 ELSE 0 END AS score FROM x WHERE length(title) >= 18) SELECT language, rank, url, title, score FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY score DESC, url) AS rank FROM y) r WHERE rank <= 12",
     "page_links": "SELECT page_id, href, COUNT(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(COALESCE(html, ''), '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages) l GROUP BY page_id, href",
     "upsert_sources": "WITH n AS (SELECT id, concat(name, '-x') AS name, CASE WHEN id % 2 = 0 THEN 'Blog' END AS source_type, FALSE AS enabled FROM sources WHERE id % 3 = 0 UNION ALL SELECT id + 1000, name, 'News', TRUE FROM sources WHERE id % 5 = 0) SELECT COALESCE(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.name ELSE n.name END AS name, COALESCE(n.source_type, o.source_type) AS source_type, CASE WHEN o.id IS NULL THEN n.enabled ELSE o.enabled END AS enabled FROM sources o FULL JOIN n ON n.id = o.id",
     "insert_articles": f"WITH k AS (SELECT id, {_URL_KEY} AS url_key FROM articles) SELECT id, url_key FROM (SELECT id, url_key, row_number() OVER (PARTITION BY url_key ORDER BY id) AS rn FROM k WHERE id % 3 <> 0) x WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM k o WHERE o.id % 3 = 0 AND o.url_key = x.url_key)",

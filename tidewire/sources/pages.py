@@ -8,9 +8,12 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions.rules import post_title
+from tidewire.functions.text import clean_html, clean_query
+
 _SKIPPED = {"script", "style", "noscript", "nav", "footer", "header", "aside", "form"}
 
 
@@ -76,14 +79,94 @@ def parse_pages(pages: DataFrame, content: str = "html") -> DataFrame:
     return pages.withColumn("_p", F.pandas_udf(_pages, "title string, body string, image string, links array<struct<href string, text string>>")(F.col(content))).select(*pages.columns, "_p.*")
 
 
+# Words of addresses of articles and of others, and endings of media files.
+ARTICLE_HINTS = "news|press|media|article|articles|blog|post|posts|story|stories|insight|insights|publication|publications|release|releases|updates?"
+BAD_LINKS = "contact|about|privacy|terms|career|job|vacan|event|webinar|podcast|subscribe|signin|login|register|mailto:|javascript:|#"
+MEDIA_FILES = "avif|gif|jpe?g|png|svg|webp|bmp|ico|pdf|zip|rar|7z|mp4|mov|webm|mp3|wav"
+_DATES = r"\b20[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}\b"
+
+
 def link_score(path: Column, title: Column) -> Column:
     """How much a link looks like one to an article."""
-    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
-    return (
-        F.when(path.rlike("(?i)/(news|article|story|press|blog)"), 4).otherwise(0) + F.when(path.rlike(r"/\d{4}/\d{1,2}/\d{1,2}/"), 3).otherwise(0)
-        + F.when(slashes >= 2, 1).otherwise(0) + F.when(F.length(title) >= 40, 2).otherwise(0) + F.when(F.length(title) >= 80, 1).otherwise(0)
-        - F.when(path.rlike("(?i)(login|subscribe|privacy|mailto:|javascript:)"), 5).otherwise(0)
-    )
+    low = F.lower(path)
+    slashes = F.length(low) - F.length(F.replace(low, F.lit("/"), F.lit("")))
+    points = [(low.rlike(ARTICLE_HINTS), 4), (low.rlike("/20[0-9]{2}/[0-9]{1,2}/[0-9]{1,2}/"), 3), (slashes >= 2, 1), (F.length(title) >= 40, 2), (F.length(title) >= 80, 1), (low.rlike(BAD_LINKS), -5)]
+    return sum((F.when(test, n).otherwise(0) for test, n in points), F.lit(0))
+
+
+def listing_candidates(pages: DataFrame, *, key: str, url: str = "url", content: str = "html", limit: int = 12, least_title: int = 18) -> DataFrame:
+    """(key, rank, url, title, score): of each listing page the best links to articles of its own host.
+
+    An anchor is found by its tag; what it holds is its title. Links to other hosts,
+    media files, the front page, and of a short title go; of equal addresses the first stays.
+    """
+    anchors = F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(r"(?is)<a\s[^>]*?href\s*=\s*([\"'][^\"']*[\"'][^>]*>.*?)</a>"), F.lit(1))
+    rows = pages.select(F.col(key), F.col(url).alias("_home"), F.posexplode(anchors).alias("_at", "_a"))
+    href = F.trim(F.regexp_extract("_a", r"^[\"']([^\"']*)[\"']", 1))
+    rows = rows.select(key, "_home", "_at", href.alias("_href"), clean_html(F.regexp_replace("_a", r"(?s)^[\"'][^\"']*[\"'][^>]*>", "")).alias("title"))
+    rows = rows.where((F.col("_href") != "") & ~F.col("_href").rlike(f"(?i){BAD_LINKS}"))
+    base = F.regexp_extract("_home", "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract("_home", "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:/[^?#]*/)?)", 1)
+    h = F.col("_href")
+    joined = (
+        F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.substring_index("_home", "//", 1), h)).when(h.startswith("/"), F.concat(base, h))
+        .when(h.startswith("?"), F.concat(F.regexp_replace("_home", "[?#].*$", ""), h)).otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), h))
+    )
+    rows = rows.withColumn("_u", joined).where(F.col("_u").rlike("^https?://") & (F.lower(F.regexp_extract("_u", "://([^/?#]*)", 1)) == F.lower(F.regexp_extract("_home", "://([^/?#]*)", 1))))
+    path, query = F.regexp_extract("_u", "://[^/?#]*([^?#]*)", 1), clean_query(F.regexp_extract("_u", r"\?([^#]*)", 1))
+    rows = rows.withColumns({"_path": path, "_query": query}).where(~F.col("_path").rlike(rf"(?i)\.(?:{MEDIA_FILES})$"))
+    rows = rows.where(((F.regexp_replace("_path", "/+$", "") != "") | (F.col("_query") != "")) & (F.length("title") >= least_title))
+    site, where = F.regexp_extract("_u", "^(https?://[^/?#]*)", 1), F.when(F.col("_path") == "/", "").otherwise(F.col("_path"))
+    rows = rows.withColumn("_clean", F.concat(site, where, F.when(F.col("_query") != "", F.concat(F.lit("?"), "_query")).otherwise("")))
+    scored = rows.withColumn("score", link_score(F.col("_path"), F.col("title"))).where("score > 0")
+    first = scored.groupBy(key, F.col("_clean").alias("url")).agg(F.min_by(F.struct(F.substring("title", 1, 500).alias("title"), "score"), "_at").alias("b"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("b.score"), "url"))
+    return first.withColumn("rank", rank).where(F.col("rank") <= limit).select(key, "rank", "url", "b.title", "b.score")
+
+
+def _first(*values: Column) -> Column:
+    return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in values])
+
+
+def page_articles(pages: DataFrame, *, as_of: Column, content: str = "html", least_text: int = 120) -> DataFrame:
+    """Pages with ``title``, ``text``, ``image`` and ``published_at`` of the article on them, by patterns over the markup.
+
+    The title is that of og, twitter, the first heading or the page; the text is the
+    longest JSON-LD body of ``least_text`` characters, else the paragraphs where they
+    are long enough, else all text; dates after ``as_of`` do not count.
+    """
+    given = F.coalesce(content, F.lit(""))
+    bare = F.regexp_replace(given, r"(?is)<(script|style|noscript|nav|footer|header|aside|form)\b.*?</\1>", " ")
+    meta = lambda name: clean_html(F.regexp_extract(given, rf"(?is)<meta\s[^>]*?(?:property|name)=[\"']{name}[\"'][^>]*?content=[\"']([^\"']*)", 1))
+    inside = lambda tag: clean_html(F.regexp_extract(bare, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
+    bodies = F.regexp_extract_all(given, F.lit(r'(?is)"(?:articleBody|text)"\s*:\s*"((?:[^"\\]|\\.)*+)"'), F.lit(1))
+    told = F.filter(F.transform(bodies, clean_html), lambda b: F.length(b) >= least_text)
+    longest = F.array_max(F.transform(told, lambda b: F.struct(F.length(b).alias("n"), b.alias("b"))))["b"]
+    paragraphs = F.filter(F.transform(F.regexp_extract_all(bare, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), clean_html), lambda p: p != "")
+    joined = F.array_join(F.array_distinct(paragraphs), "\n")
+    text = F.coalesce(longest, F.when(F.length(joined) >= least_text, joined), clean_html(F.regexp_replace(bare, r"(?is)<title\b.*?</title>", " ")))
+    time_tag = F.regexp_extract(given, r"(?is)<time\b[^>]*?datetime=[\"']([^\"']*)", 1)
+    dates = [meta("article:published_time"), meta("pubdate"), time_tag, F.regexp_replace(F.regexp_extract(inside("time"), f"({_DATES})", 1), "[/.]", "-")]
+    day = [F.try_to_timestamp(F.regexp_extract(d, "([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})", 1), F.lit("yyyy-M-d")) for d in dates]
+    published = F.coalesce(*[F.when(d <= as_of + F.expr("INTERVAL 2 DAYS"), d) for d in day])
+    return pages.withColumns({"title": F.substring(_first(meta("og:title"), meta("twitter:title"), inside("h1"), inside("title")), 1, 500), "text": text, "image": _first(meta("og:image"), meta("twitter:image")), "published_at": published})
+
+
+def channel_posts(pages: DataFrame, *, content: str = "html", limit: int = 20) -> DataFrame:
+    """(url, title, text, published_at) of the posts of channel previews, the newest first in each page; posts without text go.
+
+    A post begins at its ``data-post`` mark and reaches to the next.
+    """
+    kept = [c for c in pages.columns if c != content]
+    marks = F.split(F.coalesce(content, F.lit("")), r"(?is)(?=<div[^>]*\bdata-post=)", -1)
+    posts = pages.select(*kept, F.explode(F.filter(marks, lambda m: m.rlike(r"(?is)^<div[^>]*\bdata-post="))).alias("_m"))
+    name = F.regexp_extract("_m", r"(?is)data-post=[\"']([A-Za-z0-9_]+/[0-9]+)[\"']", 1)
+    text = clean_html(F.regexp_extract("_m", r"(?is)<div[^>]*\btgme_widget_message_text\b[^>]*>(.*?)</div>", 1))
+    at = F.try_to_timestamp(F.substring(F.regexp_extract("_m", r"(?is)<time\b[^>]*?datetime=[\"']([^\"']*)", 1), 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    rows = posts.select(*kept, F.concat(F.lit("https://t.me/"), F.nullif(name, F.lit(""))).alias("url"), text.alias("text"), at.alias("published_at")).where("url IS NOT NULL AND text <> ''")
+    ordered = rows.groupBy(*kept).agg(F.array_sort(F.collect_list(F.struct((-F.coalesce(F.unix_timestamp("published_at"), F.lit(0))).alias("turn"), "url", "text", "published_at"))).alias("_p"))
+    cut = ordered.select(*kept, F.explode(F.slice("_p", 1, limit)).alias("_p"))
+    return cut.select(*kept, "_p.url", post_title(F.col("_p.text")).alias("title"), "_p.text", "_p.published_at")
 
 
 def parse_feed(content: str | None) -> list[dict]:
