@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from tidewire.plans import registry
+from tidewire.sources import newsroom
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,6 +39,16 @@ def test_same_rows_as_duckdb(spark, duck, name):
     assert canonical(got) == canonical(want)
 
 
+def test_built_tables_give_the_same_rows(spark, duck, tmp_path):
+    newsroom.build(spark, FOLDER, str(tmp_path))
+    try:
+        for name in ("feed_articles", "digest_candidates", "table_counts", "keyword_tags"):
+            got, want = registry.queries()[name](spark, FOLDER), duck.execute(registry.oracle_sql()[name]).df()
+            assert str(tmp_path) in got.inputFiles()[0] and canonical(got.toPandas()) == canonical(want)
+    finally:
+        spark.conf.unset(newsroom._BUILT + FOLDER)
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, FOLDER).count() >= 0

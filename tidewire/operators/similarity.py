@@ -207,3 +207,16 @@ def duplicate_roots(targets: DataFrame, kept: DataFrame) -> DataFrame:
             break
     found = done.select("id", F.col("target").cast("string").alias("root"))
     return open_.select("id").join(found.unionByName(step.select("id", F.lit("cycle").alias("root"))), "id", "left")
+
+
+def merge_roots(cards: DataFrame, pointer: str, *, most: int = 10) -> DataFrame:
+    """(id, root, hops): where the pointers of each card end within ``most`` hops; cards in or before a circle have no root.
+
+    Pointers are doubled in rounds, so that the number of joins is the logarithm of the hops.
+    """
+    step = cards.select("id", F.coalesce(pointer, "id").alias("root"), F.col(pointer).isNotNull().cast("int").alias("hops"))
+    for _ in range(max(1, most).bit_length()):
+        above = step.select(F.col("id").alias("root"), F.col("root").alias("_root"), F.col("hops").alias("_hops"))
+        step = written(step.join(above, "root").select("id", F.col("_root").alias("root"), (F.col("hops") + F.col("_hops")).alias("hops")), "pointers")
+    ends = cards.where(F.col(pointer).isNull()).select(F.col("id").alias("root"))
+    return step.join(ends, "root", "left_semi").where(F.col("hops") <= most).select("id", "root", "hops")

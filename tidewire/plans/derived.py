@@ -185,6 +185,11 @@ def star_assignment(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.assign_stars(nodes, similarity.similar_pairs(articles).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
 
 
+def merge_roots(spark: SparkSession, folder: str) -> DataFrame:
+    """Root of each merge chain, of at most ten hops (SIM-14, 2.1.23)."""
+    return similarity.merge_roots(Newsroom(spark, folder).table("signals"), "merged_into_signal_id", most=10)
+
+
 def source_regularity(spark: SparkSession, folder: str) -> DataFrame:
     """Regularity of sources (DOM-15)."""
     return source_rules.regularity(Newsroom(spark, folder).table("articles"), F.lit("1998-08-02 00:00:00").cast("timestamp"))
@@ -228,7 +233,7 @@ THEMES = {"abuse": ["worthless", "idiot", "clown"], "science": ["tion", "retitio
 QUERIES = {f.__name__: f for f in (
     url_key_dedupe, shared_body_hash, jaccard_pairs, cluster_titles, round_robin_topics, offline_score, page_addresses, text_flags, title_matches_body, prefilter,
     keyword_scores, digest_summary, scan_density, chunk_documents, verify_facts, parsed_pages, page_links, listing_candidates, page_articles, upsert_sources, insert_articles, queue_claim, requeue_sweep,
-    star_assignment, source_regularity, source_health_score, candidate_memory, topic_feedback, content_themes, glossary_warnings,
+    star_assignment, merge_roots, source_regularity, source_health_score, candidate_memory, topic_feedback, content_themes, glossary_warnings,
 )}
 
 _URL_KEY = r"NULLIF(CASE WHEN contains(lower(trim(url)), '://') THEN regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://(www\.)?', ''), '[?#].*$', ''), '/+$', '') ELSE lower(trim(url)) END, '')"
@@ -265,6 +270,7 @@ ORACLES = {
     "keyword_scores": "SELECT id, CAST(round(least(100.0, (" + " + ".join(f"CAST(contains(lower(COALESCE(raw_text, '')), '{k}') AS INT)" for k in TRIED) + ") / 3.0 * 100), 2) AS DOUBLE) AS keyword_score FROM articles",
     "scan_density": "WITH a AS (SELECT doc_id, length(trim(l.line)) AS n FROM (SELECT doc_id, unnest(string_split(COALESCE(text, ''), chr(10))) AS line FROM documents) l) SELECT doc_id, COUNT(*) AS anchors, COUNT(*) FILTER (WHERE n >= 20) AS meaningful, (COUNT(*) FILTER (WHERE n >= 20) = 0 OR SUM(n) / CAST(COUNT(*) AS DOUBLE) < 50) AS scanned FROM a GROUP BY doc_id",
     "listing_candidates": r"WITH x AS (SELECT language, id, trim(regexp_replace(replace(title, chr(160), ' '), '\s+', ' ', 'g')) AS title, concat('https://www.', language, '.example.com', CASE WHEN id % 4 = 0 THEN '/news/x' ELSE '/a/b/' END, id) AS url FROM articles WHERE id % 4 IN (0, 1) AND language IS NOT NULL), y AS (SELECT *, CASE WHEN id % 4 = 0 THEN 5 ELSE 1 END + CASE WHEN length(title) >= 40 THEN 2 ELSE 0 END + CASE WHEN length(title) >= 80 THEN 1 ELSE 0 END AS score FROM x WHERE length(title) >= 18) SELECT language, rank, url, title, score FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY score DESC, url) AS rank FROM y) r WHERE rank <= 12",
+    "merge_roots": "WITH RECURSIVE chain AS (SELECT id AS start_id, id, merged_into_signal_id AS up, 0 AS hops FROM signals UNION ALL SELECT c.start_id, s.id, s.merged_into_signal_id, c.hops + 1 FROM chain c JOIN signals s ON s.id = c.up WHERE c.hops < 10) SELECT start_id AS id, id AS root, hops FROM chain WHERE up IS NULL",
     "page_links": "SELECT page_id, href, COUNT(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(COALESCE(html, ''), '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages) l GROUP BY page_id, href",
     "upsert_sources": "WITH n AS (SELECT id, concat(name, '-x') AS name, CASE WHEN id % 2 = 0 THEN 'Blog' END AS source_type, FALSE AS enabled FROM sources WHERE id % 3 = 0 UNION ALL SELECT id + 1000, name, 'News', TRUE FROM sources WHERE id % 5 = 0) SELECT COALESCE(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.name ELSE n.name END AS name, COALESCE(n.source_type, o.source_type) AS source_type, CASE WHEN o.id IS NULL THEN n.enabled ELSE o.enabled END AS enabled FROM sources o FULL JOIN n ON n.id = o.id",
     "insert_articles": f"WITH k AS (SELECT id, {_URL_KEY} AS url_key FROM articles) SELECT id, url_key FROM (SELECT id, url_key, row_number() OVER (PARTITION BY url_key ORDER BY id) AS rn FROM k WHERE id % 3 <> 0) x WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM k o WHERE o.id % 3 = 0 AND o.url_key = x.url_key)",

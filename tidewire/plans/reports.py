@@ -39,6 +39,12 @@ def _month(ts: str) -> str:
     return f"substr(CAST({ts} AS STRING), 1, 7)"
 
 
+def _in_month(ts: str, month: str) -> str:
+    """Whether a time lies in a month, as a range that a scan can use."""
+    at = int(month[:4]) * 12 + int(month[5:7])
+    return f"{ts} >= {_ts(month + '-01 00:00:00')} AND {ts} < {_ts(f'{at // 12:04d}-{at % 12 + 1:02d}-01 00:00:00')}"
+
+
 VISIBLE = "c.relevant IS NOT FALSE AND NOT a.pending_deletion AND s.archived_at IS NULL"
 STATES = ["new", "digest", "archive", "noise", "duplicate"]
 
@@ -463,14 +469,6 @@ def signal_evidence_list(*, signal_id: int = 2, limit: int = 20) -> str:
         ORDER BY strength DESC, published_at DESC NULLS LAST, id DESC LIMIT {int(limit)}"""
 
 
-def merge_roots(*, hops: int = 10) -> str:
-    """Root of each merge chain, of at most ``hops`` hops (SIM-14)."""
-    return f"""
-        WITH RECURSIVE chain AS (SELECT id AS start_id, id, merged_into_signal_id AS up, 0 AS hops FROM signals
-          UNION ALL SELECT c.start_id, s.id, s.merged_into_signal_id, c.hops + 1 FROM chain c JOIN signals s ON s.id = c.up WHERE c.hops < {int(hops)})
-        SELECT start_id AS id, id AS root, hops FROM chain WHERE up IS NULL"""
-
-
 def digest_candidates(*, user_id: int = 1, month: str = "1996-01", limit: int = 20, min_score: float = 0) -> str:
     """Articles and signals of a month for the digest: two ranked lists united, sorted and cut (JN-15, SET-2)."""
     when = "COALESCE(a.published_at, a.collected_at)"
@@ -479,11 +477,11 @@ def digest_candidates(*, user_id: int = 1, month: str = "1996-01", limit: int =
         WITH art AS (SELECT 'article' AS item_type, a.id, a.title, COALESCE(sc.total_score, 0.0) AS score, a.published_at AS happened_at FROM articles a JOIN sources s ON s.id = a.source_id
               LEFT JOIN article_cards c ON c.article_id = a.id LEFT JOIN article_scores sc ON sc.article_id = a.id
               LEFT JOIN user_article_states u ON u.article_id = a.id AND u.user_id = {int(user_id)}
-              WHERE {VISIBLE} AND COALESCE(u.status, 'new') NOT IN ('noise', 'duplicate', 'archive') AND {_month(when)} = {quoted(month)} AND COALESCE(sc.total_score, 0) >= {float(min_score)}
+              WHERE {VISIBLE} AND COALESCE(u.status, 'new') NOT IN ('noise', 'duplicate', 'archive') AND {_in_month(when, month)} AND COALESCE(sc.total_score, 0) >= {float(min_score)}
               ORDER BY sc.total_score DESC NULLS LAST, a.published_at DESC NULLS LAST, a.id LIMIT {n}),
         ev AS (SELECT signal_id, published_at FROM (SELECT signal_id, published_at, row_number() OVER (PARTITION BY signal_id ORDER BY strength DESC, published_at DESC NULLS LAST, id DESC) AS rn FROM signal_evidence) x WHERE rn = 1),
         sig AS (SELECT 'signal' AS item_type, s.id, s.title, s.score, ev.published_at AS happened_at FROM signals s JOIN ev ON ev.signal_id = s.id
-              WHERE s.maturity <> 'reject' AND {_month('ev.published_at')} = {quoted(month)} AND s.score >= {float(min_score)} ORDER BY s.score DESC, ev.published_at DESC NULLS LAST, s.id LIMIT {n})
+              WHERE s.maturity <> 'reject' AND {_in_month('ev.published_at', month)} AND s.score >= {float(min_score)} ORDER BY s.score DESC, ev.published_at DESC NULLS LAST, s.id LIMIT {n})
         SELECT * FROM (SELECT * FROM art UNION ALL SELECT * FROM sig) both_ ORDER BY score DESC, happened_at DESC NULLS LAST, item_type, id LIMIT {n}"""
 
 
@@ -544,7 +542,7 @@ REPORTS = {f.__name__: f for f in (
     monthly_user_activity, ai_cost_report, ai_article_cost_report, sources_by_strategy, top_sources, cross_dup_candidates, feedback_source_summary,
     feedback_training_set, table_counts, list_sources, enabled_sources, source_health_report, source_quality_rows, topic_gap_rows, candidate_triage,
     candidate_quality_report, sandbox_score, recommendation_agreement, frequency_actions, source_audit_verdict, signals_list, best_evidence, signals_for_dedup,
-    reviewed_urls, signal_evidence_list, merge_roots, digest_candidates, score_recompute, score_items_by_article, tag_tree, job_status_counts,
+    reviewed_urls, signal_evidence_list, digest_candidates, score_recompute, score_items_by_article, tag_tree, job_status_counts,
     external_queue_status, lost_jobs, claimable_jobs,
 )}
 

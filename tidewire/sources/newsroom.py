@@ -122,21 +122,40 @@ def with_views(sql: str) -> str:
     return head + ", ".join(parts) + rest
 
 
+_BUILT = "spark.tidewire.newsroom.built:"
+
+
+def build(spark: SparkSession, folder: str, out: str) -> None:
+    """Writes every newsroom table of a folder once; from then on this session's queries over the folder scan what was written.
+
+    A later session names the written tables with ``use``. Without them each query
+    derives the tables that it needs.
+    """
+    for name in VIEWS:
+        Newsroom(spark, folder).table(name).write.mode("overwrite").parquet(f"{out}/{name}")
+    use(spark, folder, out)
+
+
+def use(spark: SparkSession, folder: str, out: str) -> None:
+    """Lets the session's queries over a folder scan the tables that ``build`` wrote."""
+    spark.conf.set(_BUILT + folder, out)
+
+
 class Newsroom:
     """The newsroom tables of one folder of Parquet files, as DataFrames by name."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.built = spark, folder, spark.conf.get(_BUILT + folder, None)
 
     def table(self, name: str) -> DataFrame:
         if name in VIEWS:
-            return self.sql(f"SELECT * FROM {name}")
+            return self.spark.read.parquet(f"{self.built}/{name}") if self.built else self.sql(f"SELECT * FROM {name}")
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
         """Runs a query over the tables and views."""
-        whole = with_views(text)
-        for name in BASE:
+        whole = text if self.built else with_views(text)
+        for name in [*BASE, *VIEWS] if self.built else BASE:
             if re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", whole, re.IGNORECASE):
                 self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(whole)
