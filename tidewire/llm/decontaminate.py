@@ -46,21 +46,25 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
         self.ids: dict[bytes, int] = {}
-        self.names = [name for name, _ in items]
-        sequences = [[self.ids.setdefault(w, len(self.ids)) for w in words] for _, words in items]
+        same: dict[tuple[bytes, ...], set[str]] = {}
+        for name, words in items:
+            same.setdefault(tuple(words), set()).add(name)
+        #: names of the items of each distinct word sequence
+        self.names = list(same.values())
+        sequences = [[self.ids.setdefault(w, len(self.ids)) for w in words] for words in same]
         for sequence in sequences:
             last = 0
             for symbol in sequence:
                 last = self._extend(last, symbol)
-        #: items by state: (length of the window, item index)
-        self.ends: dict[int, set[tuple[int, int]]] = {}
+        #: by state and length of a window that ends there, the indices of its items
+        self.ends: dict[int, dict[int, set[int]]] = {}
         for k, sequence in enumerate(sequences):
             n = min(window, len(sequence))
             state = length = 0
             for symbol in sequence:
                 state, length = self.step(state, length, symbol)
                 if n and length >= n:
-                    self.ends.setdefault(self._holder(state, n), set()).add((n, k))
+                    self.ends.setdefault(self._holder(state, n), {}).setdefault(n, set()).add(k)
         self.least = min((min(window, len(s)) for s in sequences if s), default=0)
         self.reach: list[tuple[int, ...]] = self._reach()
         pairs = {(a, b) for s in sequences for a, b in zip(s, s[1:], strict=False)}
@@ -124,15 +128,20 @@ class SuffixAutomaton:
         return out
 
     def matches(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(first word, past last word, item) of each occurring window."""
+        """(first word, past last word, state) of each occurring window; its items are ``ends`` of the state and its length."""
         state = length = 0
         for at, word in enumerate(words):
             symbol = self.ids.get(word)
             state, length = (0, 0) if symbol is None else self.step(state, length, symbol)
             for holder in self.reach[state]:
-                for n, item in self.ends[holder]:
+                for n in self.ends[holder]:
                     if n <= length:
-                        yield at + 1 - n, at + 1, item
+                        yield at + 1 - n, at + 1, holder
+
+    def items_of(self, windows: set[tuple[int, int]]) -> set[str]:
+        """Names of the items that have one of the windows (state, length)."""
+        found: set[int] = set().union(*[self.ends[state][n] for state, n in windows])
+        return set().union(*[self.names[k] for k in found])
 
 
 def _runs(auto: SuffixAutomaton, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
@@ -177,7 +186,7 @@ def _scan(auto, values, table):
             data, offsets = B.text_buffer(texts)
             counts = np.zeros(batch.num_rows, np.int64)
             spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
-            items: list[set[str]] = [set() for _ in range(batch.num_rows)]
+            windows: list[set[tuple[int, int]]] = [set() for _ in range(batch.num_rows)]
             for i, j, part, at in B.groups(data, offsets):
                 starts, ends, first = B.word_spans(part, at, table)
                 counts[i:j] = np.diff(first)
@@ -189,13 +198,17 @@ def _scan(auto, values, table):
                     raw = raw or part.tobytes().translate(_LOWER)
                     words = [raw[x:y] for x, y in zip(starts[s:e], ends[s:e], strict=True)]
                     row = int(np.searchsorted(first, s, "right")) - 1
-                    for a, b, item in automaton.matches(words):
-                        spans[i + row].append((s + a - int(first[row]), s + b - int(first[row])))
-                        items[i + row].add(automaton.names[item])
+                    base, own = s - int(first[row]), spans[i + row]
+                    for a, b, state in automaton.matches(words):
+                        if own and own[-1][0] <= base + a <= own[-1][1]:  # runs grow as they are found
+                            own[-1] = (own[-1][0], max(own[-1][1], base + b))
+                        else:
+                            own.append((base + a, base + b))
+                        windows[i + row].add((state, b - a))
             before = batch.column("_tw_spans").to_pylist() if "_tw_spans" in batch.schema.names else [None] * batch.num_rows
             named = batch.column("_tw_items").to_pylist() if "_tw_items" in batch.schema.names else [None] * batch.num_rows
             joined = [_union([(x["begin"], x["end"]) for x in old or []] + new) for old, new in zip(before, spans, strict=True)]
-            names = [sorted({*(old or ()), *new}) for old, new in zip(named, items, strict=True)]
+            names = [sorted({*(old or ()), *automaton.items_of(new)}) for old, new in zip(named, windows, strict=True)]
             keep = [n for n in batch.schema.names if n not in ("_tw_spans", "_tw_items", "_tw_words")]
             columns = [batch.column(n) for n in keep] + [
                 pa.array(counts),
