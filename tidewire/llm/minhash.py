@@ -36,7 +36,9 @@ from tidewire.llm.components import components
 from tidewire.llm.shared import mapped, written
 
 SKETCH = 32
+#: members and shingles of a block of a list, on average at most
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 19
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int, values: np.ndarray, table: np.ndarray) -> Iterator[np.ndarray]:
@@ -150,7 +152,7 @@ class NearDuplicates:
         fields = [T.StructField("id", self.id), *(T.StructField(n, T.LongType()) for n in ("n", "high", "low")), T.StructField("sketch", T.ArrayType(T.LongType()))]
         self.texts = rows
         self.sketches = written(mapped(rows, _sketch(words, sketch), T.StructType(fields)), "sketches")
-        self.classes = written(self.sketches.where("n > 0").groupBy("high", "low").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")
+        self.classes = written(self.sketches.where("n > 0").groupBy("high", "low").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     def lists(self) -> DataFrame:
         """(value, id): the inverted lists that are opened, of two or more members."""
@@ -185,10 +187,12 @@ class NearDuplicates:
         met = lists.join(leaders, "value").select("id", F.explode("leaders").alias("leader")).where("id <> leader")
         pairs = met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         found = components(self._verified(self._estimated(pairs), texts))
-        placed = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sizes = self.classes.select("id", "n")
+        placed = lists.join(found, "id", "left").join(sizes, "id").withColumn("component", F.coalesce("component", "id"))
         signature = F.struct(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.min("id").alias("m"))
-        open_ = placed.groupBy("value").agg(signature.alias("same"), F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("c > 2 and lo < hi")
-        once = open_.groupBy("same").agg(F.min("value").alias("value"), F.first("c").alias("c")).select("value", F.ceil(F.col("c") / self.block).cast("int").alias("blocks"))
+        open_ = placed.groupBy("value").agg(signature.alias("same"), F.count("*").alias("c"), F.sum("n").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("c > 2 and lo < hi")
+        blocks = F.ceil(F.greatest(F.col("c") / self.block, F.col("n") / BLOCK_SHINGLES)).cast("int")
+        once = open_.groupBy("same").agg(F.min("value").alias("value"), F.first("c").alias("c"), F.first("n").alias("n")).select("value", blocks.alias("blocks"))
         members = placed.join(once, "value").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         blocks = members.join(texts, "id").groupBy("value", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "text")).alias("one"))
         spread = blocks.select("value", "block", "one", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
