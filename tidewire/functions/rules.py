@@ -233,3 +233,23 @@ def extraction_status(extracted: Column, current: Column, owned: Column, *, leas
     """What becomes of an extracted text by its length and the present one's, and whether it belongs to the title."""
     better = (current < least) | (extracted >= current * gain)
     return F.when(extracted < least, "too_short").when(~better, "no_gain").when(owned, "ok").otherwise("mismatch")
+
+
+def source_route(strategy: Column, region: Column, profile: Column, *, external: bool = True) -> Column:
+    """(queue_name, region, capability) of a source's tasks."""
+    browser = (F.lower(F.trim(_text(strategy))) == "playwright") | (F.lower(F.trim(_text(profile))) == "browser")
+    outer = (F.lower(F.trim(_text(region))) == "external") & F.lit(external)
+    queue = F.when(outer & browser, "external-playwright").when(outer, "external-fetch").when(browser, "playwright").otherwise("default")
+    return F.struct(queue.alias("queue_name"), F.when(outer, "external").otherwise("ru").alias("region"), F.when(browser, "playwright").otherwise("http_fetch").alias("capability"))
+
+
+def category_language(category: Column) -> Column:
+    low = F.lower(_text(category))
+    return F.when(low.rlike("рф|снг|россий|telegram"), "ru").when(low.contains("международ"), "en")
+
+
+def merged_keywords(old: Column, new: Column) -> Column:
+    """The old keywords, and those of the new that they and earlier new ones lack, whatever the case."""
+    seen = F.transform(old, F.lower)
+    fresh = F.filter(new, lambda k, i: ~F.array_contains(seen, F.lower(k)) & ~F.exists(F.slice(new, F.lit(1), i), lambda w: F.lower(w) == F.lower(k)))
+    return F.concat(old, fresh)

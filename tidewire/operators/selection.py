@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules
+from tidewire.operators.tables import written
 
 
 def interleaved(rows: DataFrame, *, group: str, order: list[Column], value: str, key: Column, limit: int) -> DataFrame:
@@ -98,3 +99,13 @@ def merged_lists(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     names = [c for c in first.columns if c != key]
     a, b = first.select(key, *[F.col(c).alias(f"_a_{c}") for c in names]), second.select(key, *[F.col(c).alias(f"_b_{c}") for c in names])
     return a.join(b, key, "full").select(key, *[F.coalesce(f"_b_{c}", f"_a_{c}").alias(c) for c in names])
+
+
+def numbered(rows: DataFrame, key: str, *, first: int = 1) -> DataFrame:
+    """Rows with consecutive numbers in order of a key: places within sorted ranges, moved by the sizes of the ranges before."""
+    ranged = rows.select(key).repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    ranged = written(ranged, "ranges")  # both uses see the same ranges
+    inside = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    return inside.join(F.broadcast(before), "_part").select(key, (F.col("_before") + F.col("_at") + (first - 1)).alias("number"))

@@ -249,6 +249,9 @@ _LOW = "lower(COALESCE(title, ''))"
 _HITS = {name: "(" + " + ".join(f"CAST(contains(lower(COALESCE(raw_text, '')), '{k}') AS INT)" for k in words) + ")" for name, words in THEMES.items()}
 _NAMED = lambda words: "(" + " OR ".join(f"contains(concat(' ', regexp_replace(lower(COALESCE(raw_text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' {w} ')" for w in words) + ")"
 
+_COMMON = "[" + ", ".join(f"'{w}'" for w in fn.COMMON_WORDS) + "]"
+_STEMS5 = lambda t: f"list_transform(list_filter(regexp_extract_all(lower({t}), '[а-яёa-z0-9]+'), lambda w: length(w) > 3 AND NOT list_contains({_COMMON}, w)), lambda w: substr(w, 1, 5))"
+
 ORACLES = {
     "source_regularity": "WITH d AS (SELECT source_id, published_at, CAST(floor(epoch(TIMESTAMP '1998-08-02 00:00:00' - published_at) / 86400) AS BIGINT) AS d FROM articles), g AS (SELECT source_id, COUNT(published_at) AS dated, MIN(d) AS age, COUNT(*) FILTER (WHERE d BETWEEN 0 AND 30) AS last_30, COUNT(*) FILTER (WHERE d BETWEEN 0 AND 90) AS last_90 FROM d GROUP BY source_id) SELECT source_id, dated, last_30, last_90, CASE WHEN dated = 0 THEN 'unknown' WHEN age > 180 THEN 'stale' WHEN last_30 >= 3 OR (last_30 >= 1 AND last_90 >= 4) THEN 'regular' WHEN last_90 >= 2 OR last_30 >= 1 THEN 'active_but_sparse' ELSE 'stale' END AS regularity_label FROM g",
     "source_health_score": "WITH x AS (SELECT *, ['regular', 'active_but_sparse', 'stale', 'unknown', 'archive'][id % 5 + 1] AS label, [90, 60, 15, 35, 5][id % 5 + 1] AS reg, CASE id % 3 WHEN 0 THEN 90 WHEN 1 THEN 25 ELSE 55 END AS avail FROM source_candidates), h AS (SELECT *, CAST(round(CAST(greatest(0.0, least(100.0, COALESCE(avg_score, 0) * 0.55 + reg * 0.3 + avail * 0.15 - CASE WHEN tested_articles < 5 THEN 15 ELSE 0 END)) AS DECIMAL(38,10)), 2) AS DOUBLE) AS health_score FROM x), a AS (SELECT *, CASE WHEN tested_articles >= 3 AND relevant_articles = 0 THEN 'reject' WHEN label IN ('archive', 'stale') AND relevant_articles < 3 THEN 'reject' WHEN health_score <= 25 THEN 'reject' WHEN health_score >= 70 AND tested_articles >= 5 AND relevant_articles >= 3 THEN 'add' WHEN health_score >= 45 OR label IN ('unknown', 'active_but_sparse') THEN CASE WHEN COALESCE(recommended_action, '') <> 'reject' THEN 'test_more' ELSE 'human_review' END ELSE COALESCE(recommended_action, 'human_review') END AS action FROM h) SELECT id, health_score, action, CASE WHEN label = 'archive' THEN 'archive' WHEN label = 'stale' THEN 'stale' WHEN action = 'add' THEN 'strong_source' WHEN action = 'test_more' THEN 'promising_needs_more_data' WHEN action = 'reject' THEN 'weak_source' WHEN health_score >= 50 THEN 'needs_review' ELSE 'risky_needs_review' END AS verdict FROM a",
@@ -270,6 +273,7 @@ ORACLES = {
     "keyword_scores": "SELECT id, CAST(round(least(100.0, (" + " + ".join(f"CAST(contains(lower(COALESCE(raw_text, '')), '{k}') AS INT)" for k in TRIED) + ") / 3.0 * 100), 2) AS DOUBLE) AS keyword_score FROM articles",
     "scan_density": "WITH a AS (SELECT doc_id, length(trim(l.line)) AS n FROM (SELECT doc_id, unnest(string_split(COALESCE(text, ''), chr(10))) AS line FROM documents) l) SELECT doc_id, COUNT(*) AS anchors, COUNT(*) FILTER (WHERE n >= 20) AS meaningful, (COUNT(*) FILTER (WHERE n >= 20) = 0 OR SUM(n) / CAST(COUNT(*) AS DOUBLE) < 50) AS scanned FROM a GROUP BY doc_id",
     "listing_candidates": r"WITH x AS (SELECT language, id, trim(regexp_replace(replace(title, chr(160), ' '), '\s+', ' ', 'g')) AS title, concat('https://www.', language, '.example.com', CASE WHEN id % 4 = 0 THEN '/news/x' ELSE '/a/b/' END, id) AS url FROM articles WHERE id % 4 IN (0, 1) AND language IS NOT NULL), y AS (SELECT *, CASE WHEN id % 4 = 0 THEN 5 ELSE 1 END + CASE WHEN length(title) >= 40 THEN 2 ELSE 0 END + CASE WHEN length(title) >= 80 THEN 1 ELSE 0 END AS score FROM x WHERE length(title) >= 18) SELECT language, rank, url, title, score FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY score DESC, url) AS rank FROM y) r WHERE rank <= 12",
+    "title_matches_body": f"WITH x AS (SELECT id, list_distinct({_STEMS5('COALESCE(raw_text, chr(32))')}) AS own, list_transform(string_split_regex(COALESCE(title, ''), '\\s+[—–|·]\\s+|\\s+-\\s+'), lambda s: list_distinct({_STEMS5('s')})) AS segs FROM articles), y AS (SELECT id, own, list_filter(segs, lambda s: len(s) >= 4) AS segs FROM x) SELECT id, len(own) = 0 OR len(segs) = 0 OR COALESCE(list_max(list_transform(segs, lambda s: len(list_intersect(s, own)) / CAST(len(s) AS DOUBLE))), 0) >= 0.2 AS matches FROM y",
     "merge_roots": "WITH RECURSIVE chain AS (SELECT id AS start_id, id, merged_into_signal_id AS up, 0 AS hops FROM signals UNION ALL SELECT c.start_id, s.id, s.merged_into_signal_id, c.hops + 1 FROM chain c JOIN signals s ON s.id = c.up WHERE c.hops < 10) SELECT start_id AS id, id AS root, hops FROM chain WHERE up IS NULL",
     "page_links": "SELECT page_id, href, COUNT(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(COALESCE(html, ''), '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages) l GROUP BY page_id, href",
     "upsert_sources": "WITH n AS (SELECT id, concat(name, '-x') AS name, CASE WHEN id % 2 = 0 THEN 'Blog' END AS source_type, FALSE AS enabled FROM sources WHERE id % 3 = 0 UNION ALL SELECT id + 1000, name, 'News', TRUE FROM sources WHERE id % 5 = 0) SELECT COALESCE(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.name ELSE n.name END AS name, COALESCE(n.source_type, o.source_type) AS source_type, CASE WHEN o.id IS NULL THEN n.enabled ELSE o.enabled END AS enabled FROM sources o FULL JOIN n ON n.id = o.id",
