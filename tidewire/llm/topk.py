@@ -1,6 +1,6 @@
 """Exact top-k search by inner product with vector-approximation files.
 
-Candidates are dealt to lanes and packed into blocks. A block has for each vector
+Candidates are packed into blocks, which are dealt to lanes. A block has for each vector
 the number of its quantisation cell in every dimension (the approximation, one byte)
 beside the exact components. For a block of queries the cells are scanned for bounds
 of the score; then exact vectors are read in the order of their bounds until the
@@ -19,39 +19,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.llm.shared import mapped
+
 BLOCK = 4096
 QUERY_BLOCK = 1024
 CELLS = 16
 _EXACT = float(1 << 53)
 
 
-def _pack(block: int):
-    """Packs the vectors of each (lane, length) into blocks of at most ``block`` rows."""
+def _pack(block: int, lanes: int):
+    """Packs vectors of each length into blocks of at most ``block`` rows; a task holds one block a length, and deals them to lanes in turn."""
 
-    def emit(lane: int, length: int, ids: list[int], vectors: list[np.ndarray]) -> pa.RecordBatch:
-        exact = np.array(vectors, np.int64).reshape(len(ids), length)
+    def emit(lane: int, length: int, ids: np.ndarray, exact: np.ndarray) -> pa.RecordBatch:
         low, high = exact.min(0, initial=0), exact.max(0, initial=0)
         step = np.maximum(1, -((low - high - 1) // CELLS))
         cells = ((exact - low) // step).astype(np.uint8)
-        columns = [[lane], [length], [np.array(ids, np.int64).tobytes()], [exact.tobytes()], [cells.tobytes()], [low.tobytes()], [step.tobytes()]]
+        columns = [[lane], [length], [ids.tobytes()], [exact.tobytes()], [cells.tobytes()], [low.tobytes()], [step.tobytes()]]
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lane", "length", "ids", "exact", "cells", "low", "step"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[list[int], list[np.ndarray]]] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        lane = TaskContext.get().partitionId()
         for batch in batches:
             vectors = batch.column("vector")
-            for lane, name, vector in zip(batch.column("lane").to_pylist(), batch.column("id").to_pylist(), vectors.to_pylist(), strict=True):
-                ids, rows = held.setdefault((lane, len(vector)), ([], []))
-                ids.append(name)
-                rows.append(vector)
-                if len(ids) == block:
-                    yield emit(lane, len(vector), *held.pop((lane, len(vector))))
-        for (lane, length), (ids, rows) in held.items():
-            yield emit(lane, length, ids, rows)
+            sizes = vectors.value_lengths().to_numpy()
+            flat, edges = vectors.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+            names = batch.column("id").to_numpy()
+            for length in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == length)
+                ids, exact = names[rows], flat[edges[rows][:, None] + np.arange(length)]
+                if length in held:
+                    ids, exact = np.concatenate([held[length][0], ids]), np.concatenate([held[length][1], exact])
+                while len(ids) >= block:
+                    yield emit(lane % lanes, length, ids[:block], exact[:block])
+                    ids, exact, lane = ids[block:], exact[block:], lane + 1
+                held[length] = ids, exact
+        for length, (ids, exact) in held.items():
+            if len(ids):
+                yield emit(lane % lanes, length, ids, exact)
+                lane += 1
 
     return run
 
@@ -117,13 +128,12 @@ def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vecto
         .where(F.col("_tw_v").isNotNull() & (F.size("_tw_v") > 0) & ~bad)
         .select("id", "is_query", F.transform("_tw_v", lambda x: F.floor(x * F.lit(float(scale)))).alias("vector"))
     )
-    dealt = rows.withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(lanes)).cast("int"))
-    packed = dealt.select("lane", "id", "vector").mapInArrow(_pack(block), _BLOCKS)
-    asked = rows.where("is_query").dropDuplicates(["id"]).withColumn("lane", F.lit(0)).select("lane", "id", "vector")
-    queries = asked.mapInArrow(_pack(query_block), _BLOCKS).select(
+    packed = mapped(rows.select("id", "vector"), _pack(block, lanes), _BLOCKS)
+    asked = rows.where("is_query").dropDuplicates(["id"]).select("id", "vector")
+    queries = mapped(asked, _pack(query_block, 1), _BLOCKS).select(
         F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "length", F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact")
     )
-    found = queries.join(packed, ["lane", "length"]).mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    found = mapped(queries.join(packed, ["lane", "length"]), _search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
