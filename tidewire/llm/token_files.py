@@ -180,7 +180,7 @@ def _schema(id_type: T.DataType) -> T.StructType:
         T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(id_type)),
         T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("id_width", T.IntegerType()),
         T.StructField("low_bits", T.IntegerType()), T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType()),
-        T.StructField("samples", T.ArrayType(T.LongType())), T.StructField("ids", T.BinaryType()),
+        T.StructField("samples", T.ArrayType(T.IntegerType())), T.StructField("ids", T.BinaryType()),
     ])
 
 
@@ -196,7 +196,7 @@ def _write_blocks(path: str, end_id: int, block_ids: int):
             ids = b"".join(parts)
             ef = EliasFano.of(np.concatenate([[0], np.cumsum(sizes)]))
             row = {"part": part, "block": block, "doc_ids": pa.array(names, kind).to_pylist(), "n_docs": len(sizes), "n_ids": sum(sizes), "id_width": encoder.width, "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples, "ids": ids}
-            fields = [("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(kind)), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("id_width", pa.int32()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.list_(pa.int64())), ("ids", pa.binary())]
+            fields = [("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(kind)), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("id_width", pa.int32()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.list_(pa.int32())), ("ids", pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in fields], names=[n for n, _ in fields])
 
         held = 0
@@ -220,13 +220,14 @@ def _write_blocks(path: str, end_id: int, block_ids: int):
 def write_token_files(documents: DataFrame, tokenizer: str, folder: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, block_ids: int = BLOCK_IDS) -> None:
     """Encodes the texts and writes them in ascending id order.
 
-    Texts are range-partitioned by id, so that no task holds more than its range; a
+    Texts are range-partitioned by id and, so that many rows of one id or without one
+    are parted too, by the beginning of the text; no task holds more than its range. A
     block holds at least ``block_ids`` ids, but for the last of a partition.
     """
     spark = documents.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col(doc_id).alias("_tw_id"), F.col(text).alias("_tw_text"))
-    ordered = rows.repartitionByRange(n, "_tw_id").sortWithinPartitions(F.col("_tw_id").asc_nulls_first(), F.col("_tw_text").asc_nulls_first())
+    ordered = rows.repartitionByRange(n, F.col("_tw_id").asc_nulls_first(), F.substring("_tw_text", 1, 32).asc_nulls_first()).sortWithinPartitions(F.col("_tw_id").asc_nulls_first(), F.col("_tw_text").asc_nulls_first())
     blocks = ordered.mapInArrow(_write_blocks(tokenizer, end_id, block_ids), _schema(rows.schema["_tw_id"].dataType))
     blocks.write.option("compression", "zstd").parquet(folder)
 
@@ -234,7 +235,8 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str, *, doc_
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            edges = EliasFano(row["n_docs"] + 1, row["low_bits"], row["low"], row["high"], row["samples"]).values()
+            coded = EliasFano(row["n_docs"] + 1, row["low_bits"], row["low"], row["high"], row["samples"])
+            edges = np.fromiter(map(coded.select, range(row["n_docs"] + 1)), np.int64, row["n_docs"] + 1)
             ids = np.frombuffer(row["ids"], f"<u{row['id_width']}")
             checks = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             n = row["n_docs"]
