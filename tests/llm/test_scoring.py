@@ -27,6 +27,17 @@ def test_toxicity_odd(spark, odd, empty):
         assert len(found) == rows.count() and all(0 <= r.tox <= 1 for r in found)
 
 
+def test_toxicity_replaces_a_column_and_repeats_scores(spark):
+    rows = spark.createDataFrame([(i, "you idiot " * (i % 2) + "fine words here", 9.0) for i in range(40)] + [(41, "idiot " * 50_000, 9.0), (42, None, 9.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.learn(rows, labels)
+    found = toxicity.score(rows, model, out="score")
+    assert found.columns == ["doc_id", "text", "score"]
+    scores = {r.doc_id: r.score for r in found.collect()}
+    assert len({scores[i] for i in range(0, 40, 2)}) == len({scores[i] for i in range(1, 40, 2)}) == 1
+    assert scores[41] > 0.5 > scores[0] >= scores[42] - 1e-9
+
+
 def test_label_model_finds_reliable_voters():
     r = np.random.default_rng(1)
     y = (r.random(3000) < 0.2).astype(int)
@@ -122,3 +133,13 @@ def test_cutting(spark, odd, empty):
     assert {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench).collect()} == {1: "Keep. ! rest", 3: None}
     assert decontaminate.decontaminate(odd, bench.where("false")).count() == odd.count()
     assert decontaminate.decontaminate(empty, bench).count() == 0
+
+
+def test_a_window_of_many_items_and_equal_items(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(f"i{k:05d}", passage) for k in range(5_000)] + [(f"j{k:04d}", f"{passage} x{k}") for k in range(500)], "item_id string, text string")
+    texts = [passage + " end", f"{passage} x7 " * 300, "w1 w2", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.find_hits(rows, items).collect()}
+    assert [(x.begin, x.end) for x in found[0]._tw_spans] == [(0, 12)] and len(found[0]._tw_items) == 5_500
+    assert [(x.begin, x.end) for x in found[1]._tw_spans] == [(0, 3900)] and not found[2]._tw_items and not found[3]._tw_items
