@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import bpe, decontaminate, language, minhash, pii, substring_dedup, suffix_dedup, token_files, topk, toxicity
+from tidewire.llm import bpe, decontaminate, language, minhash, pii, runs, substring_dedup, suffix_dedup, token_files, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_topk": topk.op8_topk,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language": language.op10_language,
+        "op11_periodic_runs": runs.op11_periodic_runs,
     }
 
 
