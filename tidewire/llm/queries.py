@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import bpe, decontaminate, language, minhash, pii, runs, substring_dedup, suffix_dedup, token_files, topk, toxicity
+from tidewire.llm import bpe, decontaminate, language, minhash, pii, runs, substring_dedup, suffix_dedup, token_files, topk, toxicity, trie
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language": language.op10_language,
         "op11_periodic_runs": runs.op11_periodic_runs,
+        "op12_prefix_trie": trie.op12_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": topk.OP8_SQL}
+    return {"op8_topk": topk.OP8_SQL, "op12_prefix_trie": trie.OP12_SQL}
