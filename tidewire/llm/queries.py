@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import bpe, decontaminate, language, minhash, pii, runs, substring_dedup, suffix_dedup, token_files, topk, toxicity, trie
+from tidewire.llm import bpe, decontaminate, extract, language, minhash, pii, runs, substring_dedup, suffix_dedup, token_files, topk, toxicity, trie
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_language": language.op10_language,
         "op11_periodic_runs": runs.op11_periodic_runs,
         "op12_prefix_trie": trie.op12_prefix_trie,
+        "op13_html_text": extract.op13_html_text,
     }
 
 
