@@ -3,13 +3,15 @@
 Entities are found by one pattern, in one search of each text. Each distinct entity
 (in a canonical form, so that spellings of one entity stay one) gets a keyed
 replacement of its own type: digits for digits and letters for letters in the same
-layout, valid check digits for cards and bank accounts, names with the gender of
-their title and in their script. A person is a surname and perhaps a given name,
-each with its own surrogate, so "Mr. John Smith", "Dr Smith" and, later in the same
-text, "Smith" or "John Smith" stay one person. Replacements that meet each other or
-an entity of the corpus are derived anew until none is left, so distinct entities
-stay distinct and equal ones equal over all texts. A form whose values are nearly
-used up gets further characters after four rounds.
+layout, valid check digits for cards and bank accounts, the country code of a phone
+number, names with the gender of their title and in their script and case. A person
+is a surname, particles ("van", "de la"), and perhaps given names, each with its own
+surrogate, so "Mr. John Smith", "Dr SMITH" and, later in the same text, "Smith", "JOHN"
+or "John Smith" stay one person. A given name whose title tells no gender has the one
+that its text tells. E-mail addresses of one domain get one domain. Replacements that
+meet each other or an entity of the corpus are derived anew until none is left, so
+distinct entities stay distinct and equal ones equal over all texts. A form whose
+values are nearly used up gets further characters after four rounds.
 
 Found are: private keys in PEM form, values of assigned passwords and tokens, e-mail
 addresses (domains of up to 127 labels), AWS access keys, JSON web tokens, IBANs,
@@ -57,7 +59,11 @@ GIVEN = {
 }
 
 _TITLES = "|".join(sorted(map(re.escape, [*MALE, *FEMALE, *OPEN]), key=len, reverse=True))
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+# Particles of surnames.
+PARTICLES = "van|von|vom|der|den|de|del|della|di|da|dos|du|le|la|el|al|bin|ibn|zu|zum|zur|ter|ten|af|av"
+#: "Smith", "SMITH", "McDonald", "O'Neill", "Meyer-Landrut"
+_NAME = r"\p{Lu}(?:[\p{L}\p{M}]{1,40}+|(?=['’]\p{Lu}))(?:['’-]\p{Lu}[\p{L}\p{M}]{0,40}+){0,3}+(?![\p{L}\p{M}])"
+_LEAD = "(?:(?:" + PARTICLES + ") ){0,3}"
 _SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: alternatives in the order in which they are tried; no group repeats without a bound or possessively, so the depth of a match is bounded
@@ -76,12 +82,15 @@ PATTERN = "|".join([
     r"(?<![0-9+])\+(?=(?:[ .()-]{0,2}[0-9]){7})[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9])",
     r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     r"(?<![0-9A-Za-z(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
-    r"(?<!\p{L})(?:" + _TITLES + r")\.? " + _NAME + "(?: " + _NAME + ")?",
+    r"(?<!\p{L})(?:" + _TITLES + r")\.? (?:" + _NAME + " ){0,2}" + _LEAD + _NAME,
 ])
 #: every entity holds a digit, an at sign, or one of these
-_HINT = r"[0-9@]|-----BEGIN|eyJ|[pP](?i:assword|asswd|wd)|[sS](?i:ecret)|[tT](?i:oken)|[aA](?i:pi[_-]?key)|(?:" + _TITLES + r")\.? \p{Lu}"
-#: where a word of letters begins or ends
-_EDGE = r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})"
+_HINT = r"[0-9@]|-----BEGIN|eyJ|[pP](?i:assword|asswd|wd)|[sS](?i:ecret)|[tT](?i:oken)|[aA](?i:pi[_-]?key)|(?:" + _TITLES + r")\.? " + _LEAD + r"\p{Lu}"
+#: where a word of letters begins or ends; an apostrophe or hyphen before a capital is in the word
+_EDGE = r"(?<=\p{L})(?!\p{L}|['’-]\p{Lu})|(?<!\p{L})(?<!\p{L}['’-](?=\p{Lu}))(?=\p{L})"
+_JOINTS = "(?<=['’-])|(?=['’-])"
+#: calling codes of one or two digits; others have three
+_COUNTRY = r"^\+?(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 #: rounds after which a surrogate may be longer than what it replaces
 _SAME_SIZE = 4
 
@@ -135,29 +144,51 @@ def _gender(e: Column) -> Column:
     return F.when(told(FEMALE), "f").when(told(MALE), "m").otherwise("o")
 
 
-def _given_key(e: Column) -> Column:
-    """Gender and given name of a person, or null."""
+def _folded(name: Column) -> Column:
+    """One spelling for all spellings of a name."""
+    return F.replace(F.lower(name), F.lit("’"), F.lit("'"))
+
+
+def _names(e: Column) -> tuple[Column, Column, Column]:
+    """(given names, particles with a space after each, surname) of a person."""
     name = F.substr(e, F.length(_title(e)) + 1)
-    return F.when(name.contains(" "), F.concat(_gender(e), F.lit(":"), F.substring_index(name, " ", 1)))
+    surname = F.substring_index(name, " ", -1)
+    before = F.substr(name, F.lit(1), F.length(name) - F.length(surname))
+    particles = F.regexp_extract(before, "(?:^| )(" + _LEAD + ")$", 1)
+    given = F.filter(F.split(F.substr(before, F.lit(1), F.length(before) - F.length(particles)), " "), lambda w: w != "")
+    return given, particles, surname
 
 
 def parts(x: Column) -> Column:
-    """What of a described entity gets a surrogate: (kind, value), once or, for a person with a given name, twice."""
+    """What of a described entity gets a surrogate: (kind, value), and more for the given names of a person and the domain of an address."""
     part = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
-    own = part(F.when(x["kind"] == "person", "surname").otherwise(x["kind"]), x["value"])
-    return F.when(x["given"].isNull(), F.array(own)).otherwise(F.array(own, part(F.lit("given"), x["given"])))
+    own = F.array(part(F.when(x["kind"] == "person", "surname").otherwise(x["kind"]), x["value"]))
+    domain = F.array(part(F.lit("domain"), F.substring_index(x["value"], "@", -1)))
+    return F.concat(own, F.transform(x["given"], lambda g: part(F.lit("given"), g)), F.when(x["kind"] == "email", domain).otherwise(F.slice(domain, 1, 0)))
 
 
 def described(found: Column) -> Column:
-    """Each entity with its kind, its canonical value (of a person: the surname) and a person's given name."""
+    """Each entity of a text with its kind, its canonical value (of a person: the surname) and keys of a person's given names: gender and name."""
     kinds = F.transform(found, lambda e: F.struct(e.alias("e"), entity_kind(e).alias("kind")))
 
     def whole(x: Column) -> Column:
+        given, _, surname = _names(x["e"])
         person = x["kind"] == "person"
-        value = F.when(person, F.substring_index(x["e"], " ", -1)).otherwise(canonical(x["e"], x["kind"]))
-        return F.struct(x["e"].alias("e"), x["kind"].alias("kind"), value.alias("value"), F.when(person, _given_key(x["e"])).alias("given"))
+        value = F.when(person, _folded(surname)).otherwise(canonical(x["e"], x["kind"]))
+        keys = F.transform(given, lambda g: F.concat(_gender(x["e"]), F.lit(":"), _folded(g)))
+        return F.struct(x["e"].alias("e"), x["kind"].alias("kind"), value.alias("value"), F.when(person, keys).otherwise(F.array().cast("array<string>")).alias("given"))
+
+    def told(all_: Column) -> Column:
+        known = F.flatten(F.transform(all_, lambda x: x["given"]))
 
-    return F.transform(kinds, whole)
+        def gendered(key: Column) -> Column:
+            name = F.substr(key, F.lit(3))
+            told_as = [F.concat(F.lit(g + ":"), name) for g in "mf"]
+            return F.when(key.startswith("o:"), F.coalesce(*[F.when(F.array_contains(known, k), k) for k in told_as], key)).otherwise(key)
+
+        return F.transform(all_, lambda x: x.withField("given", F.transform(x["given"], gendered)))
+
+    return _let(F.transform(kinds, whole), told)
 
 
 def _digest(*parts: Column) -> Column:
@@ -258,7 +289,7 @@ def _core(kind: Column, value: Column, attempt: Column, secret: str) -> Column:
 
 
 def _made(kind: Column, value: Column, attempt: Column, stream: Column, secret: str) -> Column:
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    local, country = F.substring_index(value, "@", 1), F.regexp_extract(value, _COUNTRY, 1)
     spare = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: (_number(stream, i) % 10).cast("string"))
     longer = F.when(attempt > _SAME_SIZE, F.array_join(F.slice(spare, F.lit(1), F.least(attempt - _SAME_SIZE, F.lit(31))), "")).otherwise("")
     octet = lambda i: (_number(stream, i) % 254 + 1).cast("string")
@@ -267,7 +298,8 @@ def _made(kind: Column, value: Column, attempt: Column, stream: Column, secret:
     masked = _masked(plain, stream)
     body = F.concat(F.substr(plain, F.lit(1), F.lit(1)), F.substr(masked, F.lit(2), F.length(plain) - 2), longer)
     return (
-        F.when(kind == "email", F.concat(_masked(local, stream), longer, F.lit("@mx"), F.substr(_digest(F.lit(secret), domain), F.lit(1), F.lit(8)), F.lit(".example.net")))
+        F.when(kind == "email", F.concat(_masked(local, stream), longer))
+        .when(kind == "domain", F.concat(F.lit("mx"), F.substr(F.get(stream, F.lit(0)), F.lit(1), F.lit(8)), F.lit(".example.net")))
         .when(kind == "surname", _surname(value, stream, attempt))
         .when(kind == "given", _given(value, stream, attempt))
         .when(kind == "access_key", F.concat(F.substr(value, F.lit(1), F.lit(4)), F.substr(_masked(value, stream), F.lit(5)), longer))
@@ -276,7 +308,7 @@ def _made(kind: Column, value: Column, attempt: Column, stream: Column, secret:
         .when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)]))
         .when(kind == "ipv6", F.concat(F.lit("fd"), F.lpad(group(8), 4, "0").substr(3, 2), F.lit(":"), F.concat_ws(":", *[group(i) for i in range(7)])))
         .when(kind == "card", _let(body, lambda b: F.concat(b, _luhn(b))))
-        .when((kind == "phone") & value.startswith("+"), F.concat(F.substr(plain, F.lit(1), F.lit(1)), F.substr(masked, F.lit(2)), longer))
+        .when((kind == "phone") & value.startswith("+"), F.concat(country, F.substr(masked, F.length(country) + 1), longer))
         .when(kind.isin("phone", "national_id"), F.concat(masked, longer))
         .when(kind == "pem", F.concat(F.regexp_extract(value, "^(-----BEGIN [A-Z ]*-----)", 1), F.lit("\n"), F.get(stream, F.lit(0)), F.lit("\n"), F.regexp_extract(value, "(-----END [A-Z ]*-----)$", 1)))
         .otherwise(F.concat(_masked(value, stream), longer))
@@ -298,28 +330,43 @@ def _key(kind, value: Column) -> Column:
     return F.concat(F.lit(kind) if isinstance(kind, str) else kind, F.lit("\x1f"), value)
 
 
+def _cased(core: Column, word: Column) -> Column:
+    """A name's surrogate in capitals where the name stands so."""
+    return F.when((F.upper(word) == word) & (F.length(word) > 1), F.upper(core)).otherwise(core)
+
+
 def _replacement(x: Column, cores: Column) -> Column:
     """What stands for a described entity, by the cores of its text."""
     e, kind = x["e"], x["kind"]
     core = F.element_at(cores, _key(F.when(kind == "person", "surname").otherwise(kind), x["value"]))
+    given, particles, surname = _names(e)
+    new_given = F.transform(x["given"], lambda g, i: _cased(F.element_at(cores, _key("given", g)), F.get(given, i)))
+    email = F.concat(core, F.lit("@"), F.element_at(cores, _key("domain", F.substring_index(x["value"], "@", -1))))
     return (
-        F.when(kind == "person", F.concat(_title(e), F.concat_ws(" ", F.element_at(cores, _key("given", x["given"])), core)))
+        F.when(kind == "person", F.concat(_title(e), F.array_join(F.transform(new_given, lambda g: F.concat(g, F.lit(" "))), ""), particles, _cased(core, surname)))
         .when(kind.isin("phone", "card", "national_id", "iban"), _laid_out(e, core))
         .when(kind == "secret", F.concat(_secret_prefix(e), core))
-        .when((kind == "email") & (F.upper(e) == e), F.upper(core))
+        .when(kind == "email", F.when(F.upper(e) == e, F.upper(email)).otherwise(email))
         .otherwise(core)
     )
 
 
 def _bare(gap: Column, cores: Column) -> Column:
-    """A stretch between entities, with the surnames of the text's titled persons replaced, and their given names before these."""
+    """A stretch between entities, with the names of the text's titled persons replaced: surnames, and given names that no surname of it follows too."""
+
+    def of(word: Column) -> Column:
+        low = _folded(word)
+        names = [F.element_at(cores, _key("surname", low)), *[F.element_at(cores, _key("given", F.concat(F.lit(g + ":"), low))) for g in "mfo"]]
+        return F.when(word.rlike(r"^\p{Lu}"), _cased(F.coalesce(*names), word))
 
     def replaced(words: Column) -> Column:
         def word(w: Column, i: Column) -> Column:
-            surname = F.element_at(cores, _key("surname", w))
-            follows = (F.get(words, i + 1) == " ") & F.element_at(cores, _key("surname", F.get(words, i + 2))).isNotNull()
-            given = F.coalesce(*[F.element_at(cores, _key("given", F.concat(F.lit(g + ":"), w))) for g in "mfo"])
-            return F.when(follows & given.isNotNull(), given).otherwise(F.coalesce(surname, w))
+            surname = F.element_at(cores, _key("surname", _folded(w)))
+            follows = (F.get(words, i + 1) == " ") & F.element_at(cores, _key("surname", _folded(F.get(words, i + 2)))).isNotNull()
+            given = F.coalesce(*[F.element_at(cores, _key("given", F.concat(F.lit(g + ":"), _folded(w)))) for g in "mfo"])
+            whole = F.when(w.rlike(r"^\p{Lu}") & follows & given.isNotNull(), _cased(given, w)).otherwise(of(w))
+            jointed = F.when(w.rlike(r"\p{L}['’-]\p{L}"), F.array_join(F.transform(F.split(w, _JOINTS), lambda p: F.coalesce(of(p), p)), ""))
+            return F.coalesce(whole, jointed, w)
 
         return F.array_join(F.transform(words, word), "")
 
@@ -334,13 +381,14 @@ def surrogate_table(entities: DataFrame, secret: str) -> DataFrame:
     """
     n = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = F.when(F.col("kind") == "given", F.substr("value", F.lit(3))).otherwise(F.col("value"))
-    known = entities.select("kind", plain.alias("core")).distinct()
+    known = entities.select("kind", plain.alias("plain")).distinct()
+    seen_as = F.when(F.col("kind").isin("surname", "given"), F.lower("core")).otherwise(F.col("core"))
     open_, settled, attempt = entities.select("kind", "value"), None, 0
     core = _core(F.col("kind"), F.col("value"), F.col("attempt"), secret).alias("core")
     while True:
         tried = open_.repartition(n, "kind", "value").withColumn("attempt", F.lit(attempt)).select("kind", "value", core)
         tried = written(tried, "surrogates")
-        free = tried.join(known, ["kind", "core"], "left_anti")
+        free = tried.withColumn("plain", seen_as).join(known, ["kind", "plain"], "left_anti").drop("plain")
         if settled is not None:
             free = free.join(settled.select("kind", "core"), ["kind", "core"], "left_anti")
         first = written(free.groupBy("kind", "core").agg(F.min("value").alias("value")).select("kind", "value", "core"), "surrogates")
@@ -351,17 +399,6 @@ def surrogate_table(entities: DataFrame, secret: str) -> DataFrame:
         open_, attempt = written(open_, "surrogates"), attempt + 1
 
 
-def _with_open_titles(entities: DataFrame, secret: str) -> DataFrame:
-    """The surrogates, a given name whose title tells no gender being the one with a gender if the corpus has it."""
-    given = entities.where("kind = 'given'").select(F.substr("value", F.lit(1), F.lit(1)).alias("gender"), F.substr("value", F.lit(3)).alias("name"))
-    told = given.groupBy("name").agg(F.max(F.when(F.col("gender") != "o", F.col("gender"))).alias("gender"), F.max((F.col("gender") == "o").cast("int")).alias("open"))
-    aliases = told.where("open = 1 and gender is not null").select(F.lit("given").alias("kind"), F.concat(F.lit("o:"), "name").alias("value"), F.concat("gender", F.lit(":"), "name").alias("as"))
-    aliases = written(aliases, "open-titles")
-    table = surrogate_table(entities.join(aliases, ["kind", "value"], "left_anti"), secret)
-    same = aliases.join(table.select("kind", F.col("value").alias("as"), "core"), ["kind", "as"]).select("kind", "value", "core")
-    return table.unionByName(same)
-
-
 def replace_entities(documents: DataFrame, secret: str, *, doc_id: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
     """Documents with surrogates in their texts; with ``count``, a column of that name has the number of places that the pattern found.
 
@@ -373,7 +410,7 @@ def replace_entities(documents: DataFrame, secret: str, *, doc_id: str = "doc_id
     hits = marked.where(some).withColumn("_tw_key", F.xxhash64(F.col(doc_id), F.col(text)))
     spelled = hits.select("_tw_key", F.explode(described(F.array_distinct("_tw_found"))).alias("x"))
     wanted = written(spelled.select("_tw_key", F.explode(parts(F.col("x"))).alias("p")).select("_tw_key", "p.kind", "p.value").distinct(), "entity-places")
-    table = _with_open_titles(written(wanted.select("kind", "value").distinct(), "entity-values"), secret)
+    table = surrogate_table(written(wanted.select("kind", "value").distinct(), "entity-values"), secret)
     cores = wanted.join(table, ["kind", "value"]).groupBy("_tw_key").agg(F.map_from_entries(F.collect_list(F.struct(_key(F.col("kind"), F.col("value")), "core"))).alias("_tw_cores"))
     joined = hits.join(cores, "_tw_key").withColumn("_tw_gaps", F.split(F.col(text), PATTERN, -1))
     named = F.exists(F.map_keys("_tw_cores"), lambda k: k.startswith("surname"))
@@ -387,8 +424,14 @@ def replace_entities(documents: DataFrame, secret: str, *, doc_id: str = "doc_id
 
 
 def session_key(spark) -> str:
-    """The key of surrogates: ``spark.tidewire.surrogateKey`` of the session. What is published needs a secret one; unset, it is a fixed word for tests."""
-    return spark.conf.get("spark.tidewire.surrogateKey", None) or "key-for-tests"
+    """The key of surrogates: ``spark.tidewire.surrogateKey`` of the session, which has to be kept secret.
+
+    Where it is unset, a cluster gets an error, and a local session (tests, and the check on given tables) a fixed word.
+    """
+    key = spark.conf.get("spark.tidewire.surrogateKey", None)
+    if not key and spark.sparkContext.getConf().get("spark.tidewire.surrogateKeyRequired", "false") == "true":
+        raise ValueError("spark.tidewire.surrogateKey is not set")
+    return key or "key-for-tests"
 
 
 def op6_surrogates(spark, sf_dir: str) -> DataFrame:
