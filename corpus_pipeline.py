@@ -41,7 +41,7 @@ def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets by surrogates."""
-    return _counted(pii.replace_entities(docs, "surrogate-key")).select(*docs.columns)
+    return _counted(pii.replace_entities(docs, pii.session_key(spark))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
