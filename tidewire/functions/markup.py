@@ -41,13 +41,15 @@ class Piece(NamedTuple):
 
 
 class Page:
-    """Elements by number: tag, parent (-1: none), raw attributes, and the last element within each."""
+    """Elements by number: tag, parent (-1: none), raw attributes, the last element within each, and the pieces of text within each (first, past the last)."""
 
     def __init__(self) -> None:
         self.tags: list[str] = []
         self.parents: list[int] = []
         self.raw: list[str] = []
         self.last: list[int] = []
+        self.begins: list[int] = []
+        self.ends: list[int] = []
         self.pieces: list[Piece] = []
         self._attributes: dict[int, dict[str, str]] = {}
 
@@ -62,6 +64,18 @@ class Page:
             self._attributes[node] = found
         return self._attributes[node]
 
+    def text(self, node: int, skipped: list[bool] | None = None, between: str = "") -> str:
+        """What stands in the element, blocks parted by a space, without what ``skipped`` elements hold."""
+        found, block = [], None
+        for p in self.pieces[self.begins[node] : self.ends[node]]:
+            if skipped is not None and p.node >= 0 and skipped[p.node]:
+                continue
+            if block is not None:
+                found.append(between if p.block == block else " ")
+            found.append(p.text)
+            block = p.block
+        return plain("".join(found))
+
     def holders(self, node: int):
         """The element and all that hold it, inside out."""
         while node >= 0:
@@ -81,6 +95,7 @@ def read_page(content: str | None) -> Page:
         while len(stack) > depth:
             node = stack.pop()
             page.last[node] = len(page.tags) - 1
+            page.ends[node] = len(page.pieces)
             open_tags[page.tags[node]] -= 1
             links -= page.tags[node] == "a"
 
@@ -160,6 +175,8 @@ def read_page(content: str | None) -> Page:
         page.parents.append(stack[-1] if stack else -1)
         page.raw.append(tag[3].strip())
         page.last.append(node)
+        page.begins.append(len(page.pieces))
+        page.ends.append(len(page.pieces))
         if name in VOID or len(stack) >= MAX_DEPTH:
             continue
         stack.append(node)

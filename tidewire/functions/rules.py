@@ -40,10 +40,21 @@ def is_future(ts: Column, as_of: Column, tolerance_days: int = 2) -> Column:
     return F.coalesce(ts > as_of + F.make_interval(days=F.lit(tolerance_days)), F.lit(False))
 
 
+def find_date(text: Column) -> Column:
+    """The date (and time, in ISO form) that a text is or holds: 2024-05-06, 2024/5/6, 6.5.2024, "6 May 2024", "May 6, 2024"."""
+    iso = F.regexp_extract(text, "^\\s*([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?)", 1)
+    timed = F.try_to_timestamp(F.rpad(F.replace(iso, F.lit("T"), F.lit(" ")), 19, ":00"), F.lit("yyyy-MM-dd HH:mm:ss"))
+    held = lambda pattern: F.regexp_replace(F.regexp_extract(text, pattern, 1), "[/.]", "-")
+    word = F.regexp_replace(F.regexp_extract(text, r"\b([0-9]{1,2}\s+[A-Za-z]{3,9}\.?\s+[0-9]{4}|[A-Za-z]{3,9}\.?\s+[0-9]{1,2},?\s+[0-9]{4})\b", 1), r"[.,]|\s+", " ")
+    named = F.initcap(F.trim(F.regexp_replace(word, " +", " ")))
+    short = F.regexp_replace(named, "([A-Za-z]{3})[a-z]*", "$1")
+    parsed = [(held(r"\b([0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2})\b"), "yyyy-M-d"), (held(r"\b([0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})\b"), "d-M-yyyy"), (short, "d MMM yyyy"), (short, "MMM d yyyy")]
+    return F.coalesce(F.when(iso != "", timed), *[F.when(v != "", F.try_to_timestamp(v, F.lit(f))) for v, f in parsed])
+
+
 def first_date(*values: Column, as_of: Column) -> Column:
     """The first of several date texts that parses and is not in the future."""
-    parsed = [F.coalesce(*(F.try_to_timestamp(v, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"))) for v in values]
-    return F.coalesce(*[F.when(~is_future(p, as_of), p) for p in parsed])
+    return F.coalesce(*[F.when(~is_future(p, as_of), p) for p in map(find_date, values)])
 
 
 def search_text(*fields: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
@@ -20,3 +20,10 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
     frame.write.parquet(folder)
     return spark.read.schema(frame.schema).parquet(folder)
+
+
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds the bytes of rows that go to a Python worker at once, where the session does not."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(size))

@@ -127,19 +127,43 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-def listing_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """The best links to articles of the own host, of listing pages made of each language's articles (SRC-4, SRC-6, SRC-7, SRC-10)."""
-    a = Newsroom(spark, folder).table("articles")
+def _listings(spark: SparkSession, folder: str) -> DataFrame:
+    """Listing pages of at most fifty articles of a language each (language, part, url, html)."""
+    a = Newsroom(spark, folder).table("articles").where("language IS NOT NULL")
     number, host = F.col("id").cast("string"), F.concat(F.lit("https://www."), "language", F.lit(".example.com"))
     href = (
-        F.when(F.col("id") % 4 == 0, F.concat(F.lit("/news/x"), number, F.lit("?utm_source=a"))).when(F.col("id") % 4 == 1, F.concat(host, F.lit("/a/b/"), number, F.lit("#top")))
+        F.when(F.col("id") % 4 == 0, F.concat(F.lit("/news/x"), number, F.lit("?utm_source=a&amp;fbclid=b"))).when(F.col("id") % 4 == 1, F.concat(host, F.lit("/a/b/"), number))
         .when(F.col("id") % 4 == 2, F.concat(F.lit("https://other.example.com/news/"), number)).otherwise(F.concat(F.lit("/files/"), number, F.lit(".pdf")))
     )
     shown = F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    anchor = F.concat(F.lit('<li><a class="x" href="'), F.regexp_replace(href, "#top$", ""), F.lit('"><b>'), shown, F.lit("</b></a></li>"))
-    pages = a.select("language", host.alias("host"), "id", anchor.alias("anchor")).groupBy("language", F.concat("host", F.lit("/list?page=1")).alias("url"))
-    whole = pages.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "anchor"))), lambda x: x["anchor"]), "\n").alias("html"))
-    return page_source.listing_candidates(whole, key="language", limit=12)
+    day = F.when(F.col("id") % 8 < 4, F.date_format(F.col("published_at") + F.expr("INTERVAL 20 YEARS"), "yyyy-MM-dd"))
+    item = F.concat(F.lit('<li class="x item"><a class=x href="'), href, F.lit('"><b>'), shown, F.lit("</b></a> <time>"), F.coalesce(day, F.lit("soon")), F.lit("</time>"))
+    key = F.concat("language", F.lit("/"), F.floor(F.col("id") / 50).cast("string"))
+    pages = a.select(key.alias("list"), F.concat(host, F.lit("/list?page=1")).alias("url"), "id", item.alias("item")).groupBy("list", "url")
+    return pages.agg(F.concat(F.lit("<nav><a href=/news/all>All the news that there are today</a></nav><ul class=list>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda x: x["item"]), "\n"), F.lit("</ul>")).alias("html"))
+
+
+def listing_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The best links to articles of the own host, of listing pages made of the articles (SRC-4, SRC-6, SRC-7, SRC-10)."""
+    found = page_source.listing_candidates(_listings(spark, folder), key="list", limit=12)
+    return found.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd"))
+
+
+def selected_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by selectors of the source, where it has any: every other list, and one whose selector picks nothing (SRC-4, SRC-5)."""
+    even = F.substring_index("list", "/", -1).cast("int") % 3
+    rows = _listings(spark, folder).withColumns({
+        "listing_selector": F.when(even == 0, "ul.list > li.item").when(even == 1, "table.none"), "link_selector": F.when(even == 0, './/a[contains(@href, "/news/")]').when(even == 1, "i a"), "date_selector": F.when(even == 0, "time"),
+    })
+    found = page_source.listing_candidates(rows, key="list", selectors=("listing_selector", "link_selector", "date_selector"), limit=5)
+    return found.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd"))
+
+
+def page_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Elements of pages by tag, with the words that stand in them alone (SRC-8, FN-28)."""
+    nodes = page_source.page_nodes(Newsroom(spark, folder).table("pages"), key="page_id")
+    text = F.when(F.col("tag").isin("a", "h1", "p", "b"), F.col("text")).otherwise("")
+    return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.count(F.element_at("attributes", "href")).alias("links"), F.sum(F.length(text)).cast("long").alias("chars"))
 
 
 def page_articles(spark: SparkSession, folder: str) -> DataFrame:
@@ -232,7 +256,7 @@ THEMES = {"abuse": ["worthless", "idiot", "clown"], "science": ["tion", "retitio
 
 QUERIES = {f.__name__: f for f in (
     url_key_dedupe, shared_body_hash, jaccard_pairs, cluster_titles, round_robin_topics, offline_score, page_addresses, text_flags, title_matches_body, prefilter,
-    keyword_scores, digest_summary, scan_density, chunk_documents, verify_facts, parsed_pages, page_links, listing_candidates, page_articles, upsert_sources, insert_articles, queue_claim, requeue_sweep,
+    keyword_scores, digest_summary, scan_density, chunk_documents, verify_facts, parsed_pages, page_links, listing_candidates, selected_candidates, page_nodes, page_articles, upsert_sources, insert_articles, queue_claim, requeue_sweep,
     star_assignment, merge_roots, source_regularity, source_health_score, candidate_memory, topic_feedback, content_themes, glossary_warnings,
 )}
 
@@ -252,6 +276,12 @@ _NAMED = lambda words: "(" + " OR ".join(f"contains(concat(' ', regexp_replace(l
 _COMMON = "[" + ", ".join(f"'{w}'" for w in fn.COMMON_WORDS) + "]"
 _STEMS5 = lambda t: f"list_transform(list_filter(regexp_extract_all(lower({t}), '[а-яёa-z0-9]+'), lambda w: length(w) > 3 AND NOT list_contains({_COMMON}, w)), lambda w: substr(w, 1, 5))"
 
+_LISTED = r"""WITH x AS (SELECT language || '/' || (id // 50) AS list, id // 50 AS of, language, id, id % 4 = 0 AS is_news, trim(regexp_replace(replace(title, chr(160), ' '), '\s+', ' ', 'g')) AS title, concat('https://www.', language, '.example.com', CASE WHEN id % 4 = 0 THEN '/news/x' ELSE '/a/b/' END, id) AS url, CASE WHEN id % 8 < 4 THEN strftime(published_at + INTERVAL 20 YEAR, '%Y-%m-%d') END AS published_at FROM articles WHERE id % 4 IN (0, 1) AND language IS NOT NULL),
+    m AS (SELECT DISTINCT language || '/' || (id // 50) AS list, id // 50 AS of, language, CAST(NULL AS BIGINT) AS id, TRUE AS is_news, 'All the news that there are today' AS title, concat('https://www.', language, '.example.com/news/all') AS url, CAST(NULL AS VARCHAR) AS published_at FROM articles WHERE language IS NOT NULL),
+    s AS (SELECT *, CASE WHEN is_news THEN 5 ELSE 1 END + CASE WHEN length(title) >= 40 THEN 2 ELSE 0 END + CASE WHEN length(title) >= 80 THEN 1 ELSE 0 END + CASE WHEN published_at IS NOT NULL THEN 2 ELSE 0 END AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM m) u WHERE length(title) >= 18)"""
+
+_UNESCAPED = lambda x: f"trim(regexp_replace(replace(replace(regexp_replace(replace(regexp_replace({x}, '<[^>]+>', '', 'g'), '&quot;', chr(34)), '&amp;?', chr(1), 'g'), chr(1), '&'), chr(160), ' '), '\\s+', ' ', 'g'))"
+
 ORACLES = {
     "source_regularity": "WITH d AS (SELECT source_id, published_at, CAST(floor(epoch(TIMESTAMP '1998-08-02 00:00:00' - published_at) / 86400) AS BIGINT) AS d FROM articles), g AS (SELECT source_id, COUNT(published_at) AS dated, MIN(d) AS age, COUNT(*) FILTER (WHERE d BETWEEN 0 AND 30) AS last_30, COUNT(*) FILTER (WHERE d BETWEEN 0 AND 90) AS last_90 FROM d GROUP BY source_id) SELECT source_id, dated, last_30, last_90, CASE WHEN dated = 0 THEN 'unknown' WHEN age > 180 THEN 'stale' WHEN last_30 >= 3 OR (last_30 >= 1 AND last_90 >= 4) THEN 'regular' WHEN last_90 >= 2 OR last_30 >= 1 THEN 'active_but_sparse' ELSE 'stale' END AS regularity_label FROM g",
     "source_health_score": "WITH x AS (SELECT *, ['regular', 'active_but_sparse', 'stale', 'unknown', 'archive'][id % 5 + 1] AS label, [90, 60, 15, 35, 5][id % 5 + 1] AS reg, CASE id % 3 WHEN 0 THEN 90 WHEN 1 THEN 25 ELSE 55 END AS avail FROM source_candidates), h AS (SELECT *, CAST(round(CAST(greatest(0.0, least(100.0, COALESCE(avg_score, 0) * 0.55 + reg * 0.3 + avail * 0.15 - CASE WHEN tested_articles < 5 THEN 15 ELSE 0 END)) AS DECIMAL(38,10)), 2) AS DOUBLE) AS health_score FROM x), a AS (SELECT *, CASE WHEN tested_articles >= 3 AND relevant_articles = 0 THEN 'reject' WHEN label IN ('archive', 'stale') AND relevant_articles < 3 THEN 'reject' WHEN health_score <= 25 THEN 'reject' WHEN health_score >= 70 AND tested_articles >= 5 AND relevant_articles >= 3 THEN 'add' WHEN health_score >= 45 OR label IN ('unknown', 'active_but_sparse') THEN CASE WHEN COALESCE(recommended_action, '') <> 'reject' THEN 'test_more' ELSE 'human_review' END ELSE COALESCE(recommended_action, 'human_review') END AS action FROM h) SELECT id, health_score, action, CASE WHEN label = 'archive' THEN 'archive' WHEN label = 'stale' THEN 'stale' WHEN action = 'add' THEN 'strong_source' WHEN action = 'test_more' THEN 'promising_needs_more_data' WHEN action = 'reject' THEN 'weak_source' WHEN health_score >= 50 THEN 'needs_review' ELSE 'risky_needs_review' END AS verdict FROM a",
@@ -272,7 +302,10 @@ ORACLES = {
     "prefilter": f"SELECT id, NOT ({_ANY(NOISE)} AND NOT {_ANY(POSITIVE)}) AS keep FROM articles",
     "keyword_scores": "SELECT id, CAST(round(least(100.0, (" + " + ".join(f"CAST(contains(lower(COALESCE(raw_text, '')), '{k}') AS INT)" for k in TRIED) + ") / 3.0 * 100), 2) AS DOUBLE) AS keyword_score FROM articles",
     "scan_density": "WITH a AS (SELECT doc_id, length(trim(l.line)) AS n FROM (SELECT doc_id, unnest(string_split(COALESCE(text, ''), chr(10))) AS line FROM documents) l) SELECT doc_id, COUNT(*) AS anchors, COUNT(*) FILTER (WHERE n >= 20) AS meaningful, (COUNT(*) FILTER (WHERE n >= 20) = 0 OR SUM(n) / CAST(COUNT(*) AS DOUBLE) < 50) AS scanned FROM a GROUP BY doc_id",
-    "listing_candidates": r"WITH x AS (SELECT language, id, trim(regexp_replace(replace(title, chr(160), ' '), '\s+', ' ', 'g')) AS title, concat('https://www.', language, '.example.com', CASE WHEN id % 4 = 0 THEN '/news/x' ELSE '/a/b/' END, id) AS url FROM articles WHERE id % 4 IN (0, 1) AND language IS NOT NULL), y AS (SELECT *, CASE WHEN id % 4 = 0 THEN 5 ELSE 1 END + CASE WHEN length(title) >= 40 THEN 2 ELSE 0 END + CASE WHEN length(title) >= 80 THEN 1 ELSE 0 END AS score FROM x WHERE length(title) >= 18) SELECT language, rank, url, title, score FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY score DESC, url) AS rank FROM y) r WHERE rank <= 12",
+    "listing_candidates": f"{_LISTED} SELECT list, rank, url, title, score, published_at FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, published_at NULLS LAST, url) AS rank FROM s) r WHERE rank <= 12",
+    "selected_candidates": f"{_LISTED} SELECT list, rank, url, title, score, published_at FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, CASE WHEN picked THEN NULL ELSE published_at END NULLS LAST, url) AS rank FROM (SELECT list, url, title, score + CASE WHEN picked THEN 2 ELSE 0 END AS score, published_at, picked FROM (SELECT *, of % 3 = 0 AND is_news AND id IS NOT NULL AS picked, bool_or(of % 3 = 0 AND is_news AND id IS NOT NULL) OVER (PARTITION BY list) AS anything FROM s) p WHERE picked = anything) q) r WHERE rank <= 5",
+    "page_nodes": "WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script>.*?</script>', '<script>', 's'), '<!--.*?-->', '', 'gs'), '<!DOCTYPE[^>]*>', '') AS h FROM pages), t AS (SELECT page_id, unnest(regexp_extract_all(h, '<([a-z0-9]+)[^>]*>[^<]*', 0)) AS piece FROM p) SELECT page_id, tag, COUNT(*) AS n, COUNT(*) FILTER (WHERE regexp_matches(piece, '^<[^>]*href=')) AS links, CAST(SUM(CASE WHEN tag IN ('a', 'h1', 'p', 'b') THEN length(trim(regexp_replace(replace(replace(regexp_replace(replace(regexp_replace(piece, '^<[^>]*>', ''), '&quot;', '\"'), '&amp;?', chr(1), 'g'), chr(1), '&'), chr(160), ' '), '\\s+', ' ', 'g'))) ELSE 0 END) AS BIGINT) AS chars FROM (SELECT *, regexp_extract(piece, '^<([a-z0-9]+)', 1) AS tag FROM t) x GROUP BY page_id, tag",
+    "page_articles": f"WITH b AS (SELECT page_id, {_UNESCAPED('regexp_extract(html, $$<div class=.ad.>(.*?)</div>$$, 1, $$s$$)')} AS ad, list_filter(list_transform(string_split_regex(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '</?(?:p|h1)>'), lambda x: {_UNESCAPED('x')}), lambda x: x <> '') AS blocks FROM pages), t AS (SELECT *, array_to_string(blocks, ' ') AS whole, list_distinct(list_filter(blocks[2:], lambda x: length(x) >= 30)) AS items FROM b), n AS (SELECT *, COALESCE(list_sum(list_transform(items, lambda x: length(x))), 0) + 2 * greatest(len(items) - 1, 0) AS n FROM t), m AS (SELECT *, CASE WHEN n < 200 AND length(whole) > n THEN length(whole) ELSE n END AS m FROM n) SELECT page_id, left(blocks[1], 500) AS title, CAST(NULL AS VARCHAR) AS image, CAST(CASE WHEN m >= 120 THEN m ELSE length(concat(ad, ' ', whole)) END AS INTEGER) AS n_text, CAST(NULL AS VARCHAR) AS published FROM m",
     "title_matches_body": f"WITH x AS (SELECT id, list_distinct({_STEMS5('COALESCE(raw_text, chr(32))')}) AS own, list_transform(string_split_regex(COALESCE(title, ''), '\\s+[—–|·]\\s+|\\s+-\\s+'), lambda s: list_distinct({_STEMS5('s')})) AS segs FROM articles), y AS (SELECT id, own, list_filter(segs, lambda s: len(s) >= 4) AS segs FROM x) SELECT id, len(own) = 0 OR len(segs) = 0 OR COALESCE(list_max(list_transform(segs, lambda s: len(list_intersect(s, own)) / CAST(len(s) AS DOUBLE))), 0) >= 0.2 AS matches FROM y",
     "merge_roots": "WITH RECURSIVE chain AS (SELECT id AS start_id, id, merged_into_signal_id AS up, 0 AS hops FROM signals UNION ALL SELECT c.start_id, s.id, s.merged_into_signal_id, c.hops + 1 FROM chain c JOIN signals s ON s.id = c.up WHERE c.hops < 10) SELECT start_id AS id, id AS root, hops FROM chain WHERE up IS NULL",
     "page_links": "SELECT page_id, href, COUNT(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(COALESCE(html, ''), '<a [^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages) l GROUP BY page_id, href",

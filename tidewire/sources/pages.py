@@ -3,71 +3,131 @@
 from __future__ import annotations
 
 import html
+import json
 import re
-from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.rules import post_title
+from tidewire.functions.markup import Page, plain, read_page
+from tidewire.functions.rules import find_date, is_future, post_title
+from tidewire.functions.selectors import select
 from tidewire.functions.text import clean_html, clean_query
+from tidewire.operators.tables import bounded_batches
+
+# Elements whose content is no text of an article, names of such and of others, and where a picture is named.
+_SKIPPED = frozenset("script style noscript svg iframe nav footer header aside form".split())
+_BAD_NAME = re.compile("nav|menu|footer|header|cookie|banner|share|social|subscribe|newsletter|advert|promo|related|sidebar|breadcrumb|comment", re.I)
+_GOOD_NAME = re.compile("article|content|story|post|entry|body|main|text", re.I)
+_HOLDER_NAME = re.compile("article|content|story", re.I)
+_HOLDER_ID = re.compile("article|content", re.I)
+_IMAGES = [("property", "og:image"), ("property", "og:image:url"), ("property", "og:image:secure_url"), ("name", "og:image"), ("name", "twitter:image"), ("name", "twitter:image:src")]
+_ITEMS = frozenset(["p", "li", "h2", "h3", "blockquote"])
+
+
+def _skipped(page: Page) -> list[bool]:
+    out: list[bool] = []
+    for node, parent in enumerate(page.parents):
+        out.append(page.tags[node] in _SKIPPED or (parent >= 0 and out[parent]))
+    return out
+
+
+def _whole_text(page: Page, skipped: list[bool]) -> str:
+    """All text of a page but that of its head."""
+    kept, block = [], None
+    for p in page.pieces:
+        if p.node >= 0 and (skipped[p.node] or page.tags[p.node] in ("title", "head")):
+            continue
+        if p.block != block:
+            kept.append(" ")
+        kept.append(p.text)
+        block = p.block
+    return plain("".join(kept))
 
-_SKIPPED = {"script", "style", "noscript", "nav", "footer", "header", "aside", "form"}
-
-
-class _Page(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.meta: dict[str, str] = {}
-        self.heads: dict[str, list[str]] = {"title": [], "h1": []}
-        self.links: list[tuple[str, str]] = []
-        self.paragraphs: list[str] = []
-        self.text: list[str] = []
-        self.stack: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        values = {k: v or "" for k, v in attrs}
-        if tag == "meta" and (name := values.get("property") or values.get("name")):
-            self.meta.setdefault(name.lower(), values.get("content", ""))
-        elif tag == "a" and values.get("href"):
-            self.links.append((values["href"].strip(), ""))
-        elif tag == "p":
-            self.paragraphs.append("")
-        if tag not in ("meta", "br", "img", "link", "input", "hr"):
-            self.stack.append(tag)
-
-    def handle_endtag(self, tag):
-        if tag in self.stack:
-            while self.stack and self.stack.pop() != tag:
-                pass
-
-    def handle_data(self, data):
-        if set(self.stack) & _SKIPPED:
-            return
-        self.text.append(data)
-        for name in ("title", "h1"):
-            if name in self.stack:
-                self.heads[name].append(data)
-        if "a" in self.stack and self.links:
-            self.links[-1] = (self.links[-1][0], self.links[-1][1] + data)
-        if "p" in self.stack and self.paragraphs:
-            self.paragraphs[-1] += data
-
-
-def _plain(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
+
+def _json_bodies(value) -> list[str]:
+    if isinstance(value, list):
+        return [b for v in value for b in _json_bodies(v)]
+    if not isinstance(value, dict):
+        return []
+    own = [v for v in (value.get("articleBody"), value.get("text")) if isinstance(v, str) and len(v.strip()) >= 120]
+    return own + _json_bodies(value.get("@graph"))
+
+
+def _told_text(page: Page) -> str:
+    """The longest body that linked data of the page tell."""
+    found = []
+    for node, tag in enumerate(page.tags):
+        if tag == "script" and "ld+json" in page.attributes(node).get("type", "").lower():
+            try:
+                found += _json_bodies(json.loads("".join(p.text for p in page.pieces[page.begins[node] : page.ends[node]])))
+            except (ValueError, RecursionError):
+                continue
+    return max((plain(html.unescape(re.sub("<[^>]*>", " ", b))) for b in found), key=len, default="")
+
+
+def best_text(page: Page, skipped: list[bool], least: int = 120) -> str:
+    """The text of the best element: long, in paragraphs, named like an article, and not made of links; linked data come first."""
+    best = _told_text(page)
+    score = len(best) + 300 if len(best) >= least else -1.0
+    name = lambda n: " ".join(filter(None, (page.attributes(n).get("class"), page.attributes(n).get("id")))) if page.raw[n] else ""
+
+    def holds(node: int) -> bool:
+        if page.tags[node] in ("article", "main"):
+            return True
+        found = page.attributes(node) if page.tags[node] in ("div", "section") and page.raw[node] else {}
+        return bool(_HOLDER_NAME.search(found.get("class", "")) or _HOLDER_ID.search(found.get("id", "")))
+
+    items = [(n, t) for n, tag in enumerate(page.tags) if tag in _ITEMS and not skipped[n] and not _BAD_NAME.search(name(n)) and len(t := page.text(n, skipped)) >= 30]
+    links = [(n, len(page.text(n, skipped)) + 1) for n, tag in enumerate(page.tags) if tag == "a" and not skipped[n]]
+    holders = [n for n in range(len(page.tags)) if not skipped[n] and holds(n)]
+    for node in holders or [-1]:
+        last = page.last[node] if node >= 0 else len(page.tags)
+        text = "\n\n".join(dict.fromkeys(t for n, t in items if node < n <= last))
+        if len(text) < 200:
+            whole = page.text(node, skipped) if node >= 0 else _whole_text(page, skipped)
+            text = whole if len(whole) > len(text) else text
+        if len(text) < least:
+            continue
+        own = name(node) if node >= 0 else ""
+        linked = max(0, sum(size for n, size in links if node < n <= last) - 1)
+        value = len(text) + 30 * (text.count("\n\n") + 1) + (250 if _GOOD_NAME.search(own) else 0) - (500 if _BAD_NAME.search(own) else 0) - min(400, linked * 0.4)
+        if value > score:
+            best, score = text, value
+    return best
+
+
+def article_of(content: str | None, least: int = 120) -> dict:
+    """Title, text, picture and date texts of the article on a page."""
+    page = read_page(content)
+    skipped = _skipped(page)
+    metas: dict[tuple[str, str], str] = {}
+    for node, tag in enumerate(page.tags):
+        if tag == "meta":
+            found = page.attributes(node)
+            for kind in ("property", "name"):
+                if kind in found:
+                    metas.setdefault((kind, found[kind].lower()), found.get("content", ""))
+    first = lambda tag: next((n for n, t in enumerate(page.tags) if t == tag), None)
+    heading, title, time = first("h1"), first("title"), first("time")
+    titles = [metas.get(("property", "og:title"), ""), metas.get(("name", "twitter:title"), ""), page.text(heading, None, " ") if heading is not None else "", page.text(title) if title is not None else ""]
+    pictures = [metas.get(k, "") for k in _IMAGES] + [page.attributes(n).get("href", "") for n, t in enumerate(page.tags) if t == "link" and page.attributes(n).get("rel", "").lower() == "image_src"]
+    shown = page.text(time) if time is not None else ""
+    dates = [metas.get(("property", "article:published_time"), ""), metas.get(("name", "pubdate"), ""), page.attributes(time).get("datetime", "") if time is not None else "", "".join(re.findall(_DATES, shown)[:1])]
+    text = best_text(page, skipped, least)
+    return {
+        "title": next((t[:500] for t in map(plain, titles) if t), None), "text": text if len(text) >= least else _whole_text(page, skipped),
+        "image": next((p.strip() for p in pictures if p.strip().startswith("http")), None), "dates": dates,
+    }
 
 
 def parse_page(content: str | None) -> dict:
-    """Title (og, twitter, h1, title in that order), main text and links of a page."""
-    page = _Page()
-    page.feed(content or "")
-    titles = [page.meta.get("og:title", ""), page.meta.get("twitter:title", ""), " ".join(page.heads["h1"]), " ".join(page.heads["title"])]
-    paragraphs = [p for p in map(_plain, page.paragraphs) if p]
-    body = "\n".join(paragraphs) if sum(map(len, paragraphs)) >= 120 else _plain(" ".join(page.text))
-    return {"title": next((t for t in map(_plain, titles) if t), None), "body": body, "image": page.meta.get("og:image") or None, "links": [{"href": h, "text": _plain(t)} for h, t in page.links]}
+    """Title, main text, picture and links of a page."""
+    found, page = article_of(content), read_page(content)
+    links = [{"href": page.attributes(n)["href"].strip(), "text": page.text(n)} for n, t in enumerate(page.tags) if t == "a" and page.attributes(n).get("href")]
+    return {"title": found["title"], "body": found["text"], "image": found["image"], "links": links}
 
 
 def _pages(content: pd.Series) -> pd.DataFrame:
@@ -76,9 +136,66 @@ def _pages(content: pd.Series) -> pd.DataFrame:
 
 def parse_pages(pages: DataFrame, content: str = "html") -> DataFrame:
     """Pages with ``title``, ``body``, ``image`` and ``links``."""
+    bounded_batches(pages.sparkSession)
     return pages.withColumn("_p", F.pandas_udf(_pages, "title string, body string, image string, links array<struct<href string, text string>>")(F.col(content))).select(*pages.columns, "_p.*")
 
 
+def page_nodes(pages: DataFrame, *, key: str, content: str = "html") -> DataFrame:
+    """One row an element of every page: (key, node, parent, last, depth, tag, attributes, text); ``text`` is what stands in it alone."""
+    bounded_batches(pages.sparkSession)
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(frames):
+        for frame in frames:
+            for of, page in zip(frame[key], map(read_page, frame[content]), strict=True):
+                depths: list[int] = []
+                own: dict[int, list[str]] = {}
+                for p in page.pieces:
+                    own.setdefault(p.node, []).append(p.text)
+                for parent in page.parents:
+                    depths.append(depths[parent] + 1 if parent >= 0 else 0)
+                n = len(page.tags)
+                for i in range(0, n, 10_000):
+                    nodes = range(i, min(n, i + 10_000))
+                    yield pd.DataFrame({
+                        key: [of] * len(nodes), "node": nodes, "parent": [page.parents[x] for x in nodes], "last": [page.last[x] for x in nodes], "depth": [depths[x] for x in nodes],
+                        "tag": [page.tags[x] for x in nodes], "attributes": [page.attributes(x) for x in nodes], "text": [plain("".join(own.get(x, ()))) for x in nodes],
+                    })
+
+    return pages.select(key, content).mapInPandas(run, f"`{key}` {kind}, node int, parent int, last int, depth int, tag string, attributes map<string,string>, text string")
+
+
+def _anchors(content: str | None, listing: str | None, link: str | None, date: str | None) -> list[dict]:
+    """Links of a page with title and date text: those that the selectors pick first, then all."""
+    page = read_page(content)
+    found: list[dict] = []
+
+    def add(node: int, stamps: list[str], picked: bool) -> None:
+        href = page.attributes(node).get("href", "").strip()
+        if href:
+            own = [page.attributes(node).get(name, "") for name in ("datetime", "content", "data-date")]
+            found.append({"href": href, "title": page.text(node), "stamps": [s for s in (*stamps, *own, near(page.parents[node])) if s], "picked": picked})
+
+    known: dict[int, str] = {}
+
+    def near(parent: int) -> str:
+        if parent not in known:
+            known[parent] = "".join(re.findall(_DATES, page.text(parent))[:1]) if parent >= 0 else ""
+        return known[parent]
+
+    if any((s or "").strip() for s in (listing, link, date)):
+        for node in select(page, listing) or [None]:
+            last = page.last[node] if node is not None else len(page.tags) - 1
+            picked = select(page, link, node) if (link or "").strip() else [n for n in range(node or 0, last + 1) if page.tags[n] == "a"]
+            shown = next((t for t in (page.text(n) for n in select(page, date, node)) if t), "") if picked and (date or "").strip() else ""
+            for n in picked:
+                add(n, [shown] if shown else [], True)
+    for node, tag in enumerate(page.tags):
+        if tag == "a":
+            add(node, [], False)
+    return found
+
+
 # Words of addresses of articles and of others, and endings of media files.
 ARTICLE_HINTS = "news|press|media|article|articles|blog|post|posts|story|stories|insight|insights|publication|publications|release|releases|updates?"
 BAD_LINKS = "contact|about|privacy|terms|career|job|vacan|event|webinar|podcast|subscribe|signin|login|register|mailto:|javascript:|#"
@@ -94,17 +211,18 @@ def link_score(path: Column, title: Column) -> Column:
     return sum((F.when(test, n).otherwise(0) for test, n in points), F.lit(0))
 
 
-def listing_candidates(pages: DataFrame, *, key: str, url: str = "url", content: str = "html", limit: int = 12, least_title: int = 18) -> DataFrame:
-    """(key, rank, url, title, score): of each listing page the best links to articles of its own host.
+def listing_candidates(pages: DataFrame, *, key: str, url: str = "url", content: str = "html", selectors: tuple[str, str, str] | None = None, as_of: Column | None = None, limit: int = 12, least_title: int = 18) -> DataFrame:
+    """(key, rank, url, title, score, published_at): of each listing page the best links to articles of its own host.
 
-    An anchor is found by its tag; what it holds is its title. Links to other hosts,
-    media files, the front page, and of a short title go; of equal addresses the first stays.
+    ``selectors`` names the columns of a page's selectors of lists, links and dates (CSS or XPath, null: none); where they pick
+    any good link, only such count, each with two points more. Else all links do. Links to other hosts, media files, the front
+    page, and of a short title go; of equal addresses the first stays; a link with a date has two points more.
     """
-    anchors = F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(r"(?is)<a\s[^>]*?href\s*=\s*([\"'][^\"']*[\"'][^>]*>.*?)</a>"), F.lit(1))
-    rows = pages.select(F.col(key), F.col(url).alias("_home"), F.posexplode(anchors).alias("_at", "_a"))
-    href = F.trim(F.regexp_extract("_a", r"^[\"']([^\"']*)[\"']", 1))
-    rows = rows.select(key, "_home", "_at", href.alias("_href"), clean_html(F.regexp_replace("_a", r"(?s)^[\"'][^\"']*[\"'][^>]*>", "")).alias("title"))
-    rows = rows.where((F.col("_href") != "") & ~F.col("_href").rlike(f"(?i){BAD_LINKS}"))
+    bounded_batches(pages.sparkSession)
+    picked = [F.col(c) for c in selectors] if selectors else [F.lit(None).cast("string")] * 3
+    found = F.pandas_udf(lambda *columns: pd.Series([_anchors(*row) for row in zip(*columns, strict=True)]), "array<struct<href string, title string, stamps array<string>, picked boolean>>")
+    rows = pages.select(F.col(key), F.col(url).alias("_home"), F.posexplode(found(F.col(content), *picked)).alias("_at", "_a"))
+    rows = rows.select(key, "_home", "_at", F.col("_a.href").alias("_href"), "_a.title", "_a.stamps", "_a.picked").where(~F.col("_href").rlike(f"(?i){BAD_LINKS}"))
     base = F.regexp_extract("_home", "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_extract("_home", "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:/[^?#]*/)?)", 1)
     h = F.col("_href")
@@ -118,54 +236,59 @@ def listing_candidates(pages: DataFrame, *, key: str, url: str = "url", content:
     rows = rows.where(((F.regexp_replace("_path", "/+$", "") != "") | (F.col("_query") != "")) & (F.length("title") >= least_title))
     site, where = F.regexp_extract("_u", "^(https?://[^/?#]*)", 1), F.when(F.col("_path") == "/", "").otherwise(F.col("_path"))
     rows = rows.withColumn("_clean", F.concat(site, where, F.when(F.col("_query") != "", F.concat(F.lit("?"), "_query")).otherwise("")))
-    scored = rows.withColumn("score", link_score(F.col("_path"), F.col("title"))).where("score > 0")
-    first = scored.groupBy(key, F.col("_clean").alias("url")).agg(F.min_by(F.struct(F.substring("title", 1, 500).alias("title"), "score"), "_at").alias("b"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("b.score"), "url"))
-    return first.withColumn("rank", rank).where(F.col("rank") <= limit).select(key, "rank", "url", "b.title", "b.score")
+    dates = F.transform("stamps", find_date)
+    rows = rows.withColumn("published_at", F.get(F.filter(dates, lambda d: d.isNotNull() if as_of is None else d.isNotNull() & ~is_future(d, as_of)), F.lit(0)))
+    points = link_score(F.col("_path"), F.col("title")) + F.when(F.col("published_at").isNotNull(), 2).otherwise(0)
+    scored = rows.withColumn("score", points).where("score > 0").withColumn("score", F.col("score") + F.when(F.col("picked"), 2).otherwise(0))
+    scored = scored.withColumn("_any", F.max("picked").over(Window.partitionBy(key))).where("picked = _any")
+    first = scored.groupBy(key, F.col("_clean").alias("url")).agg(F.min_by(F.struct(F.substring("title", 1, 500).alias("title"), "score", "published_at", "picked"), "_at").alias("b"))
+    dated = F.when(~F.col("b.picked"), F.coalesce("b.published_at", F.lit("9999-01-01").cast("timestamp")))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("b.score"), dated, "url"))
+    return first.withColumn("rank", rank).where(F.col("rank") <= limit).select(key, "rank", "url", "b.title", "b.score", "b.published_at")
 
 
-def _first(*values: Column) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in values])
+def _articles(content: pd.Series, least: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([article_of(c, n) for c, n in zip(content, least, strict=True)], columns=["title", "text", "image", "dates"])
 
 
 def page_articles(pages: DataFrame, *, as_of: Column, content: str = "html", least_text: int = 120) -> DataFrame:
-    """Pages with ``title``, ``text``, ``image`` and ``published_at`` of the article on them, by patterns over the markup.
+    """Pages with ``title``, ``text``, ``image`` and ``published_at`` of the article on them.
 
-    The title is that of og, twitter, the first heading or the page; the text is the
-    longest JSON-LD body of ``least_text`` characters, else the paragraphs where they
-    are long enough, else all text; dates after ``as_of`` do not count.
+    The title is that of og, twitter, the first heading or the page. The text is that of the best element by length,
+    paragraphs, names and links, or linked data's where these are better; of a page without an element of ``least_text``
+    characters all text. Dates after ``as_of`` do not count.
     """
-    given = F.coalesce(content, F.lit(""))
-    bare = F.regexp_replace(given, r"(?is)<(script|style|noscript|nav|footer|header|aside|form)\b.*?</\1>", " ")
-    meta = lambda name: clean_html(F.regexp_extract(given, rf"(?is)<meta\s[^>]*?(?:property|name)=[\"']{name}[\"'][^>]*?content=[\"']([^\"']*)", 1))
-    inside = lambda tag: clean_html(F.regexp_extract(bare, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
-    bodies = F.regexp_extract_all(given, F.lit(r'(?is)"(?:articleBody|text)"\s*:\s*"((?:[^"\\]|\\.)*+)"'), F.lit(1))
-    told = F.filter(F.transform(bodies, clean_html), lambda b: F.length(b) >= least_text)
-    longest = F.array_max(F.transform(told, lambda b: F.struct(F.length(b).alias("n"), b.alias("b"))))["b"]
-    paragraphs = F.filter(F.transform(F.regexp_extract_all(bare, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), clean_html), lambda p: p != "")
-    joined = F.array_join(F.array_distinct(paragraphs), "\n")
-    text = F.coalesce(longest, F.when(F.length(joined) >= least_text, joined), clean_html(F.regexp_replace(bare, r"(?is)<title\b.*?</title>", " ")))
-    time_tag = F.regexp_extract(given, r"(?is)<time\b[^>]*?datetime=[\"']([^\"']*)", 1)
-    dates = [meta("article:published_time"), meta("pubdate"), time_tag, F.regexp_replace(F.regexp_extract(inside("time"), f"({_DATES})", 1), "[/.]", "-")]
-    day = [F.try_to_timestamp(F.regexp_extract(d, "([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})", 1), F.lit("yyyy-M-d")) for d in dates]
-    published = F.coalesce(*[F.when(d <= as_of + F.expr("INTERVAL 2 DAYS"), d) for d in day])
-    return pages.withColumns({"title": F.substring(_first(meta("og:title"), meta("twitter:title"), inside("h1"), inside("title")), 1, 500), "text": text, "image": _first(meta("og:image"), meta("twitter:image")), "published_at": published})
+    bounded_batches(pages.sparkSession)
+    found = F.pandas_udf(_articles, "title string, text string, image string, dates array<string>")(F.col(content), F.lit(least_text))
+    rows = pages.withColumn("_found", found)
+    dates = F.filter(F.transform("_found.dates", find_date), lambda d: d.isNotNull() & ~is_future(d, as_of))
+    return rows.withColumns({"title": F.col("_found.title"), "text": F.col("_found.text"), "image": F.col("_found.image"), "published_at": F.get(dates, F.lit(0))}).drop("_found")
 
 
-def channel_posts(pages: DataFrame, *, content: str = "html", limit: int = 20) -> DataFrame:
-    """(url, title, text, published_at) of the posts of channel previews, the newest first in each page; posts without text go.
+def _posts(content: str | None) -> list[dict]:
+    """Posts of a channel preview in order of the page: name, text, and date text."""
+    page, found = read_page(content), []
+    for node, tag in enumerate(page.tags):
+        if tag == "div" and page.raw[node] and re.fullmatch(r"[A-Za-z0-9_]+/[0-9]+", page.attributes(node).get("data-post", "")):
+            inside = range(node, page.last[node] + 1)
+            text = next((n for n in inside if page.raw[n] and "tgme_widget_message_text" in page.attributes(n).get("class", "").split()), None)
+            time = next((n for n in inside if page.tags[n] == "time" and page.attributes(n).get("datetime")), None)
+            found.append({"name": page.attributes(node)["data-post"], "text": page.text(text) if text is not None else "", "at": page.attributes(time)["datetime"] if time is not None else None})
+    return found
 
-    A post begins at its ``data-post`` mark and reaches to the next.
-    """
+
+def channel_posts(pages: DataFrame, *, content: str = "html", limit: int = 20) -> DataFrame:
+    """(url, title, text, published_at) of the posts of channel previews, the newest first in each page; posts without text go."""
+    bounded_batches(pages.sparkSession)
     kept = [c for c in pages.columns if c != content]
-    marks = F.split(F.coalesce(content, F.lit("")), r"(?is)(?=<div[^>]*\bdata-post=)", -1)
-    posts = pages.select(*kept, F.explode(F.filter(marks, lambda m: m.rlike(r"(?is)^<div[^>]*\bdata-post="))).alias("_m"))
-    name = F.regexp_extract("_m", r"(?is)data-post=[\"']([A-Za-z0-9_]+/[0-9]+)[\"']", 1)
-    text = clean_html(F.regexp_extract("_m", r"(?is)<div[^>]*\btgme_widget_message_text\b[^>]*>(.*?)</div>", 1))
-    at = F.try_to_timestamp(F.substring(F.regexp_extract("_m", r"(?is)<time\b[^>]*?datetime=[\"']([^\"']*)", 1), 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    rows = posts.select(*kept, F.concat(F.lit("https://t.me/"), F.nullif(name, F.lit(""))).alias("url"), text.alias("text"), at.alias("published_at")).where("url IS NOT NULL AND text <> ''")
-    ordered = rows.groupBy(*kept).agg(F.array_sort(F.collect_list(F.struct((-F.coalesce(F.unix_timestamp("published_at"), F.lit(0))).alias("turn"), "url", "text", "published_at"))).alias("_p"))
-    cut = ordered.select(*kept, F.explode(F.slice("_p", 1, limit)).alias("_p"))
+    found = F.pandas_udf(lambda c: c.map(_posts), "array<struct<name string, text string, at string>>")(F.col(content))
+
+    def post(p: Column) -> Column:
+        at = F.try_to_timestamp(F.substring(p["at"], 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+        return F.struct((-F.coalesce(F.unix_timestamp(at), F.lit(0))).alias("turn"), F.concat(F.lit("https://t.me/"), p["name"]).alias("url"), p["text"].alias("text"), at.alias("published_at"))
+
+    posts = F.slice(F.array_sort(F.transform(F.filter(found, lambda p: p["text"] != ""), post)), 1, limit)
+    cut = pages.select(*kept, F.explode(posts).alias("_p"))
     return cut.select(*kept, "_p.url", post_title(F.col("_p.text")).alias("title"), "_p.text", "_p.published_at")
 
 
@@ -183,7 +306,7 @@ def parse_feed(content: str | None) -> list[dict]:
         for child in node:
             name = child.tag.rpartition("}")[2]
             values.setdefault(name, child.get("href") or (child.text or "").strip())
-        title = _plain(re.sub("<[^>]+>", " ", html.unescape(values.get("title", ""))))[:500]
+        title = plain(re.sub("<[^>]+>", " ", html.unescape(values.get("title", ""))))[:500]
         if title and values.get("link"):
             out.append({"title": title, "url": values["link"], "published": values.get("pubDate") or values.get("published") or values.get("updated"), "summary": values.get("description") or values.get("summary")})
     return out
