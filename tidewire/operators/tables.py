@@ -8,18 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame, computed once and read back from ``spark.checkpoint.dir`` (a new local folder where that is unset); removed when the application ends."""
-    spark = frame.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a new local one, which only a local session may use."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors do not share local folders")
         root = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", root)
-    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name for a new table in the shared folder, removed when the application ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return folder
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame, computed once and read back from a new table in the shared folder."""
+    folder = new_folder(frame.sparkSession, name)
     frame.write.parquet(folder)
-    return spark.read.schema(frame.schema).parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:

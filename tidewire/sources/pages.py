@@ -277,10 +277,9 @@ def _posts(content: str | None) -> list[dict]:
     return found
 
 
-def channel_posts(pages: DataFrame, *, content: str = "html", limit: int = 20) -> DataFrame:
-    """(url, title, text, published_at) of the posts of channel previews, the newest first in each page; posts without text go."""
+def channel_previews(pages: DataFrame, *, content: str = "html", limit: int = 20) -> DataFrame:
+    """Previews of channels with ``posts`` (url, title, text, published_at) in place of the page, the newest first; posts without text go."""
     bounded_batches(pages.sparkSession)
-    kept = [c for c in pages.columns if c != content]
     found = F.pandas_udf(lambda c: c.map(_posts), "array<struct<name string, text string, at string>>")(F.col(content))
 
     def post(p: Column) -> Column:
@@ -288,8 +287,14 @@ def channel_posts(pages: DataFrame, *, content: str = "html", limit: int = 20) -
         return F.struct((-F.coalesce(F.unix_timestamp(at), F.lit(0))).alias("turn"), F.concat(F.lit("https://t.me/"), p["name"]).alias("url"), p["text"].alias("text"), at.alias("published_at"))
 
     posts = F.slice(F.array_sort(F.transform(F.filter(found, lambda p: p["text"] != ""), post)), 1, limit)
-    cut = pages.select(*kept, F.explode(posts).alias("_p"))
-    return cut.select(*kept, "_p.url", post_title(F.col("_p.text")).alias("title"), "_p.text", "_p.published_at")
+    told = F.transform(posts, lambda p: F.struct(p["url"].alias("url"), post_title(p["text"]).alias("title"), p["text"].alias("text"), p["published_at"].alias("published_at")))
+    return pages.withColumn("posts", told).drop(content)
+
+
+def channel_posts(pages: DataFrame, *, content: str = "html", limit: int = 20) -> DataFrame:
+    """(url, title, text, published_at) of the posts of channel previews, the newest first in each page; posts without text go."""
+    kept = [c for c in pages.columns if c != content]
+    return channel_previews(pages, content=content, limit=limit).select(*kept, F.explode("posts").alias("_p")).select(*kept, "_p.*")
 
 
 def parse_feed(content: str | None) -> list[dict]:
