@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,18 +49,19 @@ def _stem_codes(stems: Column) -> Column:
     return F.transform(stems, lambda s: sum(letters(s), F.lit(0).cast("long")))
 
 
-def similar_pairs(cards: DataFrame, *, id_col: str = "id", title: str = "title", threshold: float = 0.25) -> DataFrame:
-    """Pairs of cards with Jaccard similarity of title stems of at least ``threshold``.
-
-    Equal sets of stems are one class. Prefix filtering: with a class's stems in order
-    of rarity, two similar classes share one among the first
-    size - ceil(threshold * size) + 1, and are compared where the first shared one is,
-    if the stems after it can suffice. Frequent stems and large classes are spread.
-    """
-    stems = cards.select(F.col(id_col).alias("id"), F.array_sort(_stem_codes(title_stems(F.col(title)))).alias("stems")).where(F.size("stems") > 0)
+def _classes(stems: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes of equal sets, members by class and salt) of rows with ``id`` and sorted ``stems``; other columns go with the members."""
     classes = stems.groupBy("stems").agg(F.min("id").alias("of"), F.count("*").alias("copies")).withColumn("spread", F.expr(f"copies div {SPREAD} + 1"))
-    members = stems.join(classes, "stems").select("of", F.expr("pmod(xxhash64(id), spread)").alias("salt"), "id")
+    return classes, stems.join(classes, "stems").withColumn("salt", F.expr("pmod(xxhash64(id), spread)")).drop("stems", "copies", "spread")
 
+
+def _near_classes(classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different classes with Jaccard similarity of at least ``threshold``.
+
+    Prefix filtering: with a class's stems in order of rarity, two similar classes share one
+    among the first size - ceil(threshold * size) + 1, and are compared where the first
+    shared one is, if the stems after it can suffice. Frequent stems are spread.
+    """
     single = classes.select("of", "spread", F.explode("stems").alias("stem"))
     rarity = single.groupBy("stem").agg(F.count("*").alias("df"))
     ranked = single.join(rarity, "stem").groupBy("of", "spread").agg(F.array_sort(F.collect_list(F.struct("df", "stem"))).alias("ranked")).withColumn("n", F.size("ranked"))
@@ -73,9 +75,29 @@ def similar_pairs(cards: DataFrame, *, id_col: str = "id", title: str = "title",
     shared = F.array_intersect("stems_a", "stems_b")
     overlap = F.size(shared) / (F.col("n_a") + F.col("n_b") - F.size(shared))
     near = a.join(b, ["stem", "part"]).where((F.col("of_a") < F.col("of_b")) & sizes_fit & can_suffice & (F.get(shared, F.lit(0)) == F.col("stem")) & (overlap >= threshold))
-    near = near.select("of_a", "spread_a", "of_b", "spread_b", overlap.alias("overlap"))
+    return near.select("of_a", "spread_a", "of_b", "spread_b", overlap.alias("overlap"))
+
+
+def similar_classes(sets: DataFrame, *, threshold: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """(members, links): rows with the class ``of`` of their set, and (of_a, of_b, overlap) of similar classes.
+
+    ``sets``: id and ``stems`` (sorted, not empty). Members of one class are alike by membership; that and the links
+    tell all pairs in a table that does not grow with the square of a class.
+    """
+    classes, members = _classes(sets)
+    return members.drop("salt"), _near_classes(classes, threshold).select("of_a", "of_b", "overlap")
+
+
+def title_sets(cards: DataFrame, *, id_col: str = "id", title: str = "title") -> DataFrame:
+    """(id, stems) of cards whose titles have any stem."""
+    return cards.select(F.col(id_col).alias("id"), F.array_sort(_stem_codes(title_stems(F.col(title)))).alias("stems")).where(F.size("stems") > 0)
+
+
+def similar_pairs(cards: DataFrame, *, id_col: str = "id", title: str = "title", threshold: float = 0.25) -> DataFrame:
+    """Pairs of cards with Jaccard similarity of title stems of at least ``threshold``: classes and their links, expanded."""
+    classes, members = _classes(title_sets(cards, id_col=id_col, title=title))
     equal = classes.where((F.col("copies") > 1) & F.lit(threshold <= 1)).select(F.col("of").alias("of_a"), F.col("spread").alias("spread_a"), F.col("of").alias("of_b"), F.col("spread").alias("spread_b"), F.lit(1.0).alias("overlap"))
-    pairs = near.union(equal)
+    pairs = _near_classes(classes, threshold).union(equal)
     for x in "ab":
         dealt = pairs.withColumn("salt", F.explode(F.expr(f"sequence(0L, spread_{x} - 1)")))
         pairs = dealt.join(members.select(F.col("of").alias(f"of_{x}"), "salt", F.col("id").alias(f"id_{x}")), [f"of_{x}", "salt"]).drop("salt", f"spread_{x}")
@@ -117,10 +139,30 @@ def round_robin(clusters: DataFrame, *, family: str, key: str, score: str, limit
     return ranked.orderBy("turn", F.desc("_best"), family).limit(limit).drop("_best")
 
 
+#: open edges that one task goes through in order
+FEW_EDGES = 200_000
+
+
+def _in_order(left: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ids that are taken among the open edges (at most ``FEW_EDGES``), by going through them in order of the higher node's rank."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        taken: set[int] = set()
+        for high, low in zip(frame["high"], frame["low"], strict=True):  # sorted by the rank of high
+            if high not in taken:
+                taken.add(low)
+        return pd.DataFrame({"id": sorted(taken)})
+
+    ranked = left.join(edges, ["high", "low"]).select("rank", "high", "low").distinct()
+    numbered = ranked.withColumn("place", F.row_number().over(Window.orderBy("rank", "low")))  # bounded: FEW_EDGES rows
+    return numbered.groupBy(F.lit(0).alias("all")).applyInPandas(lambda frame: run(frame.sort_values("place")), "id long")
+
+
 def assign_stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Greedy star assignment.
 
-    Nodes (``id, tier, score, evidence``) are taken by (tier, -score, -evidence, id). A
+    Nodes (``id, tier, score, evidence``, perhaps ``day``, the day a stored card was first seen) are taken by
+    (tier, day, -score, -evidence, id). A
     node that is not yet taken becomes a centre, and its free neighbours of a lower
     rank its duplicates; reviewed cards (tier below 2) are never duplicates. Edges
     (``a, b``) are given both ways or one.
@@ -128,9 +170,11 @@ def assign_stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     In rounds on tables: open nodes with no open neighbour of a higher rank are
     centres, their neighbours are taken. A taken node belongs to its first centre by
     rank, which a later round may find, so it is chosen at the end: nodes that are never
-    taken are centres. There are as many rounds as the longest chain of nodes that wait for one another.
+    taken are centres. Rounds go on while more than ``FEW_EDGES`` edges are open; what is left is gone through in order
+    by one task, so that a chain of nodes that wait for one another does not ask for a round each.
     """
-    ranked = nodes.select(F.col("id").cast("long").alias("id"), "tier", F.struct("tier", (-F.col("score")).alias("score"), (-F.col("evidence")).alias("evidence"), F.col("id").cast("long").alias("id")).alias("rank"))
+    day = F.coalesce(F.col("day").cast("string"), F.lit("")) if "day" in nodes.columns else F.lit("")
+    ranked = nodes.select(F.col("id").cast("long").alias("id"), "tier", F.struct("tier", day.alias("day"), (-F.col("score")).alias("score"), (-F.col("evidence")).alias("evidence"), F.col("id").cast("long").alias("id")).alias("rank"))
     x, y = (ranked.select(F.col("id").alias(e), F.col("tier").alias(f"tier_{e}"), F.col("rank").alias(f"rank_{e}")) for e in "ab")
     both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).join(x, "a").join(y, "b")
     down = F.col("rank_a") < F.col("rank_b")
@@ -138,11 +182,12 @@ def assign_stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     directed = both.where("a <> b").select(ends[0]("rank").alias("rank"), F.when(down, F.col("a")).otherwise(F.col("b")).alias("high"), F.when(down, F.col("b")).otherwise(F.col("a")).alias("low"), ends[1]("tier").alias("tier"))
     all_edges = written(directed.where("tier >= 2").select("rank", "high", "low"), "stars")
     taken, left = all_edges.where("false").select(F.col("low").alias("id")), all_edges.select("high", "low")
-    while not left.isEmpty():
+    while left.count() > FEW_EDGES:
         centres = left.select("high").distinct().join(left.select(F.col("low").alias("high")).distinct(), "high", "left_anti")
         new = written(left.join(centres, "high", "left_semi").select(F.col("low").alias("id")).distinct(), "taken")
         taken = taken.union(new)
         left = written(left.join(new.withColumnRenamed("id", "low"), "low", "left_anti").join(new.withColumnRenamed("id", "high"), "high", "left_anti").select("high", "low"), "open")
+    taken = taken.union(_in_order(left, all_edges))
     led = all_edges.join(taken.withColumnRenamed("id", "high"), "high", "left_anti")
     return led.groupBy(F.col("low").alias("id")).agg(F.min("rank").alias("rank")).select("id", F.col("rank.id").alias("duplicate_of"))
 
