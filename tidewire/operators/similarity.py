@@ -225,6 +225,30 @@ def key_pairs(cards: DataFrame, keys: str) -> DataFrame:
     return a.join(b, "_key").where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
+def key_links(cards: DataFrame, keys: str) -> DataFrame:
+    """(key, id, links): members of each key that several cards share, and how many of a member's pairs there are to be judged.
+
+    A pair is judged where one of both is new, or fresh and not reviewed. Counts per key tell all pairs without listing them.
+    """
+    open_ = F.col("is_new") | (F.col("fresh") & ~F.col("reviewed"))
+    held = cards.select("id", open_.alias("_open"), F.explode(keys).alias("key")).distinct()
+    counts = held.groupBy("key").agg(F.count("*").alias("_n"), F.count_if("_open").alias("_opens")).where("_n > 1")
+    links = F.when(F.col("_open"), F.col("_n") - 1).otherwise(F.col("_opens"))
+    return held.join(counts, "key").select("key", "id", links.alias("links")).where("links > 0")
+
+
+def heaviest_pairs(cards: DataFrame, keys: str, *, most: int) -> DataFrame:
+    """(id_a, id_b) of the pairs that share a key with the greatest sums of scores (ties: smallest ids).
+
+    A pair with a card beyond the ``most + 2`` best of its key has ``most`` pairs before it, so only these are paired.
+    """
+    held = cards.select("id", "score", F.explode(keys).alias("_key")).distinct()
+    best = held.withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("score"), "id"))).where(F.col("_place") <= most + 2)
+    a, b = (best.select("_key", F.col("id").alias(f"id_{x}"), F.col("score").alias(f"_s{x}")) for x in "ab")
+    pairs = a.join(b, "_key").where("id_a < id_b").select("id_a", "id_b", (F.col("_sa") + F.col("_sb")).alias("_weight")).distinct()
+    return pairs.orderBy(F.desc("_weight"), "id_a", "id_b").limit(most).select("id_a", "id_b")
+
+
 def eligible_pairs(cards: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs in which something is to be decided: a new card, or a fresh one that no one has reviewed."""
     open_ = F.col("is_new") | (F.col("fresh") & ~F.col("reviewed"))

@@ -111,7 +111,7 @@ def soft_deletes(room: Newsroom) -> DataFrame:
     return merge.soft_deleted(rows, rows.where("id % 5 = 0"), room.table("article_scores").select(F.col("article_id").alias("id")))
 
 
-@query("SELECT id FROM articles WHERE id NOT IN (SELECT article_id FROM feedback_entries WHERE usefulness <= 2)")
+@query("SELECT a.id FROM articles a LEFT JOIN (SELECT DISTINCT conv_id + 1 AS article_id FROM conversations WHERE turn % 3 <> 0 AND (conv_id + turn) % 5 + 1 <= 2) f ON f.article_id = a.id WHERE f.article_id IS NULL")
 def purged_articles(room: Newsroom) -> DataFrame:
     """Articles after a purge by a list that another table gives (2.1.36)."""
     return merge.delete(room.table("articles").select("id"), room.table("feedback_entries").where("usefulness <= 2").select(F.col("article_id").alias("id")), ["id"])

@@ -113,10 +113,10 @@ def page_keys(room: Newsroom) -> DataFrame:
 
 @query(f"""
     SELECT s.id, substr(sha256(CASE WHEN COUNT(DISTINCT {_KEY.format('e.source_url')}) = 1 THEN concat('url:', MIN({_KEY.format('e.source_url')})) ELSE concat('fact:', array_to_string(list_slice(list_filter(regexp_extract_all(lower(s.title), '[a-zа-яё0-9]{{3,}}'), lambda w: w NOT IN ('the', 'and', 'for', 'with', 'from')), 1, 10), '-')) END), 1, 24) AS signal_key
-    FROM signals s JOIN signal_evidence e ON e.signal_id = s.id WHERE e.id % 7 = 0 GROUP BY s.id, s.title""")
+    FROM signals s JOIN signal_evidence e ON e.signal_id = s.id GROUP BY s.id, s.title""")
 def signal_keys(room: Newsroom) -> DataFrame:
     """Keys of signals by their only address or their fact (SIM-13)."""
-    urls = room.table("signal_evidence").where("id % 7 = 0").groupBy(F.col("signal_id").alias("id")).agg(F.collect_set("source_url").alias("urls"))
+    urls = room.table("signal_evidence").groupBy(F.col("signal_id").alias("id")).agg(F.collect_set("source_url").alias("urls"))
     return room.table("signals").join(urls, "id").select("id", rules.signal_key(F.col("title"), F.col("urls"), fn.fact_fingerprint(F.col("title"))).alias("signal_key"))
 
 
@@ -225,23 +225,20 @@ def company_keys(room: Newsroom) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT id, id % 3 = 0 AS is_new, id % 4 = 1 AS fresh, id % 5 = 0 AS reviewed, lower(theme) AS k FROM signals WHERE id % 2 = 0)
-    SELECT a.id AS id_a, b.id AS id_b FROM c a JOIN c b ON a.k = b.k AND a.id < b.id WHERE a.is_new OR b.is_new OR (a.fresh AND NOT a.reviewed) OR (b.fresh AND NOT b.reviewed)""")
+    WITH c AS (SELECT id, id % 3 = 0 AS is_new, id % 4 = 1 AS fresh, id % 5 = 0 AS reviewed, lower(theme) AS k FROM signals)
+    SELECT a.k AS company, a.id, count(*) AS links FROM c a JOIN c b ON a.k = b.k AND a.id <> b.id WHERE a.is_new OR b.is_new OR (a.fresh AND NOT a.reviewed) OR (b.fresh AND NOT b.reviewed) GROUP BY a.k, a.id""")
 def company_pairs(room: Newsroom) -> DataFrame:
-    """Cards that share a company, where the pair is to be judged (SIM-5, SIM-6)."""
-    cards = room.table("signals").where("id % 2 = 0").select("id", (F.col("id") % 3 == 0).alias("is_new"), (F.col("id") % 4 == 1).alias("fresh"), (F.col("id") % 5 == 0).alias("reviewed"), F.array(F.lower("theme")).alias("keys"))
-    return similarity.eligible_pairs(cards, similarity.key_pairs(cards, "keys"))
+    """Members of each company that several cards name, with the number of pairs to be judged that each is in (SIM-5, SIM-6)."""
+    cards = room.table("signals").select("id", (F.col("id") % 3 == 0).alias("is_new"), (F.col("id") % 4 == 1).alias("fresh"), (F.col("id") % 5 == 0).alias("reviewed"), F.array(F.lower("theme")).alias("keys"))
+    return similarity.key_links(cards, "keys").withColumnRenamed("key", "company")
 
 
 @query("""
     WITH p AS (SELECT a.id AS id_a, b.id AS id_b, a.score + b.score AS weight FROM signals a JOIN signals b ON a.theme = b.theme AND a.id < b.id)
     SELECT id_a, id_b FROM p ORDER BY weight DESC, id_a, id_b LIMIT 400""")
 def judged_pairs(room: Newsroom) -> DataFrame:
-    """The pairs that are judged first, up to the limit of one run (SIM-8)."""
-    cards = room.table("signals").select("id", "score", F.array("theme").alias("keys"))
-    scores = cards.select("id", "score")
-    pairs = similarity.key_pairs(cards, "keys").join(scores.toDF("id_a", "sa"), "id_a").join(scores.toDF("id_b", "sb"), "id_b")
-    return pairs.orderBy(F.desc(F.col("sa") + F.col("sb")), "id_a", "id_b").limit(400).select("id_a", "id_b")
+    """The pairs that are judged first, up to the limit of one run, by the scores of both (a limit as in SIM-8; its order by overlap is not here)."""
+    return similarity.heaviest_pairs(room.table("signals").select("id", "score", F.array("theme").alias("keys")), "keys", most=400)
 
 
 @query("""
