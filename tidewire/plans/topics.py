@@ -55,7 +55,7 @@ def glossary_terms(room: Newsroom) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS k FROM hits),
     l AS (SELECT id, list(term ORDER BY n) FILTER (k <= 12 AND n % 2 = 1) AS terms FROM r GROUP BY id)
     SELECT a.id, replace(replace(list_reduce(list_concat([regexp_replace(t, '([^A-Za-z0-9А-Яа-я])', chr(2) || '\\1' || chr(3), 'g')], COALESCE(list_transform(terms, lambda w: replace(w, ' ', chr(2) || ' ' || chr(3))), [])),
-        lambda x, term: regexp_replace(x, '(^|' || chr(3) || ')' || term || '($|' || chr(2) || ')', '\\1' || upper(term) || '\\2', 'g')), chr(2), ''), chr(3), '') AS enforced
+        lambda x, term: regexp_replace(x, '(?i)(^|' || chr(3) || ')' || term || '($|' || chr(2) || ')', '\\1' || upper(term) || '\\2', 'g')), chr(2), ''), chr(3), '') AS enforced
     FROM a LEFT JOIN l ON l.id = a.id""")
 def glossary_enforced(room: Newsroom) -> DataFrame:
     """Titles with the preferred forms of a large glossary's terms (FN-35)."""
