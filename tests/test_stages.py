@@ -94,3 +94,20 @@ def test_empty_table_and_bad_settings(spark):
 def test_no_shuffle(spark):
     done = stages.through(spark.range(1).selectExpr("id", *[f"CAST(NULL AS {t}) AS {n}" for n, t in (c.split() for c in STATE.split(", ")[1:])]), made(spark))
     assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_jobs_that_name_one_article_ask_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def client(row):
+        asked.add(1)
+        return {"relevant": "rig" in row["t"], "reason": "because"}
+
+    only = [stages.Stage("relevance", F.col("relevant").isNull(), stages.by_model(lambda: client, {"t": F.col("raw_text")}, "relevant boolean, reason string"), {"relevant": lambda r: r["relevant"]})]
+    articles = spark.createDataFrame([(i, "rig" if i % 2 else "x", True, 3) for i in range(4)], "id long, raw_text string, relevant boolean, tag_id long")
+    now = F.lit("2020-01-01").cast("timestamp")
+    jobs = spark.range(60).select(F.col("id").alias("job_id"), F.expr("array(id % 3, id % 3, id % 2, 99L)").alias("article_ids"), F.when(F.col("id") < 50, "running").otherwise("ok").alias("status"), F.lit("t").alias("lease_token"), F.when(F.col("id") % 7 == 0, "u").otherwise("t").alias("held_token"), now.alias("lease_expires_at"))
+    got = stages.job_results(jobs, articles, only, now).collect()
+    want = {(j, i, i % 2 == 1) for j in range(50) if j % 7 for i in (j % 3, j % 2)}
+    assert {(r["job_id"], r["id"], r["relevant"]) for r in got} == want and len(got) == len(want)
+    assert all(r["tag_id"] is None and len(r["runs"]) == 1 for r in got) and asked.value == 3

@@ -166,10 +166,12 @@ def job_results(jobs: DataFrame, articles: DataFrame, stages: list[Stage], now:
 
     ``jobs`` has job_id, article_ids, status, lease_token, held_token (of who works) and
     lease_expires_at; ``articles`` has id and what the stages read. Jobs whose lease is
-    lost are not worked on; ids without an article give nothing.
+    lost are not worked on; ids without an article give nothing. As no earlier result
+    counts, an article that several jobs name goes through the stages once.
     """
     holds = (F.col("status") == "running") & (F.col("lease_token") == F.col("held_token")) & (F.col("lease_expires_at") >= now)
     asked = jobs.where(holds).select("job_id", F.explode(F.array_distinct("article_ids")).alias("id"))
     empty = {"relevant": "boolean", "relevance_reason": "string", "summary": "string", "title_ru": "string", "tag_id": "long", "total_score": "double"}
-    fresh = asked.join(articles.drop(*empty), "id").withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
-    return process(fresh, stages, keep=["job_id", "id", *empty])
+    named = articles.drop(*empty).join(asked.select("id").distinct(), "id", "left_semi")
+    fresh = named.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
+    return asked.join(process(fresh, stages, keep=["id", *empty]), "id")
