@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(_text(c), r"[\s\x{A0}]+", " "))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row; repeated in branches and lambdas, a Column is computed each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def url_key(url: Column) -> Column:
     """Host and path in lower case, without scheme, www., query, fragment and closing slashes; null for blank."""
     low = F.lower(F.trim(_text(url)))
@@ -60,18 +67,20 @@ def is_truncated(text: Column, min_chars: int = 280) -> Column:
 
 def significant_words(text: Column) -> Column:
     """Words of over three characters that are not common, cut to five."""
-    words = F.regexp_extract_all(F.lower(_text(text)), F.lit("[а-яёa-z0-9]+"), F.lit(0))
-    common = F.array(*[F.lit(w) for w in COMMON_WORDS])
-    return F.transform(F.filter(words, lambda w: (F.length(w) > 3) & ~F.array_contains(common, w)), lambda w: F.substring(w, 1, 5))
+    words = F.regexp_extract_all(F.lower(_text(text)), F.lit("[а-яёa-z0-9]{4,}"), F.lit(0))
+    return F.transform(F.filter(words, lambda w: ~w.isin(COMMON_WORDS)), lambda w: F.substring(w, 1, 5))
 
 
 def title_matches_body(title: Column, body: Column, ratio: float = 0.2, least_words: int = 4) -> Column:
     """Whether the body shares enough words with the best segment of the title; true where that cannot be judged."""
-    own = F.array_distinct(significant_words(body))
     segments = F.transform(F.split(_text(title), r"\s+[—–|·]\s+|\s+-\s+"), lambda s: F.array_distinct(significant_words(s)))
     judged = F.filter(segments, lambda s: F.size(s) >= least_words)
-    best = F.array_max(F.transform(judged, lambda s: F.size(F.array_intersect(s, own)) / F.size(s)))
-    return (F.size(own) == 0) | (F.size(judged) == 0) | (F.coalesce(best, F.lit(0.0)) >= ratio)
+
+    def matches(own: Column) -> Column:
+        best = F.array_max(F.transform(judged, lambda s: F.size(F.array_intersect(s, own)) / F.size(s)))
+        return (F.size(own) == 0) | F.coalesce(best >= ratio, F.lit(True))  # null: no segment is judged
+
+    return once(F.array_distinct(significant_words(body)), matches)
 
 
 def strip_emoji(text: Column) -> Column:
@@ -116,10 +125,17 @@ def clean_html(text: Column) -> Column:
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
     """Keywords in a text: those of ASCII letters and digits as whole words, others anywhere; ё counts as е in the text."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.translate(F.lower(_text(text)), "ё", "е"), "[^a-z0-9а-я&/-]+", " "), F.lit(" "))
-    plain = F.translate(F.lower(_text(text)), "ё", "е")
-    tests = [F.when((padded if k.isascii() and k.replace(" ", "").isalnum() else plain).contains(f" {k} " if k.isascii() and k.replace(" ", "").isalnum() else k), F.lit(k)) for k in keywords]
-    return F.array_compact(F.array(*tests))
+    inside = "a-z0-9а-я&/-"
+
+    def found(plain: Column, k: str) -> Column:
+        words = k.split(" ")
+        if not (k.isascii() and k.replace(" ", "").isalnum()):
+            return plain.contains(k)
+        if "" in words:  # two blanks stand together only at the ends
+            return F.concat(F.lit(" "), F.regexp_replace(plain, f"[^{inside}]+", " "), F.lit(" ")).contains(f" {k} ")
+        return plain.contains(words[0]) & plain.rlike(f"(?<![{inside}])" + f"[^{inside}]+".join(words) + f"(?![{inside}])")
+
+    return once(F.replace(F.lower(_text(text)), F.lit("ё"), F.lit("е")), lambda plain: F.array_compact(F.array(*[F.when(found(plain, k), F.lit(k)) for k in keywords])))
 
 
 def should_keep(title: Column, summary: Column, positive: list[str], noise: list[str]) -> Column:
@@ -132,8 +148,7 @@ def keyword_score(text: Column, keywords: list[str]) -> Column:
     """Share of matched keywords, from 0 to 100."""
     if not keywords:
         return F.lit(0.0)
-    low = F.lower(_text(text))
-    hits = sum((low.contains(k.lower()).cast("int") for k in keywords), F.lit(0))
+    hits = once(F.lower(_text(text)), lambda low: sum((low.contains(k.lower()).cast("int") for k in keywords), F.lit(0)))
     return F.round(F.least(F.lit(100.0), hits / max(3.0, len(keywords) ** 0.5) * 100), 2)
 
 
