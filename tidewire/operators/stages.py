@@ -117,8 +117,13 @@ def total_score(searched: Column, criteria: list[tuple[int, float, list[str]]],
     """The weighted total over criteria ``(id, weight, keywords)``; ``model_scores`` maps ids to the model's scores, those that it gave."""
     if round(sum(w for _, w, _ in criteria), 2) != 100:
         raise ValueError("the weights of the criteria have to add up to 100")
-    parts = [rules.final_score(text.keyword_score(searched, words), F.try_element_at(model_scores, F.lit(i))) * w / 100 for i, w, words in criteria]
-    return rules.decimal_round(rules.clamp(sum(parts[1:], parts[0])), 2)
+    part = lambda t, i, words: text.once(text.keyword_score(t, words), lambda k: rules.final_score(k, F.try_element_at(model_scores, F.lit(i))))
+
+    def total(t: Column) -> Column:
+        parts = [part(t, i, words) * w / 100 for i, w, words in criteria]
+        return sum(parts[1:], parts[0])
+
+    return text.once(text.once(searched, total), lambda s: rules.decimal_round(rules.clamp(s), 2))
 
 
 def article_stages(replies: dict[str, Reply], *, tags: list[tuple[int, list[str]]], stop_words: list[tuple[str, list[str]]], criteria: list[tuple[int, float, list[str]]], fallback_tag: int) -> list[Stage]:
