@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +112,33 @@ def numbered(rows: DataFrame, key: str, *, first: int = 1) -> DataFrame:
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     return inside.join(F.broadcast(before), "_part").select(key, (F.col("_before") + F.col("_at") + (first - 1)).alias("number"))
+
+
+def quantiles(rows: DataFrame, key: str, value: str, at: dict[str, float]) -> DataFrame:
+    """(key, names of ``at``): exact interpolated quantiles by key; null where a key has no value.
+
+    Values are counted, dealt by range and written; sums of the ranges tell which of them hold a rank that is asked for, and
+    only these are gone through in order. No task holds a key's values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    dealt = written(counts.repartitionByRange(key, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    by_key = Window.partitionBy(key)
+    parts = dealt.groupBy(key, "_part").agg(F.sum("_n").alias("_held"))
+    parts = parts.select(key, "_part", (F.sum("_held").over(by_key.orderBy("_part")) - F.col("_held")).alias("_before"), "_held", F.sum("_held").over(by_key).alias("_all"))
+    place = {name: F.lit(p) * (F.col("_all") - 1) for name, p in at.items()}
+    ends = {name: (F.floor(x), F.ceil(x)) for name, x in place.items()}
+    here = lambda rank, start, n: (rank >= start) & (rank < start + n)
+    asked = parts.where(reduce(or_, [here(rank, F.col("_before"), F.col("_held")) for both in ends.values() for rank in both]))
+    asked = asked.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), "_before", "_all")
+    inner = dealt.join(asked, (dealt["_part"] == asked["_at"]) & dealt[key].eqNullSafe(asked["_key"]))
+    start = F.col("_before") + F.sum("_n").over(Window.partitionBy(key, "_part").orderBy(value)) - F.col("_n")
+    placed = inner.withColumn("_start", start)
+    found = placed.groupBy(key).agg(F.max("_all").alias("_all"), *[F.max(F.when(here(rank, F.col("_start"), F.col("_n")), F.col(value))).alias(f"{name}_{i}") for name, both in ends.items() for i, rank in enumerate(both)])
+
+    def between(name: str) -> Column:
+        low, high, x = F.col(f"{name}_0"), F.col(f"{name}_1"), place[name]
+        return F.when(low == high, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high).alias(name)
+
+    out = found.select(F.col(key).alias("_key"), *[between(name) for name in at])
+    keys = rows.select(key).distinct()
+    return keys.join(out, keys[key].eqNullSafe(out["_key"]), "left").select(key, *at)

@@ -306,8 +306,11 @@ def jobs_kept(room: Newsroom) -> DataFrame:
 @query("SELECT stage, round(quantile_cont(cost_usd, 0.5), 8) AS p50, round(quantile_cont(cost_usd, 0.95), 8) AS p95, MAX(cost_usd) AS most FROM ai_runs GROUP BY stage")
 def cost_percentiles(room: Newsroom) -> DataFrame:
     """Interpolated percentiles by stage (AGG-28)."""
-    at = lambda p: F.round(F.percentile("cost_usd", F.lit(p)), 8)
-    return room.table("ai_runs").groupBy("stage").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("cost_usd").alias("most"))
+    runs = room.table("ai_runs").select("stage", "cost_usd")
+    most = runs.groupBy("stage").agg(F.max("cost_usd").alias("most"))
+    found = selection.quantiles(runs, "stage", "cost_usd", {"p50": 0.5, "p95": 0.95}).withColumnRenamed("stage", "_stage")
+    joined = most.join(found, F.col("stage").eqNullSafe(F.col("_stage")))
+    return joined.select("stage", F.round("p50", 8).alias("p50"), F.round("p95", 8).alias("p95"), "most")
 
 
 @query("SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE contains(lower(raw_text), 'tion') OR contains(lower(raw_text), 'anal')) AS analytics, COUNT(*) FILTER (WHERE contains(lower(raw_text), 'mark')) AS business FROM articles")
