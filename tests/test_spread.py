@@ -34,3 +34,15 @@ def test_percentiles_hold_no_group_in_one_buffer(spark):
 def test_jobs_meet_named_rows_only(spark):
     plan = registry.queries()["hydrated_jobs"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_company_rows_tell_every_judged_pair(spark):
+    """Members of a company with their numbers of links hold the same pairs as the join that lists them."""
+    found = {}
+    for r in registry.queries()["company_pairs"](spark, FOLDER).collect():
+        found.setdefault(r["company"], {})[r["id"]] = r["links"]
+    told = {(a, b) for links in found.values() for a in links for b in links if a < b and len(links) - 1 in (links[a], links[b])}
+    cards = [(r["p_partkey"], r["p_brand"].lower()) for r in spark.read.parquet(f"{FOLDER}/part.parquet").collect()]
+    open_ = lambda i: i % 3 == 0 or (i % 4 == 1 and i % 5 != 0)
+    want = {(a, b) for a, x in cards for b, y in cards if a < b and x == y and (open_(a) or open_(b))}
+    assert told == want and want
