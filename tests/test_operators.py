@@ -214,8 +214,23 @@ def test_similar_pairs_match_all_pairs(spark, monkeypatch, threshold, spread):
 def test_jaccard_pairs_reads_all_articles(spark):
     room = Newsroom(spark, "/root/testdata/sf0.001")
     stems = {r.id: stem_set(r.title) for r in room.table("articles").select("id", "title").collect()}
-    want = {(i, j) for i in stems for j in stems if i < j and stems[i] and stems[j] and len(stems[i] & stems[j]) / len(stems[i] | stems[j]) >= 0.25}
-    assert {(r.id_a, r.id_b) for r in derived.jaccard_pairs(spark, room.folder).collect()} == want
+    like = lambda i, j: len(stems[i] & stems[j]) / len(stems[i] | stems[j]) >= 0.25
+    want = {(i, min((j for j in stems if s and stems[j] == s), default=i), sum(j != i and bool(s and stems[j]) and like(i, j) for j in stems)) for i, s in stems.items()}
+    assert {(r.id, r.of, r.links) for r in derived.jaccard_pairs(spark, room.folder).collect()} == want
+
+
+@pytest.mark.parametrize("threshold", [0.25, 0.5, 1.0])
+def test_links_are_counted_and_not_listed(spark, monkeypatch, threshold):
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    monkeypatch.setattr(similarity, "CELLS", 64)
+    rows = list(enumerate(made_titles(), 1))
+    members, classes = similarity.similar_counts(similarity.title_sets(spark.createDataFrame(rows, "id long, title string")), threshold=threshold)
+    stems = {i: frozenset(stem_set(t)) for i, t in rows if stem_set(t)}
+    of = {s: min(i for i in stems if stems[i] == s) for s in stems.values()}
+    like = {s: [(o, len(s & o) / len(s | o)) for o in of if o != s and len(s & o) / len(s | o) >= threshold] for s in of}
+    copies = {s: sum(o == s for o in stems.values()) for s in of}
+    assert {(r.id, r.of) for r in members.collect()} == {(i, of[s]) for i, s in stems.items()}
+    assert {(r.of, r.copies, r.links, r.linked, r.best) for r in classes.collect()} == {(of[s], copies[s], len(x), sum(copies[o] for o, _ in x), max((v for _, v in x), default=None)) for s, x in like.items()}
 
 
 def test_pages_and_feeds(spark):
