@@ -181,6 +181,21 @@ def test_stars_match_greedy(spark, seed):
     assert got == greedy_stars(nodes, edges) and got[203] == 200 and got[103] == 102
 
 
+@pytest.mark.parametrize("threshold", [0.25, 0.6])
+@pytest.mark.parametrize("heads,block,few", [(4096, 8192, 200_000), (5, 16, 200_000), (3, 16, 0)])
+def test_similar_stars_list_no_pairs(spark, monkeypatch, threshold, heads, block, few):
+    monkeypatch.setattr(similarity, "similar_pairs", lambda *_, **__: pytest.fail("pairs are listed"))
+    for name, value in (("HEADS", heads), ("BLOCK", block), ("CELLS", 64), ("FEW_EDGES", few)):
+        monkeypatch.setattr(similarity, name, value)
+    r = random.Random(heads)
+    rows = [(i, t, r.randrange(5), float(r.randrange(3)), r.randrange(2)) for i, t in enumerate(made_titles(), 1)]
+    stems = {i: stem_set(t) for i, t, *_ in rows}
+    edges = [(i, j) for i in stems for j in stems if i < j and stems[i] and stems[j] and len(stems[i] & stems[j]) / len(stems[i] | stems[j]) >= threshold]
+    frame = spark.createDataFrame(rows, "id long, title string, tier int, score double, evidence int")
+    found = similarity.similar_stars(frame.join(similarity.title_sets(frame), "id"), threshold=threshold)
+    assert {x.id: x.duplicate_of for x in found.collect()} == greedy_stars([(i, *n) for i, _, *n in rows], edges)
+
+
 def test_star_assignment_takes_all_articles(spark):
     room = Newsroom(spark, "/root/testdata/sf0.001")
     nodes = [(r.id, r.id % 3 + 1, float(r.id % 100), 1) for r in room.table("articles").select("id").collect()]
