@@ -24,14 +24,8 @@ def batch_duplicates(cards: DataFrame, *, threshold: float = 0.6) -> DataFrame:
     the strongest such. Cards of equal tokens are one class with its strongest as leader, so a title that is repeated a
     million times adds a row for each copy and no pairs. A card without tokens is like none.
     """
-    known = cards.where(F.size("tokens") > 0).withColumn("score", F.coalesce("score", F.lit(0.0)))
-    members, links = similarity.similar_classes(known.select("id", F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t))).alias("stems"), F.struct((-F.col("score")).alias("s"), "id").alias("order")), threshold=threshold)
-    leaders = members.groupBy("of").agg(F.min("order").alias("lead"))
-    ids = leaders.select("of", F.col("lead.id").alias("leader"), F.lit(2).alias("tier"), (-F.col("lead.s")).alias("score"), F.lit(0).alias("evidence"))
-    near = links.join(ids.select(F.col("of").alias("of_a"), F.col("leader").alias("a")), "of_a").join(ids.select(F.col("of").alias("of_b"), F.col("leader").alias("b")), "of_b")
-    assigned = similarity.assign_stars(ids.select(F.col("leader").alias("id"), "tier", "score", "evidence"), near.select("a", "b"))
-    led = ids.select("of", "leader").join(assigned.withColumnRenamed("id", "leader"), "leader", "left").select("of", "leader", F.coalesce("duplicate_of", "leader").alias("duplicate_of"))
-    return members.join(led, "of").where("id <> duplicate_of").select("id", "duplicate_of")
+    nodes = cards.select("id", F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t))).alias("stems"), F.lit(2).alias("tier"), F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(0).alias("evidence"))
+    return similarity.similar_stars(nodes, threshold=threshold)
 
 
 def followed(candidates: DataFrame) -> DataFrame:
