@@ -3,6 +3,9 @@
 import datetime
 import random
 
+import pandas as pd
+import pytest
+
 from tidewire.plans import streams
 from tidewire.streaming import state
 
@@ -77,3 +80,30 @@ def test_leases_run_out_and_belong_to_their_holder(spark):
     assert {j: (r.status, r.attempts, r.renewed, r.refused) for j, r in last.items()} == {
         1: ("ok", 2, 2, 2), 2: ("failed", 2, 0, 0), 3: ("running", 1, 0, 0), 4: ("queued", 0, 0, 1), 5: ("running", 1, 0, 0),
     }
+
+
+class Kept:
+    """A value, timers or a map of state that counts what is asked of it."""
+
+    def __init__(self, value=None):
+        self.value, self.asked = value, []
+
+    def __getattr__(self, name):
+        def ask(*given):
+            self.asked.append(name)
+            if name == "update":
+                self.value = given[0]
+            return {"get": self.value, "containsKey": False}.get(name)
+
+        return ask
+
+
+@pytest.mark.parametrize("before,looked_up", [(None, 0), (("h", "u0", None), 2)])
+def test_a_channel_seen_first_looks_up_nothing(before, looked_up):
+    channel = state._Channel(0)
+    channel.last, channel.known = Kept(before), Kept()
+    posts = [{"url": f"u{i}", "title": "t", "text": "x", "published_at": None} for i in (2, 1)]
+    fetches = pd.DataFrame({"fetched_at": pd.to_datetime([START, START + datetime.timedelta(hours=1)]), "posts": [posts, posts], "listing_hash": ["g", "g"]})
+    out = next(channel.handleInputRows((1,), iter([fetches]), None))
+    assert [len(a) for a in out["added"]] == [2, 0] and out["skipped_known"].tolist() == [0, 2]
+    assert channel.known.asked == ["containsKey"] * looked_up + ["updateValue"] * 2 and channel.last.asked == ["get", "update"]
