@@ -98,6 +98,18 @@ class Kept:
         return ask
 
 
+def test_a_job_asks_its_state_only_what_it_needs():
+    lease, moments = state._Lease(60_000, 3), pd.to_datetime([START + datetime.timedelta(seconds=s) for s in (9, 1, 5)])
+    lease.handle, lease.job = Kept(), Kept()
+    rows = pd.DataFrame({"at": moments, "event_id": [3, 1, 2], "kind": ["beat", "claim", "beat"], "token": ["b", "a", "a"]})
+    row = next(lease.handleInputRows((1,), iter([rows[:2], rows[2:]]), None))
+    assert row[["status", "attempts", "renewed", "refused"]].values.tolist() == [["running", 1, 1, 1]]
+    assert (lease.job.asked, lease.handle.asked) == (["get", "update"], ["registerTimer"])
+    late = pd.DataFrame({"at": moments[:1], "event_id": [4], "kind": ["claim"], "token": ["c"]})
+    next(lease.handleInputRows((1,), iter([late]), None))
+    assert lease.handle.asked == ["registerTimer"]  # its lease ends when it did
+
+
 @pytest.mark.parametrize("before,looked_up", [(None, 0), (("h", "u0", None), 2)])
 def test_a_channel_seen_first_looks_up_nothing(before, looked_up):
     channel = state._Channel(0)
