@@ -83,6 +83,17 @@ def test_top_k_odd(spark, block):
     assert topk.top_k(frame.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_copies_no_queries(spark):
+    """Query blocks are read by every lane: neither copied to each lane nor broadcast, as both grow with queries times lanes."""
+    frame = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.col("id") % 7 - 3.0, F.col("id") % 11 / 4.0).alias("embedding"))
+    found = topk.top_k(frame, F.col("vec_id") % 50 == 0, block=16, query_block=2)
+    rows = [(q, i, int(np.dot(*(np.floor([256 * (x % 7 - 3.0), 64 * (x % 11)]) for x in (q, i))))) for q in range(0, 300, 50) for i in range(300) if i != q]
+    want = [x for q in range(0, 300, 50) for x in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))[:5]]
+    assert sorted((r.query_id, r.vec_id, r.score) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan and "Broadcast" not in plan
+
+
 def contamination(texts, items, window):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(lower))

@@ -3,8 +3,9 @@
 Candidates are packed into blocks, which are dealt to lanes. A block has for each vector
 the number of its quantisation cell in every dimension (the approximation, one byte)
 beside the exact components. For a block of queries the cells are scanned for bounds
-of the score; then exact vectors are read in the order of their bounds until the
-kth result is certain. Queries are a stated set; blocks of them go to every lane.
+of the score; the exact scores of the vectors with the highest bounds give a score that
+the kth result reaches, and exact vectors are read where the bound reaches it too. Queries are a stated set; every lane reads their blocks, a
+bounded number of them in a task.
 
 Defined results: rows with a null id, a null vector, or null or non-finite
 components take no part; vectors are compared with those of their own length;
@@ -19,32 +20,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.shared import mapped
+from tidewire.llm.shared import mapped, written
 
 BLOCK = 4096
 QUERY_BLOCK = 1024
+#: queries that a task compares with its candidates
+QUERIES = 16 * QUERY_BLOCK
 CELLS = 16
 _EXACT = float(1 << 53)
+_NONE = np.iinfo(np.int64).min
 
 
-def _pack(block: int, lanes: int):
-    """Packs vectors of each length into blocks of at most ``block`` rows; a task holds one block a length, and deals them to lanes in turn."""
+def _pack(block: int):
+    """Packs vectors of each length into blocks of at most ``block`` rows, components as narrow as they fit (``wide`` bytes); a task holds one block a length."""
 
-    def emit(lane: int, length: int, ids: np.ndarray, exact: np.ndarray) -> pa.RecordBatch:
+    def emit(length: int, ids: np.ndarray, exact: np.ndarray) -> pa.RecordBatch:
         low, high = exact.min(0, initial=0), exact.max(0, initial=0)
         step = np.maximum(1, -((low - high - 1) // CELLS))
         cells = ((exact - low) // step).astype(np.uint8)
-        columns = [[lane], [length], [ids.tobytes()], [exact.tobytes()], [cells.tobytes()], [low.tobytes()], [step.tobytes()]]
+        kind = np.dtype(np.int16 if -(1 << 15) <= low.min() and high.max() < 1 << 15 else np.int64)
+        columns = [[length], [kind.itemsize], [ids.tobytes()], [exact.astype(kind).tobytes()], [cells.tobytes()], [low.tobytes()], [step.tobytes()]]
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lane", "length", "ids", "exact", "cells", "low", "step"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["length", "wide", "ids", "exact", "cells", "low", "step"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        lane = TaskContext.get().partitionId()
         for batch in batches:
             vectors = batch.column("vector")
             sizes = vectors.value_lengths().to_numpy()
@@ -56,13 +59,12 @@ def _pack(block: int, lanes: int):
                 if length in held:
                     ids, exact = np.concatenate([held[length][0], ids]), np.concatenate([held[length][1], exact])
                 while len(ids) >= block:
-                    yield emit(lane % lanes, length, ids[:block], exact[:block])
-                    ids, exact, lane = ids[block:], exact[block:], lane + 1
+                    yield emit(length, ids[:block], exact[:block])
+                    ids, exact = ids[block:], exact[block:]
                 held[length] = ids, exact
         for length, (ids, exact) in held.items():
             if len(ids):
-                yield emit(lane % lanes, length, ids, exact)
-                lane += 1
+                yield emit(length, ids, exact)
 
     return run
 
@@ -77,27 +79,22 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def search_block(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, exact: np.ndarray, cells: np.ndarray, low: np.ndarray, step: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, candidate id, score) of the k best candidates of one block for each query."""
     floor = low + cells.astype(np.int64) * step
-    ceil = floor + step - 1
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    upper = _product(up, ceil) + _product(down, floor)
-    out_q, out_c, out_s = [], [], []
-    for q in range(len(queries)):
-        order = np.argsort(-upper[q], kind="stable")
-        best_s, best_c, at, size = np.empty(0, np.int64), np.empty(0, np.int64), 0, max(4 * k, 32)
-        while at < len(order):
-            part = order[at : at + size]
-            if len(best_s) >= k and upper[q, part[0]] < best_s[k - 1]:
-                break  # no bound that is left reaches the kth score
-            part = part[ids[part] != query_ids[q]]
-            best_s = np.concatenate([best_s, _product(queries[q : q + 1], exact[part])[0]])
-            best_c = np.concatenate([best_c, ids[part]])
-            keep = np.lexsort((best_c, -best_s))[:k]
-            best_s, best_c = best_s[keep], best_c[keep]
-            at, size = at + size, size * 2
-        out_q.append(np.full(len(best_s), q))
-        out_c.append(best_c)
-        out_s.append(best_s)
-    return (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_q, out_c, out_s))
+    upper = _product(np.maximum(queries, 0), floor + step - 1) + _product(np.minimum(queries, 0), floor)
+    own = query_ids[:, None] == ids
+    upper[own] = _NONE
+    few = min(len(ids), max(4 * k, 32))
+    first = np.argpartition(upper, len(ids) - few, axis=1)[:, len(ids) - few :]
+    sure = np.stack([exact[c] @ v for v, c in zip(queries, first, strict=True)]) if len(queries) else np.empty((0, few), np.int64)
+    sure[np.take_along_axis(own, first, 1)] = _NONE
+    least = np.sort(sure, axis=1)[:, max(0, few - k)]  # no more than the kth score
+    reach = (upper >= least[:, None]) & ~own
+    read = np.flatnonzero(reach.any(0))
+    scores, reach, names = _product(queries, exact[read]), reach[:, read], ids[read]
+    q, c = np.nonzero(reach & (scores >= least[:, None]))
+    s, names = scores[q, c], names[c]
+    order = np.lexsort((names, -s, q))
+    kept = order[np.arange(len(q)) - np.searchsorted(q, q) < k]  # q is in order
+    return q[kept], names[kept], s[kept]
 
 
 def _search(k: int):
@@ -106,7 +103,7 @@ def _search(k: int):
             for row in batch.to_pylist():
                 d = row["length"]
                 query_ids, ids, low, step = (np.frombuffer(row[n], np.int64) for n in ("q_ids", "ids", "low", "step"))
-                queries, exact = (np.frombuffer(row[n], np.int64).reshape(-1, d) for n in ("q_exact", "exact"))
+                queries, exact = (np.frombuffer(row[n], f"i{row[w]}").astype(np.int64).reshape(-1, d) for n, w in (("q_exact", "q_wide"), ("exact", "wide")))
                 cells = np.frombuffer(row["cells"], np.uint8).reshape(-1, d)
                 q, c, s = search_block(queries, query_ids, ids, exact, cells, low, step, k)
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(c), pa.array(s)], names=["query_id", "vec_id", "score"])
@@ -114,7 +111,7 @@ def _search(k: int):
     return run
 
 
-_BLOCKS = "lane int, length int, ids binary, exact binary, cells binary, low binary, step binary"
+_BLOCKS = "length int, wide int, ids binary, exact binary, cells binary, low binary, step binary"
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, scale: int = 256, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -128,12 +125,13 @@ def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vecto
         .where(F.col("_tw_v").isNotNull() & (F.size("_tw_v") > 0) & ~bad)
         .select("id", "is_query", F.transform("_tw_v", lambda x: F.floor(x * F.lit(float(scale)))).alias("vector"))
     )
-    packed = mapped(rows.select("id", "vector"), _pack(block, lanes), _BLOCKS)
-    asked = rows.where("is_query").dropDuplicates(["id"]).select("id", "vector")
-    queries = mapped(asked, _pack(query_block, 1), _BLOCKS).select(
-        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "length", F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact")
-    )
-    found = mapped(queries.join(packed, ["lane", "length"]), _search(k), "query_id long, vec_id long, score long")
+    packed = mapped(rows.select("id", "vector"), _pack(block), _BLOCKS).repartition(lanes)
+    asked = written(rows.where("is_query").dropDuplicates(["id"]).select("id", "vector"), "queries")
+    parts = asked.count() // QUERIES + 1
+    blocks = written(mapped(asked.repartition(parts), _pack(query_block), _BLOCKS), "query_blocks")
+    queries = blocks.repartition(parts).select("length", F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"))
+    pairs = packed.join(queries.hint("shuffle_replicate_nl"), "length")  # blocks are read again, not copied or broadcast
+    found = mapped(pairs, _search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
