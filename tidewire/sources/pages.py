@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.markup import Page, plain, read_page
+from tidewire.functions.markup import Page, closed_references, plain, read_page
 from tidewire.functions.rules import find_date, is_future, post_title
 from tidewire.functions.selectors import select
 from tidewire.functions.text import clean_html, clean_query
@@ -147,7 +147,7 @@ def page_nodes(pages: DataFrame, *, key: str, content: str = "html") -> DataFram
 
     def run(frames):
         for frame in frames:
-            for of, page in zip(frame[key], map(read_page, frame[content]), strict=True):
+            for of, page in zip(frame[key], (read_page(c, closed_references) for c in frame[content]), strict=True):
                 depths: list[int] = []
                 own: dict[int, list[str]] = {}
                 for p in page.pieces:
