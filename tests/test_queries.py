@@ -54,7 +54,7 @@ def test_runs(spark, name):
     assert registry.queries()[name](spark, FOLDER).count() >= 0
 
 
-@pytest.mark.parametrize("name", ["page_nodes"])
+@pytest.mark.parametrize("name", ["page_articles", "page_nodes"])
 def test_cut_references_as_in_duckdb(spark, duck, tmp_path, name):
     """A heading that ends within a reference: only ``&amp`` is one without its semicolon."""
     for t in TABLES:

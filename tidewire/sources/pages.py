@@ -101,7 +101,7 @@ def best_text(page: Page, skipped: list[bool], least: int = 120) -> str:
 
 def article_of(content: str | None, least: int = 120) -> dict:
     """Title, text, picture and date texts of the article on a page."""
-    page = read_page(content)
+    page = read_page(content, closed_references)
     skipped = _skipped(page)
     metas: dict[tuple[str, str], str] = {}
     for node, tag in enumerate(page.tags):
@@ -125,7 +125,7 @@ def article_of(content: str | None, least: int = 120) -> dict:
 
 def parse_page(content: str | None) -> dict:
     """Title, main text, picture and links of a page."""
-    found, page = article_of(content), read_page(content)
+    found, page = article_of(content), read_page(content, closed_references)
     links = [{"href": page.attributes(n)["href"].strip(), "text": page.text(n)} for n, t in enumerate(page.tags) if t == "a" and page.attributes(n).get("href")]
     return {"title": found["title"], "body": found["text"], "image": found["image"], "links": links}
 
