@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.operators import similarity, subsets
+from tidewire.plans import derived
 
 
 def made_sets(seed, most, n=400):
@@ -59,3 +60,9 @@ def test_an_element_of_all_sets_is_parted(spark, monkeypatch):
     held = subsets.held_elements(frame, subsets.Rule(16, 0.25))
     assert held.where("k1 IN (-1, -2, -3)").groupBy("k1", "k2").count().count() >= 3
     assert {(r.links, r.best) for r in similarity.class_links(frame).collect()} == {(199, 4 / 6)}
+
+
+def test_jaccard_pairs_compares_no_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_blocks", lambda *_, **__: pytest.fail("classes are compared in blocks"))
+    rows = derived.jaccard_pairs(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len({r.id for r in rows}) and any(r.links > 1 for r in rows)
