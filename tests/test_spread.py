@@ -3,7 +3,7 @@
 import math
 import random
 
-from tidewire.operators import selection
+from tidewire.operators import selection, similarity
 from tidewire.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -46,3 +46,14 @@ def test_company_rows_tell_every_judged_pair(spark):
     open_ = lambda i: i % 3 == 0 or (i % 4 == 1 and i % 5 != 0)
     want = {(a, b) for a, x in cards for b, y in cards if a < b and x == y and (open_(a) or open_(b))}
     assert told == want and want
+
+
+def test_company_pairs_are_listed(spark, monkeypatch):
+    """Every judged pair is a row, also where a company's members are dealt to several parts."""
+    monkeypatch.setattr(similarity, "SPREAD", 3)
+    rows = registry.queries()["company_pairs"](spark, FOLDER).collect()
+    cards = [(r["p_partkey"], r["p_brand"].lower()) for r in spark.read.parquet(f"{FOLDER}/part.parquet").collect()]
+    open_ = lambda i: i % 3 == 0 or (i % 4 == 1 and i % 5 != 0)
+    want = sorted((x, a, b) for a, x in cards for b, y in cards if a < b and x == y and (open_(a) or open_(b)))
+    assert sorted((r.company, r.id, int(r.other)) for r in rows if r.other is not None) == want and want
+    assert {(r.company, r.id) for r in rows} == {(x, i) for x, a, b in want for i in (a, b)} and all(r.links == sum(x == r.company and r.id in (a, b) for x, a, b in want) for r in rows)
